@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+from graphlens.llm import chat, warc
+from graphlens.llm.chat import op6_chat_formatting
+from graphlens.llm.mixing import op3_mixing_sources
 from graphlens.llm.packing import op10_best_fit_packing
+from graphlens.llm.sharding import op5_sharding
+from graphlens.llm.urls import op7_url_filters
+from graphlens.llm.warc import op8_warc
 
 QUERIES = {
+    "op3_mixing_sources": op3_mixing_sources,
+    "op5_sharding": op5_sharding,
+    "op6_chat_formatting": op6_chat_formatting,
+    "op7_url_filters": op7_url_filters,
+    "op8_warc": op8_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_chat_formatting": chat.ORACLE,
+    "op8_warc": warc.ORACLE,
+}
