@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from graphlens.llm import chat, warc
+from graphlens.llm import chat, topk, warc
 from graphlens.llm.chat import op6_chat_formatting
 from graphlens.llm.mixing import op3_mixing_sources
 from graphlens.llm.packing import op10_best_fit_packing
 from graphlens.llm.sharding import op5_sharding
+from graphlens.llm.topk import op1_exact_topk
 from graphlens.llm.urls import op7_url_filters
 from graphlens.llm.warc import op8_warc
 
 QUERIES = {
+    "op1_exact_topk": op1_exact_topk,
     "op3_mixing_sources": op3_mixing_sources,
     "op5_sharding": op5_sharding,
     "op6_chat_formatting": op6_chat_formatting,
@@ -20,6 +22,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_exact_topk": topk.ORACLE,
     "op6_chat_formatting": chat.ORACLE,
     "op8_warc": warc.ORACLE,
 }
