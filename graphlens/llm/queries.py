@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from graphlens.llm import chat, topk, warc
 from graphlens.llm.chat import op6_chat_formatting
+from graphlens.llm.jaccard import op2_jaccard_join
 from graphlens.llm.mixing import op3_mixing_sources
 from graphlens.llm.packing import op10_best_fit_packing
 from graphlens.llm.sharding import op5_sharding
@@ -13,6 +14,7 @@ from graphlens.llm.warc import op8_warc
 
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_mixing_sources": op3_mixing_sources,
     "op5_sharding": op5_sharding,
     "op6_chat_formatting": op6_chat_formatting,
