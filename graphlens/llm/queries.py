@@ -7,6 +7,7 @@ from graphlens.llm.chat import op6_chat_formatting
 from graphlens.llm.jaccard import op2_jaccard_join
 from graphlens.llm.mixing import op3_mixing_sources
 from graphlens.llm.packing import op10_best_fit_packing
+from graphlens.llm.quality import op9_quality_rules
 from graphlens.llm.sharding import op5_sharding
 from graphlens.llm.topk import op1_exact_topk
 from graphlens.llm.urls import op7_url_filters
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_chat_formatting": op6_chat_formatting,
     "op7_url_filters": op7_url_filters,
     "op8_warc": op8_warc,
+    "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
