@@ -6,9 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphlens.llm import common, packing
+from graphlens.llm import common, jaccard, mixing, packing, quality
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go: too short, too repetitive, or outside their language's perplexity bands."""
+    return quality.keep_good(docs)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest doc_id stays."""
+    return jaccard.one_of_each(docs, 5, 80, 100)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, none to three times, in the order of the mix."""
+    return mixing.mix(docs).drop("finish_time")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +32,9 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("jaccard_join", jaccard_join),
+    ("source_mixing", source_mixing),
     ("best_fit_packing", best_fit_packing),
 ]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from graphlens.llm import chat, topk, warc
 from graphlens.llm.chat import op6_chat_formatting
 from graphlens.llm.jaccard import op2_jaccard_join
+from graphlens.llm.lm import op4_lm_scoring
 from graphlens.llm.mixing import op3_mixing_sources
 from graphlens.llm.packing import op10_best_fit_packing
 from graphlens.llm.quality import op9_quality_rules
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_mixing_sources": op3_mixing_sources,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_sharding": op5_sharding,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_url_filters": op7_url_filters,
