@@ -100,9 +100,14 @@ def with_rank(df: DataFrame, group: list[str], order: list[str], n_buckets: int,
 
 
 def strings(array: pa.Array) -> pa.Array:
-    """A string column of a batch as large_string, null as empty."""
+    """A string column of a batch as large_string, null as empty.
+
+    A slice is copied first: casting one to large_string can leave its offsets pointing before its data.
+    """
     import pyarrow.compute as pc
 
+    if array.offset:
+        array = array.take(pa.array(np.arange(len(array))))
     return pc.fill_null(array.cast(pa.large_string()), "")
 
 
