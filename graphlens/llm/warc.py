@@ -189,7 +189,8 @@ def resolved(found: DataFrame) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = common.materialize(write(planned(common.table(spark, sf_dir, "pages"))))
-    return resolved(common.materialize(read(common.materialize(normalise(archives)))))
+    # normalised archives are read where they are made; to keep them, write normalise()'s rows as a table
+    return resolved(common.materialize(read(normalise(archives))))
 
 
 ORACLE = f"""
