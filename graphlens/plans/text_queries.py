@@ -1,0 +1,200 @@
+"""Text functions over documents, pages, parts and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphlens.functions import text as T
+from graphlens.operators import search
+from graphlens.plans.registry import query
+
+WORDS = r"regexp_extract_all({0}, '[\p{{L}}\p{{Nd}}_]+')"
+STOP = "(" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + ")"
+
+
+def sql_stem(x: str) -> str:
+    single = f"(CASE WHEN {x} LIKE '%s' AND {x} NOT LIKE '%ss' THEN left({x}, length({x}) - 1) ELSE {x} END)"
+    steps = " ".join(f"WHEN {single} LIKE '%{s}' AND strlen({single}) - {len(s)} >= 4 THEN left({single}, length({single}) - {len(s)})" for s in T.STEM_SUFFIXES)
+    return f"(CASE WHEN strlen({x}) <= 4 THEN {x} {steps} ELSE {single} END)"
+
+
+def sql_subwords(x: str) -> str:
+    m = f"regexp_replace({x}, '(\\p{{Lu}})(\\p{{Lu}}\\p{{Ll}})', '\\1_\\2', 'g')"
+    m = f"regexp_replace({m}, '(\\p{{Lu}})(\\p{{Lu}}\\p{{Ll}})', '\\1_\\2', 'g')"
+    m = f"regexp_replace({m}, '([\\p{{Ll}}\\p{{Nd}}])(\\p{{Lu}})', '\\1_\\2', 'g')"
+    return f"list_filter(regexp_split_to_array({m}, '_+'), lambda x: x <> '')"
+
+
+def sql_terms(key: str, text: str, table: str, weight: float = 1.0) -> str:
+    """(key, term, tf) as a parenthesised query."""
+    return f"""(SELECT {key}, term, sum(x) AS tf FROM (
+      SELECT {key}, {sql_stem("t")} AS term, x FROM (
+        SELECT {key}, lower(w) AS t, {weight}::DOUBLE AS x FROM (SELECT {key}, unnest({WORDS.format(text)}) AS w FROM {table})
+        UNION ALL SELECT {key}, lower(unnest(p)) AS t, {weight / 2}::DOUBLE FROM (SELECT {key}, {sql_subwords("w")} AS p FROM (SELECT {key}, unnest({WORDS.format(text)}) AS w FROM {table})) WHERE len(p) > 1
+      ) WHERE t NOT IN {STOP}) GROUP BY ALL)"""
+
+
+@query("words_count", f"SELECT doc_id, CAST(len({WORDS.format('text')}) AS INTEGER) AS n_words FROM documents")
+def words_count(t):
+    return t.documents.select("doc_id", F.size(T.words(F.col("text"))).alias("n_words"))
+
+
+@query("subwords_split", f"SELECT page_id, array_to_string(list_transform({WORDS.format('url')}, lambda w: array_to_string({sql_subwords('w')}, '+')), ' ') AS parts FROM pages")
+def subwords_split(t):
+    return t.pages.select("page_id", F.array_join(F.transform(T.words(F.col("url")), lambda w: F.array_join(T.subwords(w), "+")), " ").alias("parts"))
+
+
+@query("stem_terms", f"SELECT w AS word, {sql_stem('w')} AS stem FROM (SELECT DISTINCT lower(unnest({WORDS.format('text')})) AS w FROM benchmark)")
+def stem_terms(t):
+    return t.benchmark.select(F.explode(T.words(F.lower("text"))).alias("word")).distinct().select("word", T.stem(F.col("word")).alias("stem"))
+
+
+@query("weighted_terms", f"SELECT lang, term, tf FROM {sql_terms('lang', 'text', 'documents')}")
+def weighted_terms(t):
+    return T.weighted_terms(t.documents, ["lang"], "text")
+
+
+@query("trigrams_names", "SELECT g AS trigram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(p_name) - 1), lambda i: substr(lower(p_name), i, 3))) AS g FROM part) GROUP BY g")
+def trigrams_names(t):
+    return t.part.select(F.explode(T.trigrams(F.lower("p_name"))).alias("trigram")).groupBy("trigram").agg(F.count("*").alias("n"))
+
+
+@query("query_terms", f"SELECT item_id, array_to_string(list_sort(list(DISTINCT term))[1:32], ' ') AS terms FROM {sql_terms('item_id', 'text', 'benchmark')} GROUP BY item_id")
+def query_terms(t):
+    return T.query_terms(t.benchmark, ["item_id"], "text").select("item_id", F.array_join("terms", " ").alias("terms"))
+
+
+@query("normalize_trigger", r"SELECT conv_id, turn, md5(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'))) AS trigger FROM conversations")
+def normalize_trigger(t):
+    return t.conversations.select("conv_id", "turn", F.md5(T.normalize_trigger(F.col("text"))).alias("trigger"))
+
+
+ROUTE = r"regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', ''), '[?#].*$', '')"
+
+
+@query("route_key", rf"SELECT page_id, CASE WHEN p LIKE '/%' THEN 'ANY /' || array_to_string(list_transform(list_filter(string_split(p, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_full_match(s, '[0-9]+') THEN '{{}}' ELSE s END), '/') ELSE '' END AS route FROM (SELECT page_id, {ROUTE} AS p FROM pages)")
+def route_key(t):
+    """The URLs' only parameters are numbers, so the SQL knows no other kind; the tests know them all."""
+    return t.pages.select("page_id", T.route_key(F.lit(""), F.col("url")).alias("route"))
+
+
+@query("rpc_and_table_key", "SELECT p_partkey, upper(substr(b, 1, 1)) || substr(b, 2) || '/' || upper(substr(p_name, 1, 1)) || substr(p_name, 2) AS rpc, lower(b) AS tbl FROM (SELECT *, string_split(trim(p_brand), '.')[-1] AS b FROM part)")
+def rpc_and_table_key(t):
+    return t.part.select("p_partkey", T.rpc_key(F.col("p_brand"), F.col("p_name")).alias("rpc"), T.table_key(F.col("p_brand")).alias("tbl"))
+
+
+SECRETS = " || ".join(f"regexp_extract_all(text, '{p}')" for p in T.SECRET_PATTERNS)
+
+
+@query("secret_scan", f"SELECT doc_id, CAST(len(f) AS INTEGER) AS n FROM (SELECT doc_id, list_filter({SECRETS}, lambda m: NOT contains(upper(m), 'EXAMPLE') AND replace(right(m, 8), left(right(m, 8), 1), '') <> '') AS f FROM documents) WHERE len(f) > 0")
+def secret_scan(t):
+    found = T.secrets(F.col("text"))
+    return t.documents.select("doc_id", F.size(found).alias("n")).where("n > 0")
+
+
+def _redacted(x: str) -> str:
+    for p in T.SECRET_PATTERNS:
+        x = f"regexp_replace({x}, '{p}', '[REDACTED]', 'g')"
+    return x
+
+
+@query("redact_text", f"SELECT doc_id, md5({_redacted('text')}) AS redacted FROM documents")
+def redact_text(t):
+    return t.documents.select("doc_id", F.md5(T.redact(F.col("text"))).alias("redacted"))
+
+
+def _has(*values: str) -> str:
+    return "(" + " OR ".join(f"contains(t, '{v}')" for v in values) + ")"
+
+
+KIND = f"""CASE WHEN {_has("refactor", "extract", "rename", "move ")} THEN 'refactor' WHEN {_has("fix", "bug", "error", "crash", "panic", "failing")} THEN 'debug'
+  WHEN {_has("explain", "what is", "how does", "why does")} THEN 'explain' WHEN {_has("design", "architect", "plan ", "roadmap")} THEN 'architect' ELSE 'edit' END"""
+
+
+@query("classify_task", rf"""SELECT conv_id, turn, {KIND} AS kind, CASE WHEN strlen(t) > 500 OR len(regexp_extract_all(t, '\b[A-Za-z0-9_./-]+\.[A-Za-z]{{1,8}}\b')) >= 3 OR {_has("across", "entire", "all ", "every", "multi", "multiple")} THEN 'high'
+  WHEN {KIND} = 'debug' THEN 'medium' ELSE 'low' END AS complexity FROM (SELECT conv_id, turn, lower(trim(text)) AS t FROM conversations)""")
+def classify_task(t):
+    return t.conversations.select("conv_id", "turn", T.task_kind(F.col("text")).alias("kind"), T.task_complexity(F.col("text")).alias("complexity"))
+
+
+INTENTS = [("review", ["\\bshare\\b", "review"]), ("plan", ["\\bplan\\b", "what"]), ("research", ["th(at|is) "])]
+
+
+@query("route_intent", r"SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\bshare\b') OR regexp_matches(text, '(?i)review') THEN 'review' WHEN regexp_matches(text, '(?i)\bplan\b') OR regexp_matches(text, '(?i)what') THEN 'plan' WHEN regexp_matches(text, '(?i)th(at|is) ') THEN 'research' ELSE 'code' END AS intent FROM documents")
+def route_intent(t):
+    return t.documents.select("doc_id", T.route_intent(F.col("text"), INTENTS).alias("intent"))
+
+
+TOOL = "CASE event_type WHEN 'click' THEN 'file_read' WHEN 'view' THEN 'find_callers' WHEN 'purchase' THEN 'file_write' WHEN 'signup' THEN 'create_plan' ELSE 'shell' END"
+
+
+@query("attention_weight", f"""SELECT event_id, category, weight, CAST(least(greatest(floor(1000 * (0.25 + weight * 1.75)), 50), 2000) AS BIGINT) AS threshold FROM (
+  SELECT *, CASE category WHEN 'read' THEN 0.3::DOUBLE WHEN 'graph' THEN 0.7 WHEN 'edit_target' THEN 1.0 WHEN 'plan' THEN 0.95 ELSE 0.1 END AS weight FROM (
+  SELECT event_id, CASE event_type WHEN 'click' THEN 'read' WHEN 'view' THEN 'graph' WHEN 'purchase' THEN 'edit_target' WHEN 'signup' THEN 'plan' ELSE 'other' END AS category FROM events))""")
+def attention_weight(t):
+    """Event types stand for tools."""
+    e = t.events.select("event_id", F.expr(TOOL).alias("tool")).withColumn("category", T.attention_category(F.col("tool"), F.lit("ls")))
+    e = e.withColumn("weight", T.attention_weight(F.col("category")))
+    return e.select("event_id", "category", "weight", T.attention_threshold(F.lit(1000), F.col("weight")).cast("long").alias("threshold"))
+
+
+@query("attention_distribution", """SELECT user_id, event_type AS category, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 100 GROUP BY ALL""")
+def attention_distribution(t):
+    """The last hundred calls of a session, by category."""
+    from pyspark.sql import Window
+
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    return t.events.withColumn("k", k).where("k <= 100").groupBy("user_id", F.col("event_type").alias("category")).agg(F.count("*").alias("n"))
+
+
+@query("ref_breadth", r"""SELECT page_id, CAST(len(f) AS INTEGER) AS files, CAST(len(list_filter(list_distinct(list_transform(list_filter(f, lambda x: contains(x, '/')), lambda x: regexp_replace(x, '/[^/]*$', ''))), lambda d: d <> '.')) AS INTEGER) AS folders
+  FROM (SELECT page_id, list_distinct(regexp_extract_all(url, '\b[A-Za-z0-9_./-]+\.[A-Za-z]{1,8}\b')) AS f FROM pages)""")
+def ref_breadth(t):
+    files, folders = T.reference_breadth(F.col("url"))
+    return t.pages.select("page_id", files.alias("files"), folders.alias("folders"))
+
+
+@query("code_shaped", rf"SELECT w AS word, regexp_matches(w, '_|^.[^.]*\..|^.+\p{{Lu}}') AS shaped FROM (SELECT DISTINCT unnest({WORDS.format('url')}) AS w FROM pages)")
+def code_shaped(t):
+    return t.pages.select(F.explode(T.words(F.col("url"))).alias("word")).distinct().select("word", T.code_shaped(F.col("word")).alias("shaped"))
+
+
+@query("snake_case", r"SELECT DISTINCT p_type AS name, lower(regexp_replace(regexp_replace(p_type, '(\p{Lu}+)(\p{Lu}\p{Ll})', '\1_\2', 'g'), '([\p{Ll}\p{Nd}])(\p{Lu})', '\1_\2', 'g')) AS snake FROM part")
+def snake_case(t):
+    return t.part.select(F.col("p_type").alias("name"), T.snake_case(F.col("p_type")).alias("snake")).distinct()
+
+
+@query("token_estimate", "SELECT lang, CAST(sum((strlen(text) + 2) // 3) AS BIGINT) AS tokens FROM documents GROUP BY lang")
+def token_estimate(t):
+    return t.documents.groupBy("lang").agg(F.sum(T.token_estimate(F.col("text"))).alias("tokens"))
+
+
+@query("session_owner", "SELECT doc_id, CAST(CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16) AS UBIGINT) % 7 AS INTEGER) AS owner FROM documents")
+def session_owner(t):
+    return t.documents.select("doc_id", T.owner(F.col("doc_id").cast("string"), 7).alias("owner"))
+
+
+@query("glob_match", rf"SELECT page_id FROM (SELECT page_id, {ROUTE} AS p FROM pages) WHERE regexp_full_match(p, '/en/[^/]*\.html')")
+def glob_match(t):
+    p = F.regexp_replace(F.regexp_replace("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", ""), r"[?#].*$", "")
+    return t.pages.select("page_id", p.alias("p")).where(T.glob_match(F.col("p"), "/en/*.html")).select("page_id")
+
+
+@query("grep_content", "SELECT doc_id, CAST(n AS INTEGER) AS line_no, md5(l) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE regexp_matches(l, '(?i)and the')")
+def grep_content(t):
+    return search.grep(t.documents, "doc_id", "text", "and the", ignore_case=True).select("doc_id", "line_no", F.md5("line").alias("line"))
+
+
+@query("grep_count", "SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS l FROM pages) WHERE contains(l, '<li>') GROUP BY page_id")
+def grep_count(t):
+    return search.grep(t.pages, "page_id", "html", "<li>", literal=True).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("grep_files", "SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE regexp_matches(l, '^The')")
+def grep_files(t):
+    return search.grep(t.documents, "doc_id", "text", "^The").select("doc_id").distinct()
+
+
+@query("read_range", "SELECT doc_id, md5(array_to_string(string_split(text, chr(10))[2:4], chr(10))) AS text FROM documents")
+def read_range(t):
+    return search.read_range(t.documents, "doc_id", "text", 2, 4).select("doc_id", F.md5("text").alias("text"))
