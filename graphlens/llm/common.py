@@ -151,3 +151,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
             stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+
+
+def most_frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The rows of the largest ``count``, as many whole counts as ``most`` rows hold: a threshold, found from the counts
+    of counts, so nothing is sorted and equal counts are treated alike."""
+    held = counted.groupBy("count").agg(F.count("*").alias("n"))
+    above = held.withColumn("_n", F.sum("n").over(Window.orderBy(F.desc("count"))))
+    least = above.where(F.col("_n") <= most).agg(F.min("count")).first()[0]
+    return counted.where(F.col("count") >= least) if least is not None else counted.limit(0)

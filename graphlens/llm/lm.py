@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from graphlens.llm import common
 from graphlens.llm.quality import word_counts
 
-HIDDEN, WIDTH, HEAD, MEMBERS, GROUPS, ROWS, KNOWN = 24, 16, 512, 32, 32, 2048, 1 << 18
+HIDDEN, WIDTH, HEAD, MEMBERS, GROUPS, ROWS, KNOWN = 24, 16, 512, 32, 32, 2048, 1 << 17
 WINDOW, LANES, UPDATES, RATE, ROUNDS, SEED = 16, 256, 300, 0.012, ((0,), (1, 2), (3, 4, 5, 6, 7)), 7
 CLASSES = HEAD // MEMBERS + 2 * GROUPS
 _SHAPES = {"e": (ROWS + GROUPS, WIDTH), "wx": (WIDTH, 2 * HIDDEN), "bx": (2 * HIDDEN,), "u": (HIDDEN, 2 * HIDDEN), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "wm": (HEAD // MEMBERS, HIDDEN, MEMBERS), "bm": (HEAD // MEMBERS, MEMBERS)}
@@ -280,8 +280,8 @@ def _round(docs: DataFrame, vocabulary, model) -> np.ndarray:
         if seen:
             yield [np.arange(SIZE), own.astype(np.float64) * seen, np.full(SIZE, float(seen))]
 
-    sums = common.mapped(docs.select("text"), run, "k int, v double, w double").groupBy("k").agg((F.sum("v") / F.sum("w")).alias("v")).toPandas()  # one row for each parameter
-    if not len(sums):
+    sums = common.mapped(docs.select("text"), run, "k int, v double, w double").groupBy("k").agg((F.sum("v") / F.sum("w")).alias("v")).toArrow()  # one row for each parameter
+    if not sums.num_rows:
         return model.value
     out = np.zeros(SIZE, np.float32)
     out[sums["k"].to_numpy()] = sums["v"].to_numpy()
@@ -291,11 +291,11 @@ def _round(docs: DataFrame, vocabulary, model) -> np.ndarray:
 def fit(training: DataFrame, counts: DataFrame, n_docs: int) -> tuple[Vocabulary, np.ndarray]:
     """Vocabulary and model from training documents (text) and their word counts (word, count)."""
     spark = training.sparkSession
-    top = counts.orderBy(F.desc("count"), "word").limit(KNOWN).toPandas()
+    top = common.most_frequent(counts, KNOWN).toArrow().sort_by([("count", "descending"), ("word", "ascending")])
     groups = counts.groupBy(group_of(F.col("word")).alias("g")).agg(F.sum(F.col("count") + 1).alias("n")).toPandas()
     sums = np.zeros(GROUPS)
     sums[groups["g"].to_numpy(int)] = groups["n"].to_numpy()
-    vocabulary = Vocabulary(top["word"].tolist(), top["count"].to_numpy(), sums, n_docs)
+    vocabulary = Vocabulary(top["word"].to_pylist(), top["count"].to_numpy(), sums, n_docs)
     sent, flat = spark.sparkContext.broadcast(vocabulary), fresh()
     for part in ROUNDS:
         eighth = F.pmod(F.xxhash64("text", F.lit("round")), F.lit(8))
