@@ -38,19 +38,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round groups neighbours with partial aggregation, so a hub is no hot task; rounds are written as tables. Loops
     and repeated edges do no harm; no edges give no rows.
     """
+    mark = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
     stars = common.materialize(_forest(edges.where("a <> b").select("a", "b")).distinct())
-    while True:
-        before = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if not before[0]:
-            break
+    before = stars.agg(*mark).first()
+    while before[0]:
         both = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # every edge now points down: small star
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
-        stars = common.materialize(small)
-        if stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == before:
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b")))
+        stars = common.materialize(small.distinct())
+        after = stars.agg(*mark).first()
+        if after == before:
             break
+        before = after
     found = stars.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component")
     return found.union(stars.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct().join(found.select("id"), "id", "left_anti"))

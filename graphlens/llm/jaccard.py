@@ -4,7 +4,7 @@ A document's set is its distinct word n-grams (a shorter document: all its words
 of all n-grams, rare ones first; two sets with Jaccard similarity t share an n-gram among the first
 ``n - ceil(t n) + 1`` of each. Documents meet in the lists of these prefix n-grams.
 
-* Rarity comes from exact counts of n-gram hashes in 2^19 buckets over all documents: a table of fixed size, which is
+* Rarity comes from exact counts of n-gram hashes in 2^17 buckets over all documents: a table of fixed size, which is
   broadcast. Any fixed order is right; this one puts shared passages last.
 * Equal sets are one class, which its smallest doc_id represents; copies of a text in a task are dropped before they
   are sent.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from graphlens.llm import common
 from graphlens.llm.components import connected_components
 
-BUCKET_BITS, SUB_LIST, CHAIN, SEEN = 19, 128, 3, 200_000
+BUCKET_BITS, SUB_LIST, CHAIN, SEEN = 17, 128, 3, 200_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -183,9 +183,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     posted = _postings(whole.where("id is not null"), n, num, den, order).withColumn("_n", F.count("*").over(Window.partitionBy("g"))).where("_n > 1").drop("_n")
     lists = posted.join(classes.drop("k2"), ["k1", "n"]).select("g", "n", "pos", "id", "s1", "s2", "s3", "s4").distinct()
-    lists = common.materialize(lists)
-    shared = lists.groupBy("g").agg(F.count("*").alias("_n")).where("_n > 1").select("g")
-    lists = common.materialize(lists.join(shared, "g"))
+    lists = common.materialize(lists.withColumn("_n", F.count("*").over(Window.partitionBy("g"))).where("_n > 1").drop("_n"))
     texts = common.materialize(whole.join(lists.select("id").distinct(), "id", "left_semi"))
 
     tried = common.materialize(_chains(lists, num, den))
@@ -197,11 +195,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     named = common.materialize(named.join(mixed, "g"))
     apart = named.alias("x").join(named.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _possible("x", "y", num, den))
     rest = apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = common.materialize(_verified(rest, texts, n, num, den))
+    more = _verified(rest, texts, n, num, den)
     # rows of one doc_id with unlike texts hold their classes together
     member = own.groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("_low"), F.max(F.struct("k1", "k2")).alias("_high")).where("_low < _high").select("id")
     held = own.join(member, "id").select("k1", "k2", F.col("id").alias("a")).join(classes.select("k1", "k2", F.col("id").alias("b")), ["k1", "k2"]).select("a", "b")
-    labels = connected_components(links.union(more).union(held))
+    joining = common.materialize(more.union(held))
+    if not joining.isEmpty():
+        labels = common.materialize(connected_components(links.union(joining)))
 
     known = classes.join(labels, "id", "left").select("k1", "k2", "n", F.coalesce("component", "id").alias("component_id"))
     joined = own.alias("o").join(known.alias("k"), (F.col("o.k1") == F.col("k.k1")) & (F.col("o.k2") == F.col("k.k2")) & (F.col("o.n") == F.col("k.n")), "left")
