@@ -25,7 +25,7 @@ def listing_diff(listed: DataFrame, live: DataFrame, key: str, state: list[str])
 
 def reuse_split(listed: DataFrame, known: DataFrame, key: str, stat: list[str], content: str) -> DataFrame:
     """(key, action): skip when the stat columns agree, reuse when only the content hash does, else extract."""
-    old = known.select(key, *[F.col(c).alias(f"_{c}") for c in [*stat, content]])
+    old = known.select(key, *[F.col(c).alias(f"_{c}") for c in dict.fromkeys([*stat, content])])
     same = F.lit(True)
     for c in stat:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
