@@ -38,7 +38,7 @@ OUTCOME = "CASE WHEN event_type IN ('purchase', 'view', 'click') THEN 'accepted'
 @query("pattern_candidates", f"""WITH o AS (SELECT CAST(user_id % 3 AS VARCHAR) AS repo, sha256(CAST(user_id AS VARCHAR)) AS h, {OUTCOME} AS outcome, ts, event_type AS tools, CAST(event_id AS VARCHAR) AS sol FROM events WHERE event_type <> 'signup'),
   g AS (SELECT repo, h, count(*) FILTER (outcome = 'accepted') AS s, count(*) FILTER (outcome <> 'accepted') AS f, max(ts) FILTER (outcome = 'accepted') AS last FROM o GROUP BY ALL),
   k AS (SELECT * FROM g WHERE s + f >= 3 AND s * 100 > (s + f) * 70),
-  m AS (SELECT repo, h, tools FROM (SELECT repo, h, tools, row_number() OVER (PARTITION BY repo, h ORDER BY count(*) DESC, tools) AS r FROM o WHERE outcome = 'accepted' GROUP BY ALL) WHERE r = 1)
+  c AS (SELECT repo, h, tools, count(*) AS n FROM o WHERE outcome = 'accepted' GROUP BY repo, h, tools), m AS (SELECT repo, h, tools FROM (SELECT *, row_number() OVER (PARTITION BY repo, h ORDER BY n DESC, tools) AS r FROM c) WHERE r = 1)
   SELECT k.repo, k.h AS trigger_hash, k.s AS successes, k.f AS failures, any_value(m.tools) AS tools, min(o.sol) AS solution FROM k JOIN m USING (repo, h) JOIN o ON o.repo = k.repo AND o.h = k.h AND o.outcome = 'accepted' AND o.ts = k.last GROUP BY k.repo, k.h, k.s, k.f""")
 def pattern_candidates(t):
     """A user is a trigger, event types are outcomes and tool sequences."""
