@@ -82,9 +82,9 @@ def rate_limited_stream(requests: DataFrame, limit: int, window_seconds: float)
 
 
 def debounced(changes: DataFrame, quiet: str = "50 milliseconds", delay: str = "2 seconds", most: int = 4096) -> DataFrame:
-    """Batches of changed paths (path, ts): a batch closes after a quiet time; too many paths ask for a full listing."""
-    grouped = changes.withWatermark("ts", delay).groupBy(F.session_window("ts", quiet)).agg(F.collect_set("path").alias("paths"))
-    return grouped.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), F.array_sort("paths").alias("paths"), (F.size("paths") > most).alias("full"))
+    """Batches of changed paths (repo, path, ts): a batch closes after a quiet time; too many paths ask for a full listing."""
+    grouped = changes.withWatermark("ts", delay).groupBy("repo", F.session_window("ts", quiet)).agg(F.collect_set("path").alias("paths"))
+    return grouped.select("repo", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), F.array_sort("paths").alias("paths"), (F.size("paths") > most).alias("full"))
 
 
 def publish_batches(changes: DataFrame, store, checkpoint: str):

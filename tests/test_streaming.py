@@ -48,9 +48,9 @@ def test_rate_limit(spark, tmp_path):
 
 
 def test_debounce(spark, tmp_path):
-    df = spark.createDataFrame([("p", at(0)), ("q", at(0.02)), ("p", at(1)), ("late", at(60))], "path string, ts timestamp")
+    df = spark.createDataFrame([("r", "p", at(0)), ("r", "q", at(0.02)), ("r", "p", at(1)), ("s", "x", at(1)), ("r", "late", at(60))], "repo string, path string, ts timestamp")
     got = drained(streams.debounced(stream(spark, df, f"{tmp_path}/d")), "batches", spark, f"{tmp_path}/c")
-    assert sorted(r["paths"] for r in got) == [["p"], ["p", "q"]]
+    assert sorted((r["repo"], r["paths"]) for r in got) == [("r", ["p"]), ("r", ["p", "q"]), ("s", ["x"])]
 
 
 def test_batches_become_generations(spark, tmp_path):
