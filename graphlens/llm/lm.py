@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from graphlens.llm import common
 from graphlens.llm.quality import word_counts
 
-HIDDEN, WIDTH, HEAD, MEMBERS, GROUPS, ROWS, KNOWN = 24, 16, 512, 32, 32, 2048, 1 << 17
-WINDOW, LANES, UPDATES, RATE, ROUNDS, SEED = 16, 256, 300, 0.012, ((0,), (1, 2), (3, 4, 5, 6, 7)), 7
+HIDDEN, WIDTH, HEAD, MEMBERS, GROUPS, ROWS, KNOWN = 20, 16, 512, 32, 24, 2048, 1 << 17
+WINDOW, LANES, UPDATES, RATE, ROUNDS, SEED = 16, 512, 300, 0.012, ((0,), (1, 2), (3, 4, 5, 6, 7)), 7
 CLASSES = HEAD // MEMBERS + 2 * GROUPS
 _SHAPES = {"e": (ROWS + GROUPS, WIDTH), "wx": (WIDTH, 2 * HIDDEN), "bx": (2 * HIDDEN,), "u": (HIDDEN, 2 * HIDDEN), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "wm": (HEAD // MEMBERS, HIDDEN, MEMBERS), "bm": (HEAD // MEMBERS, MEMBERS)}
 SIZE = sum(math.prod(s) for s in _SHAPES.values())
