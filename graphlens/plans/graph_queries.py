@@ -8,12 +8,13 @@ from graphlens.operators import graph
 from graphlens.plans.registry import query
 from graphlens.plans.store_queries import EDGE_SQL, call_edges
 
-#: Calls among a hundred declarations: caller modulo 100.
-CALLS = f"SELECT CAST(caller % 100 AS BIGINT) AS src, callee AS dst, min(label) AS label FROM ({EDGE_SQL}) WHERE (caller * 31 + callee * 17) % 97 = 0 GROUP BY ALL"
+#: Calls among declarations: every order is a call of its customer, and its status the label.
+LABEL = "CASE o_orderstatus WHEN 'F' THEN 'import_resolved' WHEN 'O' THEN 'name_matched' ELSE 'ambiguous' END"
+CALLS = f"SELECT o_custkey AS src, o_orderkey * 7 % 1499 + 1 AS dst, min({LABEL}) AS label FROM orders GROUP BY ALL"
 
 
 def _calls(t):
-    return call_edges(t).where("(caller * 31 + callee * 17) % 97 = 0").groupBy((F.col("caller") % 100).alias("src"), F.col("callee").alias("dst")).agg(F.min("label").alias("label"))
+    return t.orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") * 7 % 1499 + 1).alias("dst"), F.expr(LABEL).alias("label")).groupBy("src", "dst").agg(F.min("label").alias("label"))
 
 
 def _bfs_sql(edges: str, seeds: str, depth: int, go: str = "true") -> str:
@@ -29,25 +30,25 @@ def bfs_depth3(t):
     return graph.bfs(_calls(t), seeds, 3)
 
 
-TESTS = "SELECT DISTINCT s_suppkey AS id FROM supplier WHERE s_suppkey % 7 = 0 AND s_suppkey < 100"
+TESTS = "SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'"
 
 
-@query("tests_for", f"""WITH RECURSIVE e AS (SELECT dst AS src, src AS dst FROM ({CALLS})), tst AS ({TESTS}), r AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS depth, true AS go FROM part WHERE p_partkey <= 20
+@query("tests_for", f"""WITH RECURSIVE e AS (SELECT dst AS src, src AS dst FROM ({CALLS})), tst AS ({TESTS}), r AS (SELECT s_suppkey AS seed, s_suppkey AS node, 0 AS depth, true AS go FROM supplier
   UNION SELECT seed, e.dst, depth + 1, e.dst NOT IN (SELECT id FROM tst) FROM r JOIN e ON e.src = r.node AND r.go WHERE depth < 3)
   SELECT DISTINCT seed, node AS test FROM r WHERE depth > 0 AND node <> seed AND node IN (SELECT id FROM tst)""")
 def tests_for(t):
     edges = _calls(t).select(F.col("src").alias("caller"), F.col("dst").alias("callee"))
-    symbols = t.supplier.where("s_suppkey % 7 = 0 and s_suppkey < 100").select(F.col("s_suppkey").alias("symbol_id"), F.lit(True).alias("is_test"))
-    return graph.tests_for(edges, symbols, t.part.where("p_partkey <= 20").select(F.col("p_partkey").alias("id")))
+    symbols = t.customer.select(F.col("c_custkey").alias("symbol_id"), (F.col("c_mktsegment") == "BUILDING").alias("is_test"))
+    return graph.tests_for(edges, symbols, t.supplier.select(F.col("s_suppkey").alias("id")))
 
 
-@query("impact", f"""WITH s AS (SELECT c_custkey AS id, c_nationkey AS package, c_acctbal > 3000 AS exported, c_custkey % 9 = 0 AS is_test FROM customer WHERE c_custkey < 100)
+@query("impact", f"""WITH s AS (SELECT c_custkey AS id, c_nationkey AS package, c_acctbal > 3000 AS exported, c_mktsegment = 'BUILDING' AS is_test FROM customer)
   SELECT s.id AS symbol_id, count(*) FILTER (NOT c.is_test) AS callers, count(*) FILTER (c.is_test) AS tests, coalesce(bool_or(s.exported AND c.package <> s.package), false) AS breaking
-  FROM s LEFT JOIN ({CALLS}) e ON e.dst = s.id LEFT JOIN s c ON c.id = e.src WHERE s.id < 60 GROUP BY s.id""")
+  FROM s LEFT JOIN ({CALLS}) e ON e.dst = s.id LEFT JOIN s c ON c.id = e.src GROUP BY s.id""")
 def impact(t):
-    symbols = t.customer.where("c_custkey < 100").select(F.col("c_custkey").alias("symbol_id"), F.col("c_nationkey").alias("package"), (F.col("c_acctbal") > 3000).alias("exported"), (F.col("c_custkey") % 9 == 0).alias("is_test"))
+    symbols = t.customer.select(F.col("c_custkey").alias("symbol_id"), F.col("c_nationkey").alias("package"), (F.col("c_acctbal") > 3000).alias("exported"), (F.col("c_mktsegment") == "BUILDING").alias("is_test"))
     edges = _calls(t).select(F.col("src").alias("caller"), F.col("dst").alias("callee"))
-    return graph.impact(symbols, edges, symbols.where("symbol_id < 60"))
+    return graph.impact(symbols, edges, symbols)
 
 
 TREE = "SELECT c_custkey AS src, CAST(c_custkey * 2 + k AS BIGINT) AS dst FROM customer, (SELECT unnest([0, 1]) AS k) WHERE c_custkey * 2 + k <= 1500"
@@ -62,13 +63,14 @@ def subtypes_closure(t):
     return graph.subtypes(kids, t.spark.createDataFrame([(3,)], "id long"), abstract)
 
 
-TRADE = "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst FROM customer JOIN supplier ON c_custkey = s_suppkey * 3"
+UP = "SELECT c_custkey AS src, c_custkey // 2 AS dst FROM customer WHERE c_custkey > 1"
 
 
-@query("dep_closure", _bfs_sql(TRADE, "SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation WHERE n_regionkey = 1", 30).replace("SELECT seed, node, CAST(min(depth) AS INTEGER) AS depth", "SELECT seed, node"))
+@query("dep_closure", _bfs_sql(UP, "SELECT c_custkey AS id FROM customer", 30).replace("SELECT seed, node, CAST(min(depth) AS INTEGER) AS depth", "SELECT seed, node"))
 def dep_closure(t):
-    trade = t.customer.join(t.supplier, F.col("c_custkey") == F.col("s_suppkey") * 3).select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).distinct()
-    return graph.closure(trade, t.nation.where("n_regionkey = 1").select(F.col("n_nationkey").cast("long").alias("id"))).select("seed", "node")
+    """A customer depends on the one of half its number."""
+    up = t.customer.where("c_custkey > 1").select(F.col("c_custkey").alias("src"), (F.col("c_custkey") / 2).cast("long").alias("dst"))
+    return graph.closure(up, t.customer.select(F.col("c_custkey").alias("id"))).select("seed", "node")
 
 
 @query("co_change_top20", "SELECT b.l_partkey AS file, count(DISTINCT b.l_orderkey) AS co_changes FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey = 5 AND b.l_partkey <> 5 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")

@@ -50,15 +50,15 @@ def bm25_two_corpora(t):
     return _bm25(t, F.col("lang"), True)
 
 
-FUZZY_Q = "SELECT DISTINCT substr(p_name, 2, 6) AS query FROM part WHERE p_size = 1"
-NEAR_Q = "SELECT DISTINCT substr(p_name, 1, 3) || 'zq' || substr(p_name, 5) AS query FROM part WHERE p_size <= 2"
+FUZZY_Q = "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS query FROM part"
+NEAR_Q = "SELECT DISTINCT substr(p_name, 1, 3) || 'zq' || substr(p_name, 5) AS query FROM part"
 GRAMS = "list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3))"
 
 
 @query("fuzzy_substring", f"""SELECT query, name FROM (SELECT query, name, row_number() OVER (PARTITION BY query ORDER BY name) AS k
   FROM ({FUZZY_Q}) JOIN (SELECT DISTINCT p_name AS name FROM part) ON contains(lower(name), lower(trim(query)))) WHERE k <= 25""")
 def fuzzy_substring(t):
-    asked = t.part.where("p_size = 1").select(F.expr("substr(p_name, 2, 6)").alias("query")).distinct()
+    asked = t.part.select(F.explode(F.split("p_name", " ")).alias("query")).distinct()
     return search.fuzzy(t.part.select(F.col("p_name").alias("name")), asked).where("how = 'contains'").select("query", "name")
 
 
@@ -68,7 +68,7 @@ def fuzzy_substring(t):
   d AS (SELECT query, name, levenshtein(q, low) AS d, q FROM s WHERE c * 3 >= n AND NOT EXISTS (SELECT 1 FROM n WHERE contains(n.low, s.q)))
   SELECT query, name, CAST(d AS INTEGER) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, name) AS k FROM d WHERE d <= greatest(1, strlen(q) // 2)) WHERE k <= 5""")
 def fuzzy_didyoumean(t):
-    asked = t.part.where("p_size <= 2").select(F.expr("substr(p_name, 1, 3) || 'zq' || substr(p_name, 5)").alias("query")).distinct()
+    asked = t.part.select(F.expr("substr(p_name, 1, 3) || 'zq' || substr(p_name, 5)").alias("query")).distinct()
     return search.fuzzy(t.part.select(F.col("p_name").alias("name")), asked).where("how = 'near'").select("query", "name", "distance")
 
 
