@@ -8,6 +8,7 @@ from graphlens.functions import text as T
 from graphlens.operators import search
 from graphlens.plans.registry import query
 from graphlens.plans.text_queries import WORDS, sql_terms
+from graphlens.session import cut
 
 
 def _bm25_sql(corpus: str, coverage: bool) -> str:
@@ -29,8 +30,9 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score, matched FROM k WHE
 
 def _bm25(t, corpus, coverage: bool):
     docs = t.documents.select("doc_id", "text", "lang")
-    posted = search.postings(docs, "doc_id", "text", corpus=corpus)
-    asked = T.query_terms(t.benchmark, ["item_id"], "text").withColumnRenamed("item_id", "query_id")
+    # the postings are an index: built once, as a table, and read by statistics and scores alike
+    posted = cut(search.postings(docs, "doc_id", "text", corpus=corpus))
+    asked = cut(T.query_terms(t.benchmark, ["item_id"], "text").withColumnRenamed("item_id", "query_id"))
     scored = search.bm25(posted, "doc_id", asked, coverage=coverage).withColumn("score", F.round("score", 6))
     return search.top_with_ties(scored, ["query_id"], "score", ["doc_id"], 10).select(F.col("query_id").alias("item_id"), "rank", "doc_id", "score", "matched")
 
