@@ -209,12 +209,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest doc_id, once. Rows without
-    doc_id stay."""
+    """The rows of ``docs`` that stay: of each component the document with the smallest doc_id, once (one of its rows
+    where they repeat). Rows without doc_id stay."""
     found = jaccard_components(docs, n, num, den)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.withColumn("_h", F.xxhash64("text"))
-    stay = first.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]).drop("_h")
+    stay = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
     return stay.unionByName(docs.where("doc_id is null"))
 
 
