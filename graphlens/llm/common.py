@@ -151,6 +151,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
             stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+            pa.default_memory_pool().release_unused()
 
 
 def most_frequent(counted: DataFrame, most: int) -> DataFrame:

@@ -10,7 +10,7 @@ of all n-grams, rare ones first; two sets with Jaccard similarity t share an n-g
   are sent.
 * Filters on a pair: length (the smaller set has at least t times the larger one's size), position (what can still be
   shared from the common n-gram on), and suffix (a lower bound of the sets' Hamming distance: the number of odd bits in
-  the difference of two 256-bit parity sketches never exceeds it).
+  the difference of two 512-bit parity sketches never exceeds it).
 * Links without all pairs: each list is first linked along chains, in salted sub-lists; these candidates are verified
   and joined to components. Then all pairs that share a list and lie in different components are candidates, less those
   already verified. So a group of n near copies costs about n pairs, and still no link between components is lost.
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from graphlens.llm import common
 from graphlens.llm.components import connected_components
 
-BUCKET_BITS, SUB_LIST, CHAIN, SEEN = 17, 128, 3, 200_000
+BUCKET_BITS, SUB_LIST, CHAIN, SEEN, SKETCH = 17, 128, 3, 200_000, 8
+_SKETCH = [f"s{k}" for k in range(1, SKETCH + 1)]
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -69,8 +70,9 @@ def _class(own: np.ndarray) -> tuple[int, int]:
 
 
 def _sketch(own: np.ndarray) -> np.ndarray:
-    """256 bits: the parity of the number of n-grams that fall on each."""
-    odd = np.bincount((own >> np.uint64(7)).astype(np.int64) & 255, minlength=256) & 1
+    """The parity of the number of n-grams that fall on each bit."""
+    bits = 64 * SKETCH
+    odd = np.bincount((own >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
@@ -84,14 +86,14 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
             if sets:
                 counts += np.bincount((np.concatenate(sets) & mask).astype(np.int64), minlength=len(counts))
             keys = [_class(x) if len(x) else (None, None) for x in sets]
-            sketches = np.array([_sketch(x) for x in sets]).reshape(-1, 4)
+            sketches = np.array([_sketch(x) for x in sets]).reshape(-1, SKETCH)
             none = pa.nulls(len(sets), pa.int64())
-            yield [none, none, batch.column("id"), [len(x) for x in sets], [a for a, _ in keys], [b for _, b in keys], *(sketches[:, k] for k in range(4))]
+            yield [none, none, batch.column("id"), [len(x) for x in sets], [a for a, _ in keys], [b for _, b in keys], *(sketches[:, k] for k in range(SKETCH))]
         full = np.flatnonzero(counts)
         none = pa.nulls(len(full), pa.int64())
-        yield [full, counts[full], *[none] * 8]
+        yield [full, counts[full], *[none] * (4 + SKETCH)]
 
-    return common.mapped(docs, run, "bucket long, count long, id long, n long, k1 long, k2 long, s1 long, s2 long, s3 long, s4 long")
+    return common.mapped(docs, run, "bucket long, count long, id long, n long, k1 long, k2 long, " + ", ".join(f"{s} long" for s in _SKETCH))
 
 
 def _postings(docs: DataFrame, n: int, num: int, den: int, order) -> DataFrame:
@@ -127,7 +129,7 @@ def _possible(x: str, y: str, num: int, den: int, position: bool = True) -> Colu
     both = c(x, "n") + c(y, "n")
     need = F.ceil(F.lit(num) * both / F.lit(num + den))
     length = F.least(c(x, "n"), c(y, "n")) * den >= F.greatest(c(x, "n"), c(y, "n")) * num
-    odd = sum((F.bit_count(c(x, f"s{k}").bitwiseXOR(c(y, f"s{k}"))) for k in range(1, 5)), F.lit(0))
+    odd = sum((F.bit_count(c(x, s).bitwiseXOR(c(y, s))) for s in _SKETCH), F.lit(0))
     place = F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos")) >= need
     return length & place & (odd <= both - 2 * need)
 
@@ -151,7 +153,7 @@ def _chains(lists: DataFrame, num: int, den: int) -> DataFrame:
     """Candidate pairs along each list: in sub-lists of about ``SUB_LIST`` rows, and along the sub-lists' first rows."""
     sizes = lists.groupBy("g").agg(F.ceil(F.count("*") / F.lit(SUB_LIST)).cast("int").alias("_subs"))
     salted = lists.join(sizes, "g").withColumn("_sub", F.pmod(F.xxhash64("id"), F.col("_subs")))
-    fields = F.struct("id", "n", "pos", "s1", "s2", "s3", "s4")
+    fields = F.struct("id", "n", "pos", *_SKETCH)
 
     def linked(rows: DataFrame, keys: list[str]) -> DataFrame:
         w = Window.partitionBy(*keys).orderBy("n", "id")
@@ -177,12 +179,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     rank[counts["bucket"].to_numpy()] = counts["count"].to_numpy()
     # ranks by rarity in 16 bits, in steps of a sixteenth of an octave
     order = spark.sparkContext.broadcast(np.round(16 * np.log2(rank + 1)).astype(np.uint16))
-    own = profile.where("bucket is null").select("id", "n", "k1", "k2", "s1", "s2", "s3", "s4")
-    sketch = F.struct("id", "s1", "s2", "s3", "s4")
+    own = profile.where("bucket is null").select("id", "n", "k1", "k2", *_SKETCH)
+    sketch = F.struct("id", *_SKETCH)
     classes = common.materialize(own.where("id is not null and k1 is not null").groupBy("k1", "k2", "n").agg(F.min(sketch).alias("c")).select("k1", "k2", "n", "c.*"))
 
     posted = _postings(whole.where("id is not null"), n, num, den, order).withColumn("_n", F.count("*").over(Window.partitionBy("g"))).where("_n > 1").drop("_n")
-    lists = posted.join(classes.drop("k2"), ["k1", "n"]).select("g", "n", "pos", "id", "s1", "s2", "s3", "s4").distinct()
+    lists = posted.join(classes.drop("k2"), ["k1", "n"]).select("g", "n", "pos", "id", *_SKETCH).distinct()
     lists = common.materialize(lists.withColumn("_n", F.count("*").over(Window.partitionBy("g"))).where("_n > 1").drop("_n"))
     texts = common.materialize(whole.join(lists.select("id").distinct(), "id", "left_semi"))
 
@@ -190,7 +192,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     links = common.materialize(_verified(tried, texts, n, num, den))
     labels = common.materialize(connected_components(links))
 
-    named = lists.join(labels, "id", "left").select("g", "n", "pos", "id", "s1", "s2", "s3", "s4", F.coalesce("component", "id").alias("c"))
+    named = lists.join(labels, "id", "left").select("g", "n", "pos", "id", *_SKETCH, F.coalesce("component", "id").alias("c"))
     mixed = named.groupBy("g").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low < _high").select("g")
     named = common.materialize(named.join(mixed, "g"))
     apart = named.alias("x").join(named.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _possible("x", "y", num, den))
