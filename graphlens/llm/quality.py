@@ -5,9 +5,11 @@ the word alone and is computed once per distinct word of a batch. It is counted
 words with their counts, from these the n-grams of the highest order, and from each order the continuation counts of the
 next (n-grams at a word's start keep their own counts). Discounts come from the counts of counts of each order.
 
-On the driver the n-grams become sorted arrays of 64-bit hashes with their interpolated probabilities, and contexts with
-their back-off weights; a query is a binary search. ``ENTRIES`` bounds each order (n-grams under a count go, as in any
-pruned model), hence the broadcast: 12 bytes an entry.
+Every document is counted, so every n-gram of a document has a probability: ``priced`` gives it by joins of the counted
+tables, order by order, nothing pruned. The ``ENTRIES`` most frequent n-grams are broadcast as sorted arrays of 64-bit
+hashes with their costs (16 bytes an entry), and looked up by binary search; what is not among them gets its cost from a
+join on the hash, of one row per document and n-gram. So ``ENTRIES`` sets what is joined, not the result. ``KneserNey``
+is the same model in memory, for queries of unseen words.
 
 A document's measure is the mean bits per character. Its bands are language-specific: around the median of the language,
 ``WIDTH`` robust deviations to either side, where a deviation has a part between documents and one that falls with the
@@ -115,6 +117,61 @@ def _hashed_contexts(table: DataFrame, order: int) -> DataFrame:
     return common.mapped(table.select("gram", "count", "n1", "n2", "n3"), run, "key long, count long, n1 long, n2 long, n3 long")
 
 
+def priced(tables: list[DataFrame]) -> DataFrame:
+    """(gram, count, p) of the highest order: each n-gram's interpolated probability, by joins of all ``orders``."""
+    lower = None
+    for order, table in enumerate(tables, 1):
+        d = [float(x) for x in KneserNey.discounts(*table.agg(*[F.count_if(F.col("count") == k) for k in (1, 2, 3, 4)]).first())]
+        context, suffix = F.expr(f"substring(gram, 1, {order - 1})"), F.expr("substring(gram, 2)")
+        less = F.when(F.col("count") == 1, d[1]).when(F.col("count") == 2, d[2]).otherwise(d[3])
+        heads = table.groupBy(context.alias("_x")).agg(F.sum("count").alias("_total"), (F.sum(less) / F.sum("count")).alias("_weight"), F.count("*").alias("_kinds"))
+        rows = table.withColumn("_x", context).join(heads, "_x")
+        own = (F.col("count") - less) / F.col("_total")
+        if lower is None:
+            found = rows.select("gram", "count", (own + F.col("_weight") / (F.col("_kinds") + 1)).alias("p"))
+        else:
+            found = rows.withColumn("_s", suffix).join(lower.select(F.col("gram").alias("_s"), F.col("p").alias("_p")), "_s").select("gram", "count", (own + F.col("_weight") * F.col("_p")).alias("p"))
+        lower = common.materialize(found)
+    return lower
+
+
+def costs(top: DataFrame, n: int = N) -> DataFrame:
+    """(key, count, bits) of all n-grams of the highest order, by hash."""
+
+    def run(batches):
+        for batch in batches:
+            p = batch.column("p").to_numpy()
+            yield [_last_hashes(batch.column("gram").to_pylist(), 0, 0, n).view(np.int64), batch.column("count"), -np.log2(np.maximum(p, 1e-30))]
+
+    return common.materialize(common.mapped(priced(orders(top, n)), run, "key long, count long, bits double"))
+
+
+class Frequent:
+    """Costs of the most frequent n-grams; what isn't among them is named, not guessed."""
+
+    def __init__(self, n: int, keys: np.ndarray, bits: np.ndarray) -> None:
+        at = np.argsort(keys)
+        self.n, self.keys, self.costs = n, keys[at], bits[at]
+
+    def bits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bits of each word's frequent n-grams; then the hashes of its other ones, all words' in a row, and their ends."""
+        codes, ends = _points([START * (self.n - 1) + w + STOP for w in words])
+        hashes = gram_hashes(codes, self.n)
+        real = np.ones(len(codes), bool)
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        for k in range(self.n - 1):
+            real[starts + k] = False
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+            found = self.keys[at] == hashes
+            cost = np.where(found & real, self.costs[at], 0.0)
+        else:
+            found, cost = np.zeros(len(codes), bool), np.zeros(len(codes))
+        other = real & ~found
+        sums = np.concatenate([[0], np.cumsum(cost)])
+        return sums[ends] - sums[starts], hashes[other], np.concatenate([[0], np.cumsum(other)])[ends]
+
+
 class KneserNey:
     """Sorted hash arrays of one order after the other: probabilities of n-grams, back-off weights of contexts."""
 
@@ -222,11 +279,31 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
+def _others(doc: np.ndarray, word: np.ndarray, hashes: np.ndarray, ends: np.ndarray, n_docs: int) -> pa.Array:
+    """For each document a list of (hash, times) of the n-grams that aren't among the frequent ones."""
+    sizes = np.diff(np.concatenate([[0], ends])).astype(np.int64)
+    full = sizes[word] > 0
+    doc, word = doc[full], word[full]
+    times = sizes[word]
+    place = np.repeat((ends - sizes)[word] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum()) if len(word) else np.zeros(0, np.int64)
+    distinct, code = np.unique(hashes[place.astype(np.int64)], return_inverse=True)
+    most = max(len(distinct), 1)
+    pairs, count = np.unique(np.repeat(doc, times) * most + code, return_counts=True)
+    bounds = np.searchsorted(pairs, np.arange(n_docs + 1) * most)
+    named = distinct[pairs % most] if len(distinct) else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(named.view(np.int64)), pa.array(count, pa.int64())], ["g", "n"]))
+
+
 def _measured(docs: DataFrame, model) -> DataFrame:
+    """Counts and bits of the frequent n-grams; ``rest`` are the others, ``row`` is the row's own number."""
     import pyarrow.compute as pc
 
+    kind = pa.list_(pa.struct([("g", pa.int64()), ("n", pa.int64())]))
+
     def run(batches):
-        own = model.value
+        from pyspark import TaskContext
+
+        own, row = model.value, TaskContext.get().partitionId() << 33
         for batch in common.slices(batches, "text", 3 << 20):
             texts = common.strings(batch.column("text"))
             offsets, codes, distinct = common.tokenize(texts, lower=False)
@@ -234,13 +311,30 @@ def _measured(docs: DataFrame, model) -> DataFrame:
             summed = lambda v: (s := np.concatenate([[0], np.cumsum(v[codes])]))[b] - s[a]
             lengths = np.asarray(pc.utf8_length(distinct), np.int64) if len(distinct) else np.zeros(0, np.int64)
             lowered = pc.ascii_lower(distinct).dictionary_encode()
-            bits = own.bits(lowered.dictionary.to_pylist())[np.asarray(lowered.indices)] if len(distinct) else np.zeros(0)
+            of = np.asarray(lowered.indices, np.int64)
+            bits, others, ends = own.bits(lowered.dictionary.to_pylist())
+            doc = np.repeat(np.arange(len(a)), b - a)
+            rest = _others(doc, of[codes], others, ends, len(a)).cast(kind)
             hashes = common.hash64(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
             chars, n = summed(lengths), b - a
             repeated = [repeated_words(hashes[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-            yield [batch.column("id"), batch.column("lang"), batch.column("key"), n, chars, np.asarray(pc.count_substring_regex(texts, r"[#*$%&|<>]"), np.int64), [duplicate_lines(x) for x in texts.to_pylist()], repeated, summed(bits) / np.maximum(chars + n, 1)]
+            yield [batch.column("id"), batch.column("lang"), batch.column("key"), n, chars, np.asarray(pc.count_substring_regex(texts, r"[#*$%&|<>]"), np.int64), [duplicate_lines(x) for x in texts.to_pylist()], repeated, summed(bits[of]), row + np.arange(len(a)), rest]
+            row += len(a)
+
+    return common.mapped(docs, run, f"doc_id {dict(docs.dtypes)['id']}, lang string, key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bits double, row long, rest array<struct<g:bigint,n:bigint>>")
+
 
-    return common.mapped(docs, run, f"doc_id {dict(docs.dtypes)['id']}, lang string, key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bits double")
+def measure(docs: DataFrame, n: int = N, entries: int = ENTRIES) -> DataFrame:
+    """Counts and mean bits per character of every row of ``docs`` (id, text, lang, key)."""
+    top = common.materialize(gram_counts(word_counts(docs.select("text")), n))
+    every = costs(top, n)
+    head = common.most_frequent(every, entries).select("key", "bits").toArrow()
+    model = docs.sparkSession.sparkContext.broadcast(Frequent(n, head["key"].to_numpy().view(np.uint64), head["bits"].to_numpy()))
+    found = common.materialize(_measured(docs, model))
+    rest = found.select("row", F.explode("rest").alias("r")).select("row", F.col("r.g").alias("key"), "r.n").join(every.select("key", F.col("bits").alias("_b")), "key")
+    more = rest.groupBy("row").agg(F.sum(F.col("n") * F.col("_b")).alias("_more"))
+    whole = (F.col("bits") + F.coalesce("_more", F.lit(0.0))) / F.greatest(F.col("word_chars") + F.col("n_words"), F.lit(1))
+    return found.drop("rest").join(more, "row", "left").withColumn("bits", whole).drop("row", "_more")
 
 
 def bands(measured: DataFrame) -> DataFrame:
@@ -270,13 +364,10 @@ def judge(docs: DataFrame, n: int = N, entries: int = ENTRIES, width: float = WI
     ``docs``: doc_id, text, lang; other columns are ignored. A null or empty text has no words and fails. Repeated rows
     are judged each, alike. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
     whole = docs.select(F.col("doc_id").alias("id"), text.alias("text"), lang.alias("lang"), F.xxhash64("doc_id", text, lang).alias("key"))
-    top = common.materialize(gram_counts(word_counts(whole.select("text")), n))
-    model = spark.sparkContext.broadcast(KneserNey.fit(orders(top, n), entries))
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    measured = common.materialize(_measured(whole, model).withColumn("base_failed", failed))
+    measured = common.materialize(measure(whole, n, entries).withColumn("base_failed", failed))
     found = common.materialize(bands(measured))
     everything = found.where("_l = '*'").select(F.col("center").alias("_c0"), F.col("spread").alias("_s0")).first()
     c0, s0 = (everything[0], everything[1]) if everything else (0.0, 0.0)

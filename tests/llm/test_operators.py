@@ -423,6 +423,18 @@ def test_kneser_ney_probabilities_add_up(spark):
     assert model.bits(["banana"])[0] < model.bits(["nabana"])[0] < model.bits(["xxxxxx"])[0]
 
 
+def test_quality_bits_do_not_depend_on_the_bound(spark, documents):
+    rows = documents.select("doc_id", "text", "lang")
+    bits = lambda entries: sorted((str(r["doc_id"]), round(r["bits"], 9)) for r in quality.judge(rows, entries=entries).select("doc_id", "bits").collect())
+    whole = bits(1 << 19)
+    assert bits(40) == whole and bits(0) == whole
+    model = quality.KneserNey.fit(quality.orders(quality.gram_counts(quality.word_counts(rows.select("text")))))
+    for doc, text in {(str(r["doc_id"]), r["text"]) for r in rows.collect()}:
+        words = WORD.findall(lower(text))
+        want = sum(model.bits(words)) / max(sum(map(len, words)) + len(words), 1)
+        assert any(d == doc and abs(want - x) < 1e-4 for d, x in whole)
+
+
 def test_quality_bands_reject_both_ends(spark):
     import random
 
