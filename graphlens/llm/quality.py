@@ -13,7 +13,8 @@ is the same model in memory, for queries of unseen words.
 
 A document's measure is the mean bits per character. Its bands are language-specific: around the median of the language,
 ``WIDTH`` robust deviations to either side, where a deviation has a part between documents and one that falls with the
-document's length. Languages of fewer than ``LEAST_DOCS`` documents, and no language, use the bands of all together.
+document's length. A language's deviation is drawn towards that of all languages' documents, each around its own median, with the
+weight of ``PRIOR_DOCS`` documents; its median is its own at every size. No language uses the bands of all together.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from graphlens.llm import common
 
-N, ENTRIES, LEAST_DOCS, WIDTH = 5, 1 << 19, 50, 6.0
+N, ENTRIES, PRIOR_DOCS, WIDTH = 5, 1 << 19, 50, 6.0
 START, STOP = "\x02", "\x03"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -338,7 +339,8 @@ def measure(docs: DataFrame, n: int = N, entries: int = ENTRIES) -> DataFrame:
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """(lang, low, high of bits for a long document, spread of one word), of documents that pass the base rules.
+    """(_l, docs, center of bits, spread) of documents that pass the base rules: of each language (``=`` and its name)
+    and of all together (``*``). A language's spread is shrunk towards the one within all languages.
 
     Medians come from counts of hundredths of a bit, so nothing has to be sorted.
     """
@@ -355,7 +357,14 @@ def bands(measured: DataFrame) -> DataFrame:
     every = every.withColumn("_l", F.coalesce(F.concat(F.lit("="), "_l"), F.lit("*")))
     center = medians(every, F.col("bits"), "center")
     away = every.join(center.select(F.col("_l").alias("_k"), "center"), F.col("_l") == F.col("_k")).withColumn("_d", F.abs(F.col("bits") - F.col("center")) * F.sqrt(F.lit(1.0) / (F.lit(1.0) / 400 + F.lit(1.0) / F.col("n_words"))) / 20)
-    return center.join(medians(away, F.col("_d"), "mad").drop("docs"), "_l").select("_l", "docs", "center", (F.greatest(F.col("mad"), F.lit(0.01)) * 1.4826).alias("spread"))
+    # within: all documents with a language, each around its own language's median
+    within = away.where("_l <> '*'").withColumn("_l", F.lit("within"))
+    mads = common.materialize(medians(away.select("_l", "_d").unionByName(within.select("_l", "_d")), F.col("_d"), "mad").drop("docs"))
+    spread = lambda c: F.greatest(c, F.lit(0.01)) * 1.4826
+    pooled = mads.where("_l = 'within'").select(spread(F.col("mad")).alias("_pooled"))
+    found = center.join(mads, "_l").select("_l", "docs", "center", spread(F.col("mad")).alias("spread"))
+    shrunk = (F.col("docs") * F.col("spread") + PRIOR_DOCS * F.col("_pooled")) / (F.col("docs") + PRIOR_DOCS)
+    return found.where("_l <> '*'").crossJoin(pooled).withColumn("spread", shrunk).drop("_pooled").unionByName(found.where("_l = '*'"))
 
 
 def judge(docs: DataFrame, n: int = N, entries: int = ENTRIES, width: float = WIDTH) -> DataFrame:
@@ -371,7 +380,7 @@ def judge(docs: DataFrame, n: int = N, entries: int = ENTRIES, width: float = WI
     found = common.materialize(bands(measured))
     everything = found.where("_l = '*'").select(F.col("center").alias("_c0"), F.col("spread").alias("_s0")).first()
     c0, s0 = (everything[0], everything[1]) if everything else (0.0, 0.0)
-    own = found.where((F.col("_l") != "*") & (F.col("docs") >= LEAST_DOCS)).select(F.expr("substring(_l, 2)").alias("_l"), "center", "spread")
+    own = found.where("_l <> '*'").select(F.expr("substring(_l, 2)").alias("_l"), "center", "spread")
     joined = measured.join(own, F.col("lang") == F.col("_l"), "left")
     reach = F.coalesce("spread", F.lit(s0)) * 20 * F.sqrt(F.lit(1.0) / 400 + F.lit(1.0) / F.greatest("n_words", F.lit(1))) * width
     center = F.coalesce("center", F.lit(c0))

@@ -446,6 +446,21 @@ def test_quality_bands_reject_both_ends(spark):
     assert not got[900]["kept"] and all(got[k]["kept"] for k in range(150))
 
 
+def test_quality_bands_of_small_languages(spark):
+    """Clean documents of languages of 10 to 49 documents beside a hot one, whose band isn't theirs."""
+    import random
+
+    rng = random.Random(4)
+    say = lambda syllables, most, n: " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, most))) for _ in range(n))
+    hot = ["ba", "no", "ri", "ta", "le", "mu"]
+    small = ["".join(map(chr, rng.sample(range(0x4E00, 0x4F00), 3))) for _ in range(150)]
+    rows = [(k, say(hot, 3, 100), "hot") for k in range(1200)]
+    for lang, first, docs in (("ten", 2000, 10), ("many", 3000, 49)):
+        rows += [(first + k, say(small, 3, 100), lang) for k in range(docs)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(r["kept"] for r in got.values()), [k for k, r in got.items() if not r["kept"]][:5]
+
+
 # 10
 
 
