@@ -331,6 +331,13 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_urls_without_a_host_are_judged_by_score(spark):
+    rows = [(100 + k, f"https://good{k % 7}.site.org/page/{k}") for k in range(60)] + [(200 + k, f"http://spam-farm{k % 5}.com/de/{k}") for k in range(60)]
+    rows += [(1, None), (2, "good3.site/page/9"), (3, "//good5.site.org/page/11"), (4, "spam-farm2.com/de/5")]
+    got = {r["page_id"]: (r["host"], r["verdict"]) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert [got[k] for k in (1, 2, 3, 4)] == [("", "block"), ("", "allow"), ("", "allow"), ("", "block")]
+
+
 def test_url_model_is_a_distribution():
     model = urls.Markov(["abab", "abba", "b"], 3)
     for context in ("", "a", "ab", "zz"):
