@@ -1,15 +1,17 @@
 """Quality rules: counts and repetition first, then the perplexity of a modified Kneser-Ney model.
 
-The model's n-grams are characters within a word, between a start and an end mark, so a word's probability depends on
-the word alone and is computed once per distinct word of a batch. It is counted by Spark over all documents: distinct
-words with their counts, from these the n-grams of the highest order, and from each order the continuation counts of the
-next (n-grams at a word's start keep their own counts). Discounts come from the counts of counts of each order.
-
-Every document is counted, so every n-gram of a document has a probability: ``priced`` gives it by joins of the counted
-tables, order by order, nothing pruned. The ``ENTRIES`` most frequent n-grams are broadcast as sorted arrays of 64-bit
-hashes with their costs (16 bytes an entry), and looked up by binary search; what is not among them gets its cost from a
-join on the hash, of one row per document and n-gram. So ``ENTRIES`` sets what is joined, not the result. ``KneserNey``
-is the same model in memory, for queries of unseen words.
+The model's n-grams are characters; their context runs on over one word border: a word follows the last ``n - 2``
+characters of the word before it (filled up with start marks) and an end mark, the first word of a document follows
+start marks. So the order of words counts. A text is a bag of two kinds of unit: distinct words (their n-grams inside)
+and distinct borders (the end of one word with the head of the next); n-grams are counted and looked up once per
+distinct unit of a batch.
+
+Spark counts the n-grams of the highest order over all documents, and from each order the continuation counts of the
+next (n-grams that begin with a start mark keep their own counts). Discounts come from the counts of counts of each
+order. Every document is counted, so every n-gram of a document has a probability: ``priced`` gives it by joins of the
+counted tables, order by order, nothing pruned. The ``ENTRIES`` most frequent n-grams are broadcast as sorted arrays of
+64-bit hashes with their costs (16 bytes an entry), and looked up by binary search; what is not among them gets its cost
+from a join on the hash, of one row per document and n-gram. So ``ENTRIES`` sets what is joined, not the result.
 
 A document's measure is the mean bits per character. Its bands are language-specific: around the median of the language,
 ``WIDTH`` robust deviations to either side, where a deviation has a part between documents and one that falls with the
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from graphlens.llm import common
 
-N, ENTRIES, PRIOR_DOCS, WIDTH = 5, 1 << 19, 50, 6.0
+N, ENTRIES, PRIOR_DOCS, WIDTH, HELD = 5, 1 << 19, 50, 6.0, 1 << 20
 START, STOP = "\x02", "\x03"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,20 +50,75 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return common.mapped(texts, run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def gram_counts(words: DataFrame, n: int = N) -> DataFrame:
-    """(gram, count) of the highest order, from distinct words and their counts."""
+def units(distinct: pa.Array, codes: np.ndarray, first: np.ndarray, n: int) -> tuple[list[str], np.ndarray]:
+    """The units of a batch as strings, all of whose windows of ``n`` characters are n-grams: the distinct words with
+    their end mark, then the distinct borders. And the number of each token's border among the units. ``codes``: the
+    words of all texts in a row; ``first``: whether one is its text's first."""
+    import pyarrow.compute as pc
 
-    def run(batches):
-        for batch in batches:
-            found: dict[str, int] = {}
-            for word, count in zip(batch.column("word").to_pylist(), batch.column("count").to_pylist(), strict=True):
-                said = START * (n - 1) + word + STOP
-                for k in range(len(said) - n + 1):
-                    gram = said[k : k + n]
-                    found[gram] = found.get(gram, 0) + count
-            yield [list(found), list(found.values())]
+    kind = pa.large_string()
+    words = distinct.cast(kind)
+    said = pc.binary_join_element_wise(words, pa.scalar(STOP, kind), pa.scalar("", kind))
+    heads = pc.utf8_slice_codeunits(said, 0, n - 1).dictionary_encode()
+    ends = pc.utf8_slice_codeunits(pc.binary_join_element_wise(pa.scalar(START * (n - 2), kind), words, pa.scalar("", kind)), -(n - 2)) if n > 2 else pc.utf8_slice_codeunits(words, 0, 0)
+    tails = pc.binary_join_element_wise(ends, pa.scalar(STOP, kind), pa.scalar("", kind)).dictionary_encode()
+    if not len(codes):
+        return [], np.zeros(0, np.int64)
+    head, tail = np.asarray(heads.indices, np.int64)[codes], np.asarray(tails.indices, np.int64)[codes]
+    before = np.where(first, len(tails.dictionary), np.concatenate([[0], tail[:-1]]))
+    pairs, border = np.unique(before * len(heads.dictionary) + head, return_inverse=True)
+    contexts = pa.concat_arrays([tails.dictionary, pa.array([START * (n - 1)], kind)])
+    borders = pc.binary_join_element_wise(contexts.take(pa.array(pairs // len(heads.dictionary))), heads.dictionary.take(pa.array(pairs % len(heads.dictionary))), pa.scalar("", kind))
+    return said.to_pylist() + borders.to_pylist(), border + len(distinct)
+
+
+def _firsts(offsets: np.ndarray) -> np.ndarray:
+    """Whether a token is its text's first, from the offsets of all texts."""
+    first = np.zeros(offsets[-1] + 1, bool)
+    first[offsets[:-1]] = True
+    return first[:-1]
+
+
+def _windows(said: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All code points in a row, the hash of the n-gram that ends at each, whether it lies within one string, and where
+    each string ends."""
+    codes, ends = _points(said)
+    place = np.arange(len(codes)) - np.repeat(ends - np.diff(ends, prepend=0), np.diff(ends, prepend=0))
+    return codes, gram_hashes(codes, n), place >= n - 1, ends
+
+
+def gram_counts(texts: DataFrame, n: int = N) -> DataFrame:
+    """(gram, count) of the highest order over all words of ``text``, A-Z in lower case."""
+
+    def counted(texts: pa.Array) -> pa.Table | None:
+        offsets, codes, distinct = common.tokenize(texts)
+        said, border = units(distinct, codes, _firsts(offsets), n)
+        if not said:
+            return None
+        times = np.bincount(np.concatenate([codes, border]), minlength=len(said))
+        points, hashes, real, ends = _windows(said, n)
+        times = np.repeat(times, np.diff(ends, prepend=0))
+        at = np.flatnonzero(real & (times > 0))
+        _, sample, code = np.unique(hashes[at], return_index=True, return_inverse=True)
+        sums = np.bincount(code, times[at], len(sample)).astype(np.int64)
+        spelt = points[at[sample][:, None] + np.arange(1 - n, 1)].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        return pa.table({"gram": pa.array([spelt[k : k + n] for k in range(0, len(spelt), n)], pa.string()), "count": sums})
 
-    return common.mapped(words, run, "gram string, count long").groupBy("gram").agg(F.sum("count").alias("count"))
+    def run(batches):
+        held: list[pa.Table] = []
+        for batch in common.slices(batches, "text", 4 << 20):
+            if (found := counted(batch.column("text"))) is not None:
+                held.append(found)
+            if sum(map(len, held)) > HELD:
+                held = [pa.concat_tables(held).group_by("gram").aggregate([("count", "sum")]).rename_columns(["gram", "count"])]
+                if len(held[0]) > HELD // 2:
+                    yield [held[0]["gram"].combine_chunks(), held[0]["count"].combine_chunks()]
+                    held = []
+        if held:
+            last = pa.concat_tables(held).group_by("gram").aggregate([("count", "sum")])
+            yield [last["gram"].combine_chunks(), last["count_sum"].combine_chunks()]
+
+    return common.mapped(texts, run, "gram string, count long").groupBy("gram").agg(F.sum("count").alias("count"))
 
 
 def orders(top: DataFrame, n: int = N) -> list[DataFrame]:
@@ -92,37 +149,19 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64), np.cumsum([len(x) for x in texts])
 
 
-def _last_hashes(grams: list[str], skip_first: int, skip_last: int, order: int) -> np.ndarray:
-    """Hash of each gram of ``order`` characters, without some at its ends."""
-    n = order - skip_first - skip_last
-    if n <= 0:
-        return np.zeros(len(grams), np.uint64)
-    codes = _points(grams)[0].reshape(-1, order)[:, skip_first : order - skip_last]
-    return gram_hashes(np.ascontiguousarray(codes).ravel(), n)[n - 1 :: n]
-
-
-def _hashed(table: DataFrame, order: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            grams = batch.column("gram").to_pylist()
-            yield [*(_last_hashes(grams, a, b, order).view(np.int64) for a, b in ((0, 0), (0, 1), (1, 0))), batch.column("count")]
-
-    return common.mapped(table.select("gram", "count"), run, "key long, context long, suffix long, count long")
-
-
-def _hashed_contexts(table: DataFrame, order: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            yield [_last_hashes(batch.column("gram").to_pylist(), 0, 0, order).view(np.int64), *(batch.column(c) for c in ("count", "n1", "n2", "n3"))]
-
-    return common.mapped(table.select("gram", "count", "n1", "n2", "n3"), run, "key long, count long, n1 long, n2 long, n3 long")
+def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
+    """Of counts 0, 1, 2 and more (Chen and Goodman); where counts of counts are missing, a half, one, one and a half."""
+    if min(n1, n2, n3, n4) == 0:
+        return np.array([0, 0.5, 1.0, 1.5])
+    y = n1 / (n1 + 2 * n2)
+    return np.array([0, *np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0, 0], [1, 2, 3])])
 
 
 def priced(tables: list[DataFrame]) -> DataFrame:
     """(gram, count, p) of the highest order: each n-gram's interpolated probability, by joins of all ``orders``."""
     lower = None
     for order, table in enumerate(tables, 1):
-        d = [float(x) for x in KneserNey.discounts(*table.agg(*[F.count_if(F.col("count") == k) for k in (1, 2, 3, 4)]).first())]
+        d = [float(x) for x in discounts(*table.agg(*[F.count_if(F.col("count") == k) for k in (1, 2, 3, 4)]).first())]
         context, suffix = F.expr(f"substring(gram, 1, {order - 1})"), F.expr("substring(gram, 2)")
         less = F.when(F.col("count") == 1, d[1]).when(F.col("count") == 2, d[2]).otherwise(d[3])
         heads = table.groupBy(context.alias("_x")).agg(F.sum("count").alias("_total"), (F.sum(less) / F.sum("count")).alias("_weight"), F.count("*").alias("_kinds"))
@@ -142,7 +181,7 @@ def costs(top: DataFrame, n: int = N) -> DataFrame:
     def run(batches):
         for batch in batches:
             p = batch.column("p").to_numpy()
-            yield [_last_hashes(batch.column("gram").to_pylist(), 0, 0, n).view(np.int64), batch.column("count"), -np.log2(np.maximum(p, 1e-30))]
+            yield [gram_hashes(_points(batch.column("gram").to_pylist())[0], n)[n - 1 :: n].view(np.int64), batch.column("count"), -np.log2(np.maximum(p, 1e-30))]
 
     return common.materialize(common.mapped(priced(orders(top, n)), run, "key long, count long, bits double"))
 
@@ -154,103 +193,21 @@ class Frequent:
         at = np.argsort(keys)
         self.n, self.keys, self.costs = n, keys[at], bits[at]
 
-    def bits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bits of each word's frequent n-grams; then the hashes of its other ones, all words' in a row, and their ends."""
-        codes, ends = _points([START * (self.n - 1) + w + STOP for w in words])
-        hashes = gram_hashes(codes, self.n)
-        real = np.ones(len(codes), bool)
+    def bits(self, said: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bits of each unit's frequent n-grams; then the hashes of its other ones, all units' in a row, and their ends."""
+        _, hashes, real, ends = _windows(said, self.n)
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        for k in range(self.n - 1):
-            real[starts + k] = False
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
             found = self.keys[at] == hashes
             cost = np.where(found & real, self.costs[at], 0.0)
         else:
-            found, cost = np.zeros(len(codes), bool), np.zeros(len(codes))
+            found, cost = np.zeros(len(hashes), bool), np.zeros(len(hashes))
         other = real & ~found
         sums = np.concatenate([[0], np.cumsum(cost)])
         return sums[ends] - sums[starts], hashes[other], np.concatenate([[0], np.cumsum(other)])[ends]
 
 
-class KneserNey:
-    """Sorted hash arrays of one order after the other: probabilities of n-grams, back-off weights of contexts."""
-
-    def __init__(self, n: int) -> None:
-        self.n, self.grams, self.contexts, self.floor = n, [], [], 1e-6
-
-    @classmethod
-    def fit(cls, tables: list[DataFrame], entries: int = ENTRIES) -> KneserNey:
-        """From the tables of ``orders``. Counts, contexts and hashes come from Spark; the driver gets numbers only."""
-        self = cls(len(tables))
-        for order, table in enumerate(tables, 1):
-            discounts = cls.discounts(*table.agg(*[F.count_if(F.col("count") == k) for k in (1, 2, 3, 4)]).first())
-            kept = _hashed(common.most_frequent(table, entries), order).toArrow()
-            context = F.expr("substring(gram, 1, length(gram) - 1)").alias("gram")
-            totals = table.groupBy(context).agg(F.sum("count").alias("count"), *[F.count_if(F.col("count") == k).alias(f"n{k}") for k in (1, 2)], F.count_if(F.col("count") > 2).alias("n3"))
-            heads = _hashed_contexts(common.most_frequent(totals, entries) if order > 1 else totals, order - 1).toArrow()
-            self._add(order, *(kept[c].to_numpy().view(np.uint64) for c in ("key", "context", "suffix")), kept["count"].to_numpy().astype(float), heads["key"].to_numpy().view(np.uint64), np.stack([heads[c].to_numpy().astype(float) for c in ("count", "n1", "n2", "n3")], axis=1), discounts)
-        return self
-
-    @staticmethod
-    def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
-        """Of counts 0, 1, 2 and more (Chen and Goodman); where counts of counts are missing, a half, one, one and a half."""
-        if min(n1, n2, n3, n4) == 0:
-            return np.array([0, 0.5, 1.0, 1.5])
-        y = n1 / (n1 + 2 * n2)
-        return np.array([0, *np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0, 0], [1, 2, 3])])
-
-    def _add(self, order: int, keys, contexts, suffixes, counts, heads, totals, d: np.ndarray) -> None:
-        none = (np.zeros(0, np.uint64), np.zeros(0, np.float32))
-        if not len(keys) or not len(heads):
-            self.grams.append(none)
-            self.contexts.append(none)
-            return
-        at = np.argsort(heads)
-        heads, totals = heads[at], totals[at]
-        weights = (totals[:, 1:] @ d[1:]) / totals[:, 0]
-        if order == 1:
-            self.contexts.append(none)
-            self.floor = float(weights[0]) / (len(keys) + 1)
-            p = (counts - d[np.minimum(counts, 3).astype(int)]) / totals[0, 0] + self.floor
-        else:
-            self.contexts.append((heads, weights.astype(np.float32)))
-            total = self._found((heads, totals[:, 0]), contexts, np.inf)
-            lower = self._found(self.grams[order - 2], suffixes, self.floor)
-            p = (counts - d[np.minimum(counts, 3).astype(int)]) / total + self._found(self.contexts[-1], contexts, 1.0) * lower
-        at = np.argsort(keys)
-        self.grams.append((keys[at], p[at].astype(np.float32)))
-
-    @staticmethod
-    def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, other: float) -> np.ndarray:
-        hashes, values = table
-        if not len(hashes):
-            return np.full(len(keys), other)
-        at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
-        return np.where(hashes[at] == keys, values[at], other).astype(np.float64)
-
-    def _probability(self, codes: np.ndarray, n: int) -> np.ndarray:
-        """Probability of each place's character after the n - 1 before it."""
-        p = self._found(self.grams[n - 1], gram_hashes(codes, n), 0.0)
-        if (missing := np.flatnonzero(p <= 0)).size:
-            if n == 1:
-                p[missing] = self.floor
-            else:
-                weight = self._found(self.contexts[n - 1], np.concatenate([[np.uint64(0)], gram_hashes(codes, n - 1)[:-1]])[missing], 1.0)
-                p[missing] = weight * self._probability(codes, n - 1)[missing]
-        return p
-
-    def bits(self, words: list[str]) -> np.ndarray:
-        """-log2 probability of each word, its end included."""
-        if not words:
-            return np.zeros(0)
-        codes, ends = _points([START * (self.n - 1) + w + STOP for w in words])
-        cost = -np.log2(np.maximum(self._probability(codes, self.n), 1e-30))
-        starts = np.concatenate([[0], ends[:-1]])
-        sums = np.concatenate([[0], np.cumsum(cost)])
-        return sums[ends] - sums[starts + self.n - 1]
-
-
 # --- documents ---
 
 
@@ -280,13 +237,13 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def _others(doc: np.ndarray, word: np.ndarray, hashes: np.ndarray, ends: np.ndarray, n_docs: int) -> pa.Array:
+def _others(doc: np.ndarray, unit: np.ndarray, hashes: np.ndarray, ends: np.ndarray, n_docs: int) -> pa.Array:
     """For each document a list of (hash, times) of the n-grams that aren't among the frequent ones."""
     sizes = np.diff(np.concatenate([[0], ends])).astype(np.int64)
-    full = sizes[word] > 0
-    doc, word = doc[full], word[full]
-    times = sizes[word]
-    place = np.repeat((ends - sizes)[word] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum()) if len(word) else np.zeros(0, np.int64)
+    full = sizes[unit] > 0
+    doc, unit = doc[full], unit[full]
+    times = sizes[unit]
+    place = np.repeat((ends - sizes)[unit] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum()) if len(unit) else np.zeros(0, np.int64)
     distinct, code = np.unique(hashes[place.astype(np.int64)], return_inverse=True)
     most = max(len(distinct), 1)
     pairs, count = np.unique(np.repeat(doc, times) * most + code, return_counts=True)
@@ -295,7 +252,7 @@ def _others(doc: np.ndarray, word: np.ndarray, hashes: np.ndarray, ends: np.ndar
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(named.view(np.int64)), pa.array(count, pa.int64())], ["g", "n"]))
 
 
-def _measured(docs: DataFrame, model) -> DataFrame:
+def _measured(docs: DataFrame, model, n: int) -> DataFrame:
     """Counts and bits of the frequent n-grams; ``rest`` are the others, ``row`` is the row's own number."""
     import pyarrow.compute as pc
 
@@ -313,13 +270,16 @@ def _measured(docs: DataFrame, model) -> DataFrame:
             lengths = np.asarray(pc.utf8_length(distinct), np.int64) if len(distinct) else np.zeros(0, np.int64)
             lowered = pc.ascii_lower(distinct).dictionary_encode()
             of = np.asarray(lowered.indices, np.int64)
-            bits, others, ends = own.bits(lowered.dictionary.to_pylist())
+            said, border = units(lowered.dictionary, of[codes], _firsts(offsets), n)
+            bits, others, ends = own.bits(said)
             doc = np.repeat(np.arange(len(a)), b - a)
-            rest = _others(doc, of[codes], others, ends, len(a)).cast(kind)
+            rest = _others(np.concatenate([doc, doc]), np.concatenate([of[codes], border]), others, ends, len(a)).cast(kind)
+            # each token's own n-grams: those at its border and those inside it
+            spent = np.concatenate([[0], np.cumsum(bits[of[codes]] + bits[border])]) if len(codes) else np.zeros(1)
             hashes = common.hash64(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
-            chars, n = summed(lengths), b - a
+            chars = summed(lengths)
             repeated = [repeated_words(hashes[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-            yield [batch.column("id"), batch.column("lang"), batch.column("key"), n, chars, np.asarray(pc.count_substring_regex(texts, r"[#*$%&|<>]"), np.int64), [duplicate_lines(x) for x in texts.to_pylist()], repeated, summed(bits[of]), row + np.arange(len(a)), rest]
+            yield [batch.column("id"), batch.column("lang"), batch.column("key"), b - a, chars, np.asarray(pc.count_substring_regex(texts, r"[#*$%&|<>]"), np.int64), [duplicate_lines(x) for x in texts.to_pylist()], repeated, spent[b] - spent[a], row + np.arange(len(a)), rest]
             row += len(a)
 
     return common.mapped(docs, run, f"doc_id {dict(docs.dtypes)['id']}, lang string, key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bits double, row long, rest array<struct<g:bigint,n:bigint>>")
@@ -327,11 +287,11 @@ def _measured(docs: DataFrame, model) -> DataFrame:
 
 def measure(docs: DataFrame, n: int = N, entries: int = ENTRIES) -> DataFrame:
     """Counts and mean bits per character of every row of ``docs`` (id, text, lang, key)."""
-    top = common.materialize(gram_counts(word_counts(docs.select("text")), n))
+    top = common.materialize(gram_counts(docs.select("text"), n))
     every = costs(top, n)
     head = common.most_frequent(every, entries).select("key", "bits").toArrow()
     model = docs.sparkSession.sparkContext.broadcast(Frequent(n, head["key"].to_numpy().view(np.uint64), head["bits"].to_numpy()))
-    found = common.materialize(_measured(docs, model))
+    found = common.materialize(_measured(docs, model, n))
     rest = found.select("row", F.explode("rest").alias("r")).select("row", F.col("r.g").alias("key"), "r.n").join(every.select("key", F.col("bits").alias("_b")), "key")
     more = rest.groupBy("row").agg(F.sum(F.col("n") * F.col("_b")).alias("_more"))
     whole = (F.col("bits") + F.coalesce("_more", F.lit(0.0))) / F.greatest(F.col("word_chars") + F.col("n_words"), F.lit(1))
