@@ -3,7 +3,8 @@
 Tokens are the words of a text, A-Z in lower case, and one end. Spark counts the words of all training documents. The
 output is factored: a softmax over classes, then the word within its class.
 
-* The ``HEAD`` most frequent tokens are in classes of ``MEMBERS``; within these, a second softmax on the state.
+* The most frequent tokens, the head, are in classes of ``MEMBERS``; within these, a second softmax on the state. The
+  number of these classes, and with it the head and the input rows, grows with the root of the training vocabulary.
 * All other words are in classes by a hash of their last letters, which tell languages apart, once for the ``KNOWN`` most
   frequent words and once for the rest; within these, a word has its share of the class's counts, one added to each.
   Each rest class keeps one such share for words never seen in training.
@@ -12,13 +13,14 @@ So the probabilities of all words, unseen ones included, add up to one at most.
 
 The recurrent layer is a minimal gated unit: ``f = s(x_f + h U_f)``, ``c = tanh(x_c + f (h U_c))``, ``h' = h + f (c - h)``.
 Training is by truncated backpropagation over windows of ``WINDOW`` tokens, the state carried on through the stream and
-set to zero where a document begins. It runs where the data is: in each round every task trains a copy of the model on
-its documents of that round, and Spark averages the copies, weighted by tokens. The rounds have 1, 2 and 5 eighths of
-the training documents, by hash, so every training token is learned from, once, at every size.
+set to zero where a document begins. In each round Spark deals the round's documents to shards by a hash of doc_id and
+text; their number follows the bytes, not how the input is split. A task trains a copy of the model on its shard, in the
+order of the hashes, and Spark averages the copies, weighted by tokens. The rounds have 1, 2 and 5 eighths of the
+training documents, by hash, so every training token is learned from, once, at every size.
 
 Scoring carries the state over the windows of a whole document. What a task knows without looking further is the
-broadcast model (fixed size) and the ``KNOWN`` words; counts of rarer words come from a join on the word, of one row per
-document and word. So nothing that grows with the corpus is broadcast.
+broadcast model and the ``KNOWN`` words; counts of rarer words come from a join on the word, of one row per document and
+word. The model has a few hundred numbers for each root of a word of the vocabulary: some megabytes for 10^9 words.
 """
 
 from __future__ import annotations
@@ -34,26 +36,37 @@ from pyspark.sql import functions as F
 from graphlens.llm import common
 from graphlens.llm.quality import word_counts
 
-HIDDEN, WIDTH, HEAD, MEMBERS, GROUPS, ROWS, KNOWN = 20, 16, 512, 32, 24, 2048, 1 << 17
-WINDOW, LANES, UPDATES, RATE, ROUNDS, SEED = 16, 512, 300, 0.012, ((0,), (1, 2), (3, 4, 5, 6, 7)), 7
-CLASSES = HEAD // MEMBERS + 2 * GROUPS
-_SHAPES = {"e": (ROWS + GROUPS, WIDTH), "wx": (WIDTH, 2 * HIDDEN), "bx": (2 * HIDDEN,), "u": (HIDDEN, 2 * HIDDEN), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "wm": (HEAD // MEMBERS, HIDDEN, MEMBERS), "bm": (HEAD // MEMBERS, MEMBERS)}
-SIZE = sum(math.prod(s) for s in _SHAPES.values())
-TRAIN_BYTES, SCORE_BYTES = 48 << 20, 24 << 20
+HIDDEN, WIDTH, LEAST_CLASSES, MEMBERS, GROUPS, KNOWN = 24, 16, 16, 32, 32, 1 << 17
+WINDOW, LANES, UPDATES, RATE, ROUNDS, SEED = 16, 256, 300, 0.012, ((0,), (1, 2), (3, 4, 5, 6, 7)), 7
+SHARD_BYTES, TRAIN_BYTES, SCORE_BYTES = 24 << 20, 32 << 20, 6 << 20
 
 
-def views(flat: np.ndarray) -> dict[str, np.ndarray]:
+def head_classes(vocabulary: int) -> int:
+    """Classes of the head for so many distinct training words."""
+    return max(LEAST_CLASSES, math.ceil(math.sqrt(vocabulary) / 64))
+
+
+def shapes(heads: int) -> dict[str, tuple[int, ...]]:
+    classes, rows = heads + 2 * GROUPS, 4 * heads * MEMBERS
+    return {"e": (rows + GROUPS, WIDTH), "wx": (WIDTH, 2 * HIDDEN), "bx": (2 * HIDDEN,), "u": (HIDDEN, 2 * HIDDEN), "wc": (HIDDEN, classes), "bc": (classes,), "wm": (heads, HIDDEN, MEMBERS), "bm": (heads, MEMBERS)}
+
+
+def size_of(heads: int) -> int:
+    return sum(math.prod(s) for s in shapes(heads).values())
+
+
+def views(flat: np.ndarray, heads: int) -> dict[str, np.ndarray]:
     """The model's matrices as parts of one vector."""
     out, at = {}, 0
-    for name, shape in _SHAPES.items():
+    for name, shape in shapes(heads).items():
         out[name] = flat[at : at + math.prod(shape)].reshape(shape)
         at += math.prod(shape)
     return out
 
 
-def fresh() -> np.ndarray:
-    rng, flat = np.random.default_rng(SEED), np.zeros(SIZE, np.float32)
-    m = views(flat)
+def fresh(heads: int) -> np.ndarray:
+    rng, flat = np.random.default_rng(SEED), np.zeros(size_of(heads), np.float32)
+    m = views(flat, heads)
     for name, scale in (("e", 0.3), ("wx", 1 / math.sqrt(WIDTH)), ("u", 0.5 / math.sqrt(HIDDEN)), ("wc", 0.1), ("wm", 0.1)):
         m[name][:] = rng.normal(0, scale, m[name].shape)
     m["bx"][:HIDDEN] = -1  # long memory at first
@@ -65,14 +78,15 @@ def group_of(word: Column) -> Column:
 
 
 class Vocabulary:
-    """The most frequent words with what the model needs of them; fixed size."""
+    """The most frequent words with what the model needs of them: at most ``KNOWN``."""
 
-    def __init__(self, words: list[str], counts: np.ndarray, group_sums: np.ndarray, n_docs: int) -> None:
+    def __init__(self, words: list[str], counts: np.ndarray, group_sums: np.ndarray, n_docs: int, heads: int) -> None:
         """``words`` by falling count; ``group_sums``: sums of count + 1 of all training words of each group."""
+        self.heads, self.head, self.rows = heads, heads * MEMBERS, 4 * heads * MEMBERS
         self.words, self.counts = pa.array(words, pa.large_string()), counts.astype(np.int64)
         self.n_docs = n_docs
         groups = np.array([self.group(w) for w in words], np.int64)
-        tail = np.arange(len(words)) >= HEAD - 1  # the end is the first of the head
+        tail = np.arange(len(words)) >= self.head - 1  # the end is the first of the head
         in_tail = np.bincount(groups[tail], counts[tail] + 1, GROUPS)
         head = np.bincount(groups[~tail], counts[~tail] + 1, GROUPS)
         self.tail_log = np.log10(np.maximum(in_tail, 1))
@@ -90,17 +104,18 @@ class Vocabulary:
         known = at >= 0
         group = np.fromiter(map(self.group, distinct.to_pylist()), np.int64, len(distinct))
         rank = at + 1
-        head = known & (rank < HEAD)
+        head = known & (rank < self.head)
+        log = np.log10(np.where(known, self.counts[np.maximum(at, 0)] if len(self.counts) else 0, 0) + 1.0)
         return {
-            "row": np.where(known & (rank < ROWS), rank, ROWS + group),
-            "cls": np.where(head, rank // MEMBERS, HEAD // MEMBERS + group + np.where(known, 0, GROUPS)),
-            "mem": np.where(head, rank % MEMBERS, -1),
-            "log": np.log10(np.where(known, self.counts[np.maximum(at, 0)] if len(self.counts) else 0, 0) + 1.0),
-            "own": np.where(head, 0.0, np.where(known, np.log10(np.where(known, self.counts[np.maximum(at, 0)] if len(self.counts) else 0, 0) + 1.0) - self.tail_log[group], -self.rest_log[group])),
+            "row": np.where(known & (rank < self.rows), rank, self.rows + group).astype(np.int32),
+            "cls": np.where(head, rank // MEMBERS, self.heads + group + np.where(known, 0, GROUPS)).astype(np.int16),
+            "mem": np.where(head, rank % MEMBERS, -1).astype(np.int16),
+            "log": log,
+            "own": np.where(head, 0.0, np.where(known, log - self.tail_log[group], -self.rest_log[group])),
             "known": known,
         }
 
-    def stream(self, texts: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray, pa.Array]:
+    def stream(self, texts: pa.Array, wanted: tuple[str, ...] = ("row", "cls", "mem", "log", "own", "known")) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray, pa.Array]:
         """Ends of the texts in the stream of tokens, the tokens' columns (each text has its end token), codes, words."""
         offsets, codes, distinct = common.tokenize(texts)
         columns = self.of(distinct)
@@ -109,9 +124,9 @@ class Vocabulary:
         place[ends - 1] = False
         end = {"row": 0, "cls": 0, "mem": 0, "log": math.log10(self.n_docs + 1), "own": 0.0, "known": self.n_docs > 0}
         out = {}
-        for name, values in columns.items():
-            out[name] = np.full(len(place), end[name], values.dtype)
-            out[name][place] = values[codes]
+        for name in wanted:
+            out[name] = np.full(len(place), end[name], columns[name].dtype)
+            out[name][place] = columns[name][codes]
         return ends, out, codes, distinct
 
 
@@ -119,17 +134,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def train(flat: np.ndarray, row: np.ndarray, cls: np.ndarray, mem: np.ndarray, start: np.ndarray) -> None:
-    """One pass over a stream, in place: Adam on windows of truncated backpropagation."""
+def train(flat: np.ndarray, heads: int, row: np.ndarray, cls: np.ndarray, mem: np.ndarray, start: np.ndarray) -> None:
+    """One pass over a stream, in place: Adam on windows of truncated backpropagation. The stream is laid out in lanes,
+    as many as leave ``UPDATES`` windows, at most ``LANES``; the last lanes are filled up with places that teach nothing."""
     n = len(row)
     lanes = int(min(LANES, max(1, n // (WINDOW * UPDATES)), n))
-    steps = n // lanes
-    cut = lambda x: np.ascontiguousarray(x[: lanes * steps].reshape(lanes, steps).T)
-    before = cut(np.concatenate([[0], row[:-1]]))
-    cls, mem, start = cut(cls), cut(mem), cut(start)
-    m, grad = views(flat), np.zeros(SIZE, np.float32)
-    d = views(grad)
-    first, second = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)
+    steps = -(-n // lanes)
+    cut = lambda x: np.ascontiguousarray(np.concatenate([x, np.zeros(lanes * steps - n, x.dtype)]).reshape(lanes, steps).T)
+    before = cut(np.concatenate([np.zeros(1, row.dtype), row[:-1]]))
+    cls, mem, start, real = cut(cls), cut(mem), cut(start), cut(np.ones(n, bool))
+    m, grad = views(flat, heads), np.zeros(len(flat), np.float32)
+    d = views(grad, heads)
+    first, second = np.zeros(len(flat), np.float32), np.zeros(len(flat), np.float32)
     state = np.zeros((lanes, HIDDEN), np.float32)
     updates = -(-steps // WINDOW)
     for k in range(updates):
@@ -150,7 +166,9 @@ def train(flat: np.ndarray, row: np.ndarray, cls: np.ndarray, mem: np.ndarray, s
             out[t] = state
         flat_out = out.reshape(-1, HIDDEN)
         grad[:] = 0
-        scale = np.float32(1 / len(flat_out))
+        teaches = real[at].ravel()
+        full = bool(teaches.all())
+        scale = np.float32(1 / (len(flat_out) if full else max(teaches.sum(), 1)))
         # classes
         logits = flat_out @ m["wc"] + m["bc"]
         logits -= logits.max(axis=1, keepdims=True)
@@ -159,12 +177,15 @@ def train(flat: np.ndarray, row: np.ndarray, cls: np.ndarray, mem: np.ndarray, s
         target, member = cls[at].ravel(), mem[at].ravel()
         logits[np.arange(len(target)), target] -= 1
         logits *= scale
+        if not full:
+            logits[~teaches] = 0
         d["wc"][:], d["bc"][:] = flat_out.T @ logits, logits.sum(axis=0)
         d_out = logits @ m["wc"].T
         # members of the head's classes
         order = np.argsort(target, kind="stable")
-        edges = np.searchsorted(target[order], np.arange(HEAD // MEMBERS + 1))
-        for c in range(HEAD // MEMBERS):
+        order = order if full else order[teaches[order]]
+        edges = np.searchsorted(target[order], np.arange(heads + 1))
+        for c in range(heads):
             own = order[edges[c] : edges[c + 1]]
             if len(own):
                 h = flat_out[own]
@@ -195,8 +216,8 @@ def train(flat: np.ndarray, row: np.ndarray, cls: np.ndarray, mem: np.ndarray, s
         de = dx @ m["wx"].T
         sort = np.argsort(rows.ravel(), kind="stable")
         sorted_rows = rows.ravel()[sort]
-        heads = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-        d["e"][sorted_rows[heads]] = np.add.reduceat(de[sort], heads, axis=0)
+        runs = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
+        d["e"][sorted_rows[runs]] = np.add.reduceat(de[sort], runs, axis=0)
         norm = float(np.sqrt(np.dot(grad, grad)))
         if norm > 1:
             grad *= np.float32(1 / norm)
@@ -208,9 +229,9 @@ def train(flat: np.ndarray, row: np.ndarray, cls: np.ndarray, mem: np.ndarray, s
         flat -= np.float32(rate) * first / (np.sqrt(second) + np.float32(1e-6))
 
 
-def score(flat: np.ndarray, ends: np.ndarray, columns: dict[str, np.ndarray]) -> np.ndarray:
+def score(flat: np.ndarray, heads: int, ends: np.ndarray, columns: dict[str, np.ndarray]) -> np.ndarray:
     """log10 probability of the classes, and of the head's members, of each whole text, the state carried on."""
-    m = views(flat)
+    m = views(flat, heads)
     table = m["e"] @ m["wx"] + m["bx"]
     starts = np.concatenate([[0], ends[:-1]])
     lengths = ends - starts
@@ -241,8 +262,8 @@ def score(flat: np.ndarray, ends: np.ndarray, columns: dict[str, np.ndarray]) ->
         logits -= logits.max(axis=1, keepdims=True)
         cost = logits[np.arange(len(target)), target] - np.log(np.exp(logits).sum(axis=1))
         own_order = np.argsort(target, kind="stable")
-        edges = np.searchsorted(target[own_order], np.arange(HEAD // MEMBERS + 1))
-        for c in range(HEAD // MEMBERS):
+        edges = np.searchsorted(target[own_order], np.arange(heads + 1))
+        for c in range(heads):
             own = own_order[edges[c] : edges[c + 1]]
             if len(own):
                 p = hidden[own] @ m["wm"][c] + m["bm"][c]
@@ -256,17 +277,19 @@ def score(flat: np.ndarray, ends: np.ndarray, columns: dict[str, np.ndarray]) ->
 
 
 def _round(docs: DataFrame, vocabulary, model) -> np.ndarray:
-    """The model after a round: each task's copy, averaged by tokens."""
+    """The model after a round: each shard's copy, averaged by tokens. ``docs``: text, and its place ``h``."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(1, math.ceil(total / SHARD_BYTES))
 
     def run(batches):
         own, said, seen = model.value.copy(), vocabulary.value, 0
         held: list[pa.Array] = []
 
         def learn() -> int:
-            ends, columns, _, _ = said.stream(pa.concat_arrays(held))
+            ends, columns, _, _ = said.stream(pa.concat_arrays(held), ("row", "cls", "mem"))
             start = np.zeros(len(columns["row"]), bool)
             start[np.concatenate([[0], ends[:-1]])] = True
-            train(own, columns["row"], columns["cls"], columns["mem"], start)
+            train(own, said.heads, columns["row"], columns["cls"], columns["mem"], start)
             return len(start)
 
         size = 0
@@ -278,27 +301,31 @@ def _round(docs: DataFrame, vocabulary, model) -> np.ndarray:
         if held:
             seen += learn()
         if seen:
-            yield [np.arange(SIZE), own.astype(np.float64) * seen, np.full(SIZE, float(seen))]
+            yield [np.arange(len(own)), own.astype(np.float64) * seen, np.full(len(own), float(seen))]
 
-    sums = common.mapped(docs.select("text"), run, "k int, v double, w double").groupBy("k").agg((F.sum("v") / F.sum("w")).alias("v")).toArrow()  # one row for each parameter
+    dealt = docs.repartition(shards, "h").sortWithinPartitions("h").select("text")
+    with common.shuffles_cleaned(docs.sparkSession):
+        sums = common.mapped(dealt, run, "k int, v double, w double").groupBy("k").agg((F.sum("v") / F.sum("w")).alias("v")).toArrow()  # one row for each parameter
     if not sums.num_rows:
         return model.value
-    out = np.zeros(SIZE, np.float32)
+    out = np.zeros(len(model.value), np.float32)
     out[sums["k"].to_numpy()] = sums["v"].to_numpy()
     return out
 
 
 def fit(training: DataFrame, counts: DataFrame, n_docs: int) -> tuple[Vocabulary, np.ndarray]:
-    """Vocabulary and model from training documents (text) and their word counts (word, count)."""
+    """Vocabulary and model from training documents (text, and ``h``, a hash that deals them) and their word counts
+    (word, count)."""
     spark = training.sparkSession
+    heads = head_classes(counts.count())
     top = common.most_frequent(counts, KNOWN).toArrow().sort_by([("count", "descending"), ("word", "ascending")])
     groups = counts.groupBy(group_of(F.col("word")).alias("g")).agg(F.sum(F.col("count") + 1).alias("n")).toPandas()
     sums = np.zeros(GROUPS)
     sums[groups["g"].to_numpy(int)] = groups["n"].to_numpy()
-    vocabulary = Vocabulary(top["word"].to_pylist(), top["count"].to_numpy(), sums, n_docs)
-    sent, flat = spark.sparkContext.broadcast(vocabulary), fresh()
+    vocabulary = Vocabulary(top["word"].to_pylist(), top["count"].to_numpy(), sums, n_docs, heads)
+    sent, flat = spark.sparkContext.broadcast(vocabulary), fresh(heads)
     for part in ROUNDS:
-        eighth = F.pmod(F.xxhash64("text", F.lit("round")), F.lit(8))
+        eighth = F.pmod(F.xxhash64("h", F.lit("round")), F.lit(8))
         flat = _round(training.where(eighth.isin(*part)), sent, spark.sparkContext.broadcast(flat))
     return vocabulary, flat
 
@@ -325,7 +352,7 @@ def _scored(docs: DataFrame, vocabulary, model) -> DataFrame:
             word = distinct.take(pa.array(pairs % max(len(distinct), 1))).cast(pa.string())
             bounds = np.searchsorted(pairs, np.arange(len(ends) + 1) * max(len(distinct), 1))
             rest = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([word, pa.array(times, pa.int64())], ["word", "n"])).cast(kind)
-            yield [key + np.arange(len(ends)), batch.column("doc_id"), batch.column("held_out"), ends - starts, summed(known.astype(np.int64)), summed(columns["log"]), score(own, ends, columns) + summed(columns["own"]), rest]
+            yield [key + np.arange(len(ends)), batch.column("doc_id"), batch.column("held_out"), ends - starts, summed(known.astype(np.int64)), summed(columns["log"]), score(own, said.heads, ends, columns) + summed(columns["own"]), rest]
             key += len(ends)
 
     schema = f"key long, doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, log_sum double, part double, rest array<struct<word:string,n:long>>"
@@ -336,11 +363,13 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text).
 
     Rows where ``held_out`` isn't true are learned from. A null text is empty: it has its end only. Repeated rows are
-    learned from and scored each. Without training documents, all words are unseen and the model is the fresh one.
+    learned from and scored each. Without training documents, all words are unseen and the model is the fresh one. Other
+    columns are ignored, whatever their names. How the input is split into partitions does not matter.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    training = rows.where(~F.col("held_out"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    training = rows.where(~F.col("held_out")).select("text", F.xxhash64("doc_id", "text").alias("h"))
     counts = common.materialize(word_counts(training.select("text")))
     n_docs = training.count()
     n, v = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
