@@ -112,8 +112,14 @@ def test_jaccard_components(documents, no_documents, n, num):
                 x, y = find(rows[a][0]), find(rows[b][0])
                 parent[max(x, y)] = min(x, y)
     want = collections.Counter((i, len(s), find(i) if i is not None else None) for (i, _), s in zip(rows, sets, strict=True))
-    got = jaccard.jaccard_components(documents.repartition(3), n, num, 100).collect()
-    assert collections.Counter(map(tuple, got)) == want
+    got = jaccard.jaccard_components(documents.repartition(3), n, num, 100, links=True).collect()
+    assert collections.Counter(tuple(r)[:3] for r in got) == want
+    named = {s for (i, _), s in zip(rows, sets, strict=True) if s and i is not None}
+    links = {s: sum(100 * len(s & o) >= num * len(s | o) for o in named if o != s) for s in named}
+    least = {s: min(i for (i, _), o in zip(rows, sets, strict=True) if o == s and i is not None) for s in named}
+    want = collections.Counter((i, len(s), None if i is None else least.get(s, i), None if i is None else links.get(s, 0)) for (i, _), s in zip(rows, sets, strict=True))
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["class_id"], r["n_links"]) for r in got) == want
+    assert [r[:3] for r in sorted(map(tuple, got), key=str)] == sorted(map(tuple, jaccard.jaccard_components(documents, n, num, 100).collect()), key=str)
     assert jaccard.jaccard_components(no_documents, n, num, 100).count() == 0
 
 
@@ -132,6 +138,27 @@ def test_jaccard_finds_links_between_chains(spark):
     assert got == set(label)
 
 
+def test_link_counts_over_blocks(spark, monkeypatch):
+    """A component of many blocks, some n-grams at a time."""
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard, "FEATURES", 16)
+    base = [f"w{k}" for k in range(80)]
+    texts = [" ".join(base[:k] + [f"y{k}", "y"] + base[k + 2 :]) for k in range(0, 78, 2)] + [" ".join(base)]
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 88, 100, links=True).collect()}
+    sets = [shingles(t, 3) for t in texts]
+    assert got == {a: sum(100 * len(sets[a] & sets[b]) >= 88 * len(sets[a] | sets[b]) for b in range(len(sets)) if a != b) for a in range(len(sets))} and len(set(got.values())) > 1
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    rows = [(1, "a b c d e f g", "x", 0), (1, "q r s t u v w", "y", 0), (1, "a b c d e f g", "z", 0), (2, "a b c d e f g", "x", 0), (3, "", "x", 0), (3, None, "x", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _k string, _id int")
+    first = jaccard.one_of_each(df, 3, 90, 100)
+    kept = [tuple(r) for r in first.collect()]
+    assert first.columns == df.columns and sorted((r[0], r[1]) for r in kept if r[1]) == [(1, "a b c d e f g"), (1, "q r s t u v w")] and len(kept) == 4
+    assert sorted(kept, key=str) == sorted((tuple(r) for r in jaccard.one_of_each(df.repartition(3), 3, 90, 100).collect()), key=str)
+    assert {r["component_id"] for r in jaccard.jaccard_components(df.where("doc_id < 3"), 3, 90, 100).collect()} == {1}
+
+
 def test_one_of_each(documents):
     kept = jaccard.one_of_each(documents, 3, 90, 100)
     assert kept.columns == documents.columns
@@ -191,41 +218,80 @@ def test_language_model(spark, documents, no_documents):
     assert lm.score_documents(no_documents, held).count() == 0
 
 
-def test_language_model_adds_up_to_one(spark):
-    """The probabilities of every next token after a text, an unseen word in each group included, add up to one at most."""
-    import numpy as np
-    import pyarrow as pa
-
+def plain_log_probability(flat, vocabulary, words, counts, end=True):
+    """log10 probability of a text, its end included, token by token, with plain loops over the model's numbers."""
+    m = {k: v.astype(float) for k, v in lm.views(flat, vocabulary.heads).items()}
+    ranks = {w: k + 1 for k, w in enumerate(vocabulary.words.to_pylist())}
+    groups = collections.defaultdict(lambda: [0, 0])  # counts + 1 of known words outside the head, of rarer words
+    for w, c in counts.items():
+        rank = ranks.get(w)
+        if rank is None or rank >= vocabulary.head:
+            groups[vocabulary.group(w)][rank is None] += c + 1
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    h, row, total, size = [0.0] * lm.HIDDEN, 0, 0.0, lm.HIDDEN
+    for word in [*words, None] if end else words:
+        x = [sum(m["e"][row][i] * m["wx"][i][j] for i in range(lm.WIDTH)) + m["bx"][j] for j in range(2 * size)]
+        u = [sum(h[i] * m["u"][i][j] for i in range(size)) for j in range(2 * size)]
+        f = [sigmoid(x[j] + u[j]) for j in range(size)]
+        h = [h[j] + f[j] * (math.tanh(x[size + j] + f[j] * u[size + j]) - h[j]) for j in range(size)]
+        softmax = lambda w, b: (z := [sum(h[i] * w[i][j] for i in range(size)) + b[j] for j in range(len(b))], s := math.log(sum(map(math.exp, z))), [v - s for v in z])[2]
+        rank, group = (0, None) if word is None else (ranks.get(word), vocabulary.group(word))
+        if rank is not None and rank < vocabulary.head:
+            cls = rank // lm.MEMBERS
+            total += softmax(m["wc"], m["bc"])[cls] + softmax(m["wm"][cls], m["bm"][cls])[rank % lm.MEMBERS]
+        else:
+            rest = rank is None
+            share = math.log(counts.get(word, 0) + 1) - math.log(groups[group][rest] + (1 if rest else 0))
+            total += softmax(m["wc"], m["bc"])[vocabulary.heads + group + (lm.GROUPS if rest else 0)] + share
+        row = rank if rank is not None and rank < vocabulary.rows else vocabulary.rows + group
+    return total / math.log(10)
+
+
+def test_language_model_scores_token_by_token(spark, monkeypatch):
+    """Each document's score against plain loops, words of every kind included; probabilities add up to one at most."""
+    monkeypatch.setattr(lm, "KNOWN", 400)
+    monkeypatch.setattr(lm, "LEAST_CLASSES", 4)
     texts = [" ".join(f"w{(k * j) % 700}" for j in range(1, 60)) for k in range(40)]
-    counts = quality.word_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
-    old = lm.KNOWN
-    try:
-        lm.KNOWN = 600
-        vocabulary, flat = lm.fit(spark.createDataFrame([(t,) for t in texts], "text string"), counts, len(texts))
-    finally:
-        lm.KNOWN = old
-    every = {r["word"]: r["count"] for r in counts.collect()}
+    df = spark.createDataFrame([*enumerate(texts), (100, "w7 w12 never w699 seen"), (101, ""), (102, None)], "doc_id long, text string")
+    held = F.col("doc_id") >= 100
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(df, held).collect()}
+    training = df.where(~held).select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    counted = quality.word_counts(training)
+    vocabulary, flat = lm.fit(training, counted, len(texts))
+    counts = {r["word"]: r["count"] for r in counted.collect()}
+    assert vocabulary.head < len(vocabulary.words) < len(counts)
+    for doc, text in [(3, texts[3]), (39, texts[39]), (100, "w7 w12 never w699 seen"), (101, ""), (102, "")]:
+        assert abs(got[doc] - plain_log_probability(flat, vocabulary, text.split(), counts)) < 1e-3
     unseen, k = {}, 0
     while len(unseen) < lm.GROUPS:
         unseen.setdefault(vocabulary.group(f"u{k}"), f"u{k}")
         k += 1
-    words = [*every, *unseen.values()]
-    ends, columns, _, _ = vocabulary.stream(pa.array([f"w7 w12 {w}" for w in words] + ["w7 w12"]))
-    own = columns["own"] + np.where(columns["known"], 0, 0)
-    whole = lm.score(flat, ends, columns)
-    # the last word's own part: rare words' counts come from the join
-    total = 0.0
-    prefix_ends, prefix, _, _ = vocabulary.stream(pa.array(["w7 w12"]))
-    cut = {c: x[:-1] for c, x in prefix.items()}
-    before = lm.score(flat, prefix_ends - 1, cut)[0]
-    for i, w in enumerate(words):
-        at = ends[i] - 2
-        short = {c: x[ends[i] - 4 : ends[i] - 1] for c, x in columns.items()}
-        p = lm.score(flat, np.array([3]), short)[0] - before + own[at] + (0 if columns["known"][at] else math.log10(every.get(w, 0) + 1))
-        total += 10**p
-    total += 10 ** (whole[-1] - before)
-    # places of the head that no word has keep a little
-    assert 0.8 < total < 1 + 1e-3
+    before = plain_log_probability(flat, vocabulary, ["w7"], counts, False)
+    total = sum(10 ** (plain_log_probability(flat, vocabulary, ["w7", w], counts, False) - before) for w in [*counts, *unseen.values()])
+    total += 10 ** (plain_log_probability(flat, vocabulary, ["w7"], counts) - before)
+    assert 0.8 < total < 1 + 1e-6
+
+
+def test_language_model_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_BYTES", 4000)
+    df = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 90}" for j in range(1, 60))) for k in range(60)], "doc_id long, text string")
+    scores = [{r["doc_id"]: round(r["score"], 3) for r in lm.score_documents(df.repartition(n), F.col("doc_id") % 7 == 2).collect()} for n in (1, 5)]
+    assert scores[0] == scores[1]
+
+
+def test_last_tokens_are_learned_from():
+    """A stream whose length is no multiple of its lanes: the odd token changes the model."""
+    import numpy as np
+
+    def after(last):
+        flat, n = lm.fresh(16), 20_001
+        row = np.arange(n) % 5 + 1
+        cls, mem = np.zeros(n, np.int16), (row % 32).astype(np.int16)
+        mem[-1] = last
+        lm.train(flat, 16, row.astype(np.int32), cls, mem, np.arange(n) == 0)
+        return flat
+
+    assert not np.array_equal(after(1), after(9)) and np.isfinite(after(1)).all()
 
 
 def test_language_model_learns(spark):
@@ -418,28 +484,97 @@ def test_quality(spark, documents, no_documents):
     assert kept.columns == documents.columns and kept.count() == sum(r["kept"] for r in quality.judge(documents).collect())
 
 
-def test_kneser_ney_probabilities_add_up(spark):
-    words = [("banana", 5), ("bandana", 3), ("cab", 7), ("abc", 1), ("éa", 2), ("a", 9)]
-    model = quality.KneserNey.fit(quality.orders(quality.gram_counts(spark.createDataFrame(words, "word string, count long"), 3), 3))
-    letters = sorted({c for w, _ in words for c in w}) + [quality.STOP]
-    import numpy as np
-
-    for context in ("\x02\x02", "\x02b", "an", "na", "ca", "zz"):
-        total = sum(float(model._probability(np.array([*map(ord, context + c)], np.uint64), 3)[-1]) for c in letters)
-        assert 0.9 < total <= 1 + 1e-6
-    assert model.bits(["banana"])[0] < model.bits(["nabana"])[0] < model.bits(["xxxxxx"])[0]
+class PlainKneserNey:
+    """The model again, by its definition: counts of n-grams, continuation counts below, interpolation."""
+
+    def __init__(self, texts, n):
+        self.n, top = n, collections.Counter()
+        for text in texts:
+            for context, char in self.places(text, n):
+                top[context + char] += 1
+        self.orders = [top]
+        for _ in range(n - 1):
+            above, kinds, own = self.orders[0], collections.Counter(), collections.Counter()
+            for gram, count in above.items():
+                kinds[gram[1:]] += 1
+                own[gram[1:]] += count
+            self.orders.insert(0, {g: own[g] if g.startswith(quality.START) else kinds[g] for g in kinds})
+        self.less = [quality.discounts(*(sum(c == k for c in table.values()) for k in (1, 2, 3, 4))) for table in self.orders]
+        self.heads = []
+        for table, less in zip(self.orders, self.less, strict=True):
+            heads = {}
+            for gram, count in table.items():
+                h = heads.setdefault(gram[:-1], [0, 0.0, 0])
+                h[0], h[1], h[2] = h[0] + count, h[1] + less[min(count, 3)], h[2] + 1
+            self.heads.append(heads)
+
+    @staticmethod
+    def places(text, n):
+        context = quality.START * (n - 1)
+        for word in WORD.findall(lower(text)):
+            said = context + word + quality.STOP
+            for k in range(n - 1, len(said)):
+                yield said[k - n + 1 : k], said[k]
+            context = (quality.START * (n - 2) + word)[2 - n :] + quality.STOP if n > 2 else quality.STOP
+
+    def probability(self, context, char):
+        order = len(context) + 1
+        total, weight, kinds = self.heads[order - 1].get(context, (0, 1.0, 1))
+        below = self.probability(context[1:], char) if order > 1 else 1 / (kinds + 1)
+        if not total:
+            return below
+        count = self.orders[order - 1].get(context + char, 0)
+        return (count - self.less[order - 1][min(count, 3)]) / total + weight / total * below
+
+    def bits(self, text):
+        return -sum(math.log2(self.probability(*x)) for x in self.places(text, self.n))
 
 
-def test_quality_bits_do_not_depend_on_the_bound(spark, documents):
+def test_kneser_ney_probabilities_add_up(spark):
+    texts = ["banana bandana cab", "abc abc abc banana", "éa a a cab cab banana bandana a abc"]
+    model = PlainKneserNey(texts, 3)
+    letters = [*model.orders[0]]
+    for context in (a + b for a in (quality.START, quality.STOP, *"abn") for b in (quality.START, quality.STOP, *"ban")):
+        if context in model.heads[2]:
+            assert 0.9 < sum(model.probability(context, c) for c in letters) <= 1 + 1e-9
+    found = quality.priced(quality.orders(quality.gram_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), 3), 3)).collect()
+    assert {r["gram"]: r["count"] for r in found} == dict(model.orders[2])
+    assert all(abs(r["p"] - model.probability(r["gram"][:-1], r["gram"][-1])) < 1e-12 for r in found)
+
+
+def test_quality_bits_are_those_of_the_whole_model(spark, documents):
+    """Whatever is broadcast, a document's bits are those of the unpruned model, and depend on the order of its words."""
     rows = documents.select("doc_id", "text", "lang")
+    rows = rows.unionByName(spark.createDataFrame([(800, "a bc def ghij klmno a bc def", "en"), (801, "klmno bc a ghij def def bc a", "en"), (802, "nul\x00 \x00\x00\x00\x00\x00\x00 x", "en")], rows.schema))
     bits = lambda entries: sorted((str(r["doc_id"]), round(r["bits"], 9)) for r in quality.judge(rows, entries=entries).select("doc_id", "bits").collect())
     whole = bits(1 << 19)
-    assert bits(40) == whole and bits(0) == whole
-    model = quality.KneserNey.fit(quality.orders(quality.gram_counts(quality.word_counts(rows.select("text")))))
-    for doc, text in {(str(r["doc_id"]), r["text"]) for r in rows.collect()}:
-        words = WORD.findall(lower(text))
-        want = sum(model.bits(words)) / max(sum(map(len, words)) + len(words), 1)
-        assert any(d == doc and abs(want - x) < 1e-4 for d, x in whole)
+    assert bits(40) == whole
+    model = PlainKneserNey([r["text"] for r in rows.collect()], quality.N)
+    want = sorted((str(r["doc_id"]), model.bits(r["text"]) / max(sum(len(w) + 1 for w in WORD.findall(r["text"] or "")), 1)) for r in rows.collect())
+    assert len(want) == len(whole) and all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-6 for a, b in zip(whole, want, strict=True))
+    assert dict(whole)["800"] != dict(whole)["801"]
+
+
+def test_quality_bands_are_medians_and_deviations(spark, documents):
+    """Bands recomputed from the measures: medians of hundredths, deviations shrunk towards those within languages."""
+    got = quality.judge(documents.select("doc_id", "text", "lang")).collect()
+    good = [r for r in got if not r["base_failed"]]
+    middle = lambda xs: sorted(round(x + 1e-12, 2) for x in xs)[(len(xs) - 1) // 2]
+    langs = {r["key"]: r["lang"] for r in documents.select(F.xxhash64("doc_id", "text", "lang").alias("key"), "lang").collect()}
+    of = collections.defaultdict(list)
+    for r in good:
+        of[langs[r["key"]]].append(r)
+    center = {k: middle([r["bits"] for r in v]) for k, v in of.items()}
+    away = lambda r, c: abs(r["bits"] - c) / math.sqrt(1 / 400 + 1 / r["n_words"]) / 20
+    spread = lambda ds: max(middle(ds), 0.01) * 1.4826
+    pooled = spread([away(r, center[k]) for k, v in of.items() if k is not None for r in v])
+    for r in got:
+        k = langs[r["key"]]
+        if k in center and k is not None:
+            n, own = len(of[k]), spread([away(x, center[k]) for x in of[k]])
+            reach = (n * own + quality.PRIOR_DOCS * pooled) / (n + quality.PRIOR_DOCS) * 20 * math.sqrt(1 / 400 + 1 / max(r["n_words"], 1)) * quality.WIDTH
+            assert abs(r["low"] - center[k] + reach) < 0.05 * reach + 0.02 and abs(r["high"] - center[k] - reach) < 0.05 * reach + 0.02
+        assert r["kept"] == (not r["base_failed"] and r["low"] <= r["bits"] <= r["high"])
 
 
 def test_quality_bands_reject_both_ends(spark):
