@@ -8,8 +8,9 @@ Targets: sources in code-point order, null last, weigh 5, 2, 1, repeating, and s
 stops at three times its source's size; the excess is shared again by weight. Sources are few against documents, but
 their number isn't bounded, so targets come from window functions over one row per source, not from the driver.
 
-Running sums are salted (``common.with_rank``): a source with a third of all rows is dealt over many tasks. The cut is
-found by repeated histograms of finish times, each 1,024 rows whatever the input.
+Running sums are salted (``common.with_rank``): a source with a third of all rows is dealt over many tasks. The stream is
+a table of copies without their texts, dealt by ranges of finish time and sorted within them; a sum for each range finds
+the one in which the budget runs out, and a running sum over that range alone finds the copy that would pass it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from graphlens.llm import common
 
-WEIGHTS, EPOCHS, BINS, LAST_ROWS = (5, 2, 1), 3, 1024, 5_000
+WEIGHTS, EPOCHS, RANGE_ROWS = (5, 2, 1), 3, 500_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = EPOCHS) -> DataFrame:
@@ -43,9 +44,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = EP
     return weighed.select("source", "source_size", F.when(F.col("_full"), F.col("_limit").cast("double")).otherwise(share).alias("target"))
 
 
-def _sized(docs: DataFrame) -> DataFrame:
+def _sized(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, source, ``_size``, ``_crc``, ``_key``; with ``whole`` the row itself as ``_row``, out of reach of these names."""
     text = F.col("text").cast("string")
-    return docs.withColumns({"_size": common.n_words(text), "_crc": F.coalesce(F.crc32(text), F.lit(-1)), "_key": F.xxhash64(F.col("doc_id"), text, F.lit("mix"))})
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if whole else []
+    return docs.select("doc_id", "source", common.n_words(text).alias("_size"), F.coalesce(F.crc32(text), F.lit(-1)).alias("_crc"), F.xxhash64(F.col("doc_id"), text, F.lit("mix")).alias("_key"), *row)
 
 
 def _queued(sized: DataFrame, rows: int, goals: DataFrame) -> DataFrame:
@@ -60,62 +63,64 @@ def finish_time(epoch: Column) -> Column:
     return F.when((F.col("_size") > 0) & (F.col("_target") > 0), (epoch * F.col("_source_size") + F.col("_before") + F.col("_size")).cast("double") / F.col("_target"))
 
 
-def _cut(queued: DataFrame, budget: int) -> float:
+def _cut(queued: DataFrame, rows: int, budget: int) -> float:
     """The finish time at which the sorted stream would pass the budget: copies before it are taken, whole."""
     times = F.transform(F.array(*map(F.lit, range(EPOCHS))), finish_time)
-    copies = queued.select(F.explode(times).alias("t"), "_size").where("t is not null")
-    low, high, before = 0.0, 2.0, 0
-    top = copies.agg(F.max("t")).first()[0]
-    if top is None:
-        return math.inf
-    high = math.nextafter(top, math.inf)
-    while True:
-        width = (high - low) / BINS
-        within = copies.where((F.col("t") >= low) & (F.col("t") < high))
-        rows = within.groupBy(F.least(F.floor((F.col("t") - low) / width), F.lit(BINS - 1)).alias("b")).agg(F.sum("_size").alias("s"), F.count("*").alias("n"), F.min("t").alias("least"), F.max("t").alias("most")).orderBy("b").collect()
-        for r in rows:
-            if before + r["s"] > budget:
-                break
-            before += r["s"]
-        else:
-            return math.inf
-        if r["n"] <= LAST_ROWS or r["least"] == r["most"]:
-            # sources' own times differ, so equal times are at most one copy for each source
-            ties = copies.where((F.col("t") >= r["least"]) & (F.col("t") <= r["most"])).groupBy("t").agg(F.sum("_size").alias("s")).orderBy("t").collect()
-            for x in ties:
-                if before + x["s"] > budget:
-                    return x["t"]
-                before += x["s"]
-            return math.inf
-        low, high = r["least"], math.nextafter(r["most"], math.inf)
+    copies = queued.select(F.explode(times).alias("t"), "_key", "doc_id", "_size").where("t is not null")
+    order = ["t", "_key", "doc_id", "_size"]
+    ranges = max(int(queued.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(EPOCHS * rows / RANGE_ROWS))
+    stream = common.materialize(copies.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()))
+    before = 0
+    for r in stream.groupBy("_range").agg(F.sum("_size").alias("s")).orderBy("_range").collect():  # a row for each range
+        if before + r["s"] > budget:
+            w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+            first = stream.where(F.col("_range") == r["_range"]).withColumn("_sum", F.sum("_size").over(w)).where(F.col("_sum") > budget - before).agg(F.min("t")).first()[0]
+            common.release(stream)
+            return first
+        before += r["s"]
+    common.release(stream)
+    return math.inf
 
 
 def _planned(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, float]:
     """One row per document without its text, the sources' targets, the number of rows and the cut."""
-    narrow = common.materialize(_sized(docs).select("doc_id", "source", "_size", "_crc", "_key"))
+    narrow = common.materialize(_sized(docs))
     goals = common.materialize(targets(narrow.groupBy("source").agg(F.sum("_size").cast("long").alias("source_size"))))
     rows, budget = narrow.agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
     queued = common.materialize(_queued(narrow, rows, goals))
-    return queued, goals, rows, _cut(queued, budget)
+    common.release(narrow)
+    return queued, goals, rows, _cut(queued, rows, budget)
 
 
 def allot(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of ``docs`` (doc_id, text, source; other columns are ignored).
 
     A null text has size 0 and gives nothing; null sources are one source, the last. Repeated rows count each. Ties in
-    the order are settled by doc_id, size and checksum; rows that agree in all are interchangeable.
+    a source's order are settled by doc_id, size and checksum; rows that agree in all are interchangeable. Copies of one
+    finish time are taken together or not at all. An empty table gives no rows.
     """
     queued, _, _, cut = _planned(docs)
     taken = sum((F.coalesce((finish_time(F.lit(e)) < F.lit(cut)).cast("long"), F.lit(0)) for e in range(EPOCHS)), F.lit(0)) * F.col("_size")
     return queued.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.cast("long").alias("taken"))
 
 
-def mix(docs: DataFrame, in_order: bool = True) -> DataFrame:
-    """The mixed corpus: the rows of ``docs`` as often as the mix takes them, with ``finish_time``, in that order."""
-    _, goals, rows, cut = _planned(docs)
+def mix(docs: DataFrame, finish: str | None = "finish_time") -> DataFrame:
+    """The mixed corpus: the rows of ``docs`` as often as the mix takes them, sorted by finish time over all partitions.
+
+    ``finish`` names a column for the finish time (None: none); where ``docs`` has a column of that name, the new one
+    gets as many underscores at its end as make it unlike all others. All columns of ``docs`` stay as they are.
+    """
+    queued, goals, rows, cut = _planned(docs)
+    common.release(queued)
     times = F.filter(F.transform(F.array(*map(F.lit, range(EPOCHS))), finish_time), lambda t: t < F.lit(cut))
-    mixed = _queued(_sized(docs), rows, goals).select(*docs.columns, F.explode(times).alias("finish_time"))
-    return mixed.sort("finish_time", "doc_id") if in_order else mixed
+    # a table, so that the files of the shuffles by source are gone before those of the sort are written
+    mixed = common.materialize(_queued(_sized(docs, whole=True), rows, goals).select("_row", "doc_id", "_key", F.explode(times).alias("_t")))
+    taken = mixed.sort("_t", "_key", "doc_id")
+    if finish is None:
+        return taken.select("_row.*")
+    while finish.lower() in {c.lower() for c in docs.columns}:
+        finish += "_"
+    return taken.select("_row.*", F.col("_t").alias(finish))
 
 
 def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
