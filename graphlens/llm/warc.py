@@ -3,7 +3,9 @@
 Many archives are one gzip stream over all records, which no one can seek in. The normaliser inflates such a file once,
 as a stream, rewrites every record as a gzip member of its own and returns a sidecar index (offset and length of each
 member). Archives are rows (archive, content): Spark reads and writes them on whatever store the cluster has, and no
-task touches a local folder. An archive is at most ``ARCHIVE_BYTES`` of records, or one longer record.
+task touches a local folder. An archive written here is at most ``ARCHIVE_BYTES`` of records, or one longer record. Of a
+file made elsewhere, the compressed bytes are one value of a row, so it can have at most 2 GB; what it inflates to has no
+limit, as at most one record is held.
 
 Rows whose payloads are equal and of at least ``LEAST`` bytes: that with the largest page_id is written as response, the
 others as revisit records without payload that refer to it. Equal means equal SHA-1 and length.
@@ -97,16 +99,22 @@ def _gzip(data: bytes) -> bytes:
 
 
 def planned(pages: DataFrame) -> DataFrame:
-    """page_id, url, html (null: empty), digest and refers_to of every row of ``pages``; other columns are left out.
+    """page_id, url, html (null: empty; of a revisit null), digest and refers_to of every row of ``pages``; other columns
+    are left out.
 
-    Repeated rows are written each; of rows that share the largest page_id of their payload, each is a response. A row
-    without page_id is a response.
+    Equal payloads meet as ids, digests and lengths only. Repeated rows are written each; of rows that share the largest
+    page_id of their payload, each is a response. A row without page_id is a response.
     """
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("_large", F.octet_length("html") >= LEAST)
-    first = rows.where("_large").groupBy("digest", F.octet_length("html").alias("_bytes")).agg(F.max("page_id").alias("_kept"), F.count("*").alias("_n")).where("_n > 1")
-    joined = rows.alias("a").join(first.alias("b"), F.col("_large") & (F.col("a.digest") == F.col("b.digest")) & (F.octet_length("a.html") == F.col("b._bytes")), "left")
-    return joined.select("a.page_id", "a.url", "a.html", "a.digest", F.when(F.col("b._kept") > F.col("a.page_id"), F.col("b._kept")).alias("refers_to"))
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    short = rows.select("page_id", "digest", F.octet_length("html").alias("_bytes")).where((F.col("_bytes") >= LEAST) & F.col("page_id").isNotNull())
+    last = short.groupBy("digest", "_bytes").agg(F.max("page_id").alias("_kept"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    revisits = short.join(last, ["digest", "_bytes"]).where("page_id < _kept").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "_kept").distinct()
+    # rows without page_id are spread by what they hold; they match nothing
+    key = F.coalesce("page_id", F.xxhash64("url", "html"))
+    joined = rows.withColumn("_key", key).join(revisits, (F.col("_key") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    refers_to = F.when(F.col("page_id").isNotNull(), F.col("_kept"))
+    return joined.select("page_id", "url", F.when(refers_to.isNull(), F.col("html")).alias("html"), "digest", refers_to.alias("refers_to"))
 
 
 def write(rows: DataFrame) -> DataFrame:
@@ -120,7 +128,7 @@ def write(rows: DataFrame) -> DataFrame:
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")]
             for page_id, url, html, digest, refers_to in zip(*columns, strict=True):
-                one = record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, refers_to)
+                one = record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), digest, refers_to)
                 parts.append(packer.compress(one))
                 size += len(one)
                 if size >= ARCHIVE_BYTES:
@@ -156,9 +164,11 @@ def index(normalised: DataFrame) -> DataFrame:
     return normalised.select("archive", F.posexplode(F.arrays_zip("offsets", "lengths")).alias("record", "_at")).select("archive", "record", F.col("_at.offsets").alias("offset"), F.col("_at.lengths").alias("length"))
 
 
-def read(normalised: DataFrame) -> DataFrame:
-    """Every record, sought by the index: page_id, url, record_type, refers_to; payload_bytes and payload_digest, of a
-    response computed from its payload, of a revisit null and as its head states."""
+def read(archives: DataFrame, sidecar: DataFrame) -> DataFrame:
+    """Every record, sought by the sidecar index (archive, offset, length): page_id, url, record_type, refers_to;
+    payload_bytes and payload_digest, of a response computed from its payload, of a revisit null and as its head states."""
+    places = sidecar.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("_at"))  # the records of one archive
+    sought = archives.select("archive", "content").join(places, "archive").select("content", F.col("_at.offset").alias("offsets"), F.col("_at.length").alias("lengths"))
 
     def run(batches):
         import hashlib
@@ -175,7 +185,7 @@ def read(normalised: DataFrame) -> DataFrame:
                         column.append(value)
                 yield out
 
-    return common.mapped(normalised, run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string")
+    return common.mapped(sought, run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string")
 
 
 def resolved(found: DataFrame) -> DataFrame:
@@ -189,8 +199,10 @@ def resolved(found: DataFrame) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = common.materialize(write(planned(common.table(spark, sf_dir, "pages"))))
-    # normalised archives are read where they are made; to keep them, write normalise()'s rows as a table
-    return resolved(common.materialize(read(normalise(archives))))
+    normal = common.materialize(normalise(archives))
+    common.release(archives)
+    sidecar = common.materialize(index(normal))
+    return resolved(common.materialize(read(normal, sidecar)))
 
 
 ORACLE = f"""
