@@ -83,6 +83,11 @@ def test_top_k_is_exact(spark):
         for q in (x for x in whole if x % 50 == 0):
             want = sorted(((-sum(a * b for a, b in zip(whole[q], v, strict=False)), i) for i, v in whole.items() if i != q))[:k]
             assert got[q] == [(i, -s) for s, i in want]
+    repeated = spark.createDataFrame([(50, [1.0, 1.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.5, 0.0]), (50, [9.0, 9.0])], df.select("id", F.lit(None).cast("array<double>").alias("x")).schema)
+    found = topk.top_k(repeated.select("id", topk.quantised(F.col("x")).alias("v")), F.col("id") % 50 == 0, 3)
+    assert sorted((r["query"], r["rank"], r["id"], r["score"]) for r in found.collect()) == sorted([(50, k, 1, 65536 * w * v) for w in (1, 9) for k, v in ((1, 2), (2, 1), (3, 1))])
+    with pytest.raises(Exception, match="id 7 is too long"):
+        topk.top_k(repeated.unionByName(spark.createDataFrame([(7, [1e300])], repeated.schema)).select("id", topk.quantised(F.col("x")).alias("v")), F.lit(True)).collect()
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
     assert topk.top_k(df.where("id = 50"), F.lit(True)).count() == 0
 
@@ -195,11 +200,43 @@ def test_mixing(documents, no_documents):
     assert all(0 <= r["taken"] <= 3 * r["size"] and (not r["size"] or r["taken"] % r["size"] == 0) for r in got)
     assert sum(r["taken"] for r in got) <= sum(sizes.values())
     assert collections.Counter(map(tuple, got)) == collections.Counter(map(tuple, mixing.allot(documents.repartition(7)).collect()))
+    # the stream again: each source's queue, all copies by finish time, cut before the first that passes the budget
+    queues, stream = collections.defaultdict(list), []
+    for r in mixing._sized(documents).collect():
+        queues[r["source"]].append((r["_key"], -1 if r["doc_id"] is None else r["doc_id"], r["_size"], r["_crc"]))
+    for source, queue in queues.items():
+        before = 0
+        for key, doc, size, _ in sorted(queue):
+            if size and target[source]:
+                stream += [((e * sizes[source] + before + size) / target[source], key, doc, size) for e in range(3)]
+            before += size
+    plain, total, last = collections.Counter(), 0, None
+    for t, _, doc, size in sorted(stream):
+        if total + size > sum(sizes.values()):
+            last = t
+            break
+        total += size
+    for t, _, doc, size in stream:
+        plain[doc] += size if last is None or t < last - 1e-12 else 0
+    taken = collections.Counter()
+    for r in got:
+        taken[-1 if r["doc_id"] is None else r["doc_id"]] += r["taken"]
+    assert +plain == +taken
     mixed = mixing.mix(documents)
     assert mixed.columns == [*documents.columns, "finish_time"]
     times = [r["finish_time"] for r in mixed.collect()]
     assert times == sorted(times) and sum(len(WORD.findall(r["text"])) for r in mixed.collect()) == sum(r["taken"] for r in got)
     assert mixing.allot(no_documents).count() == 0
+    assert mixing.mix(no_documents).count() == 0
+
+
+def test_mixing_leaves_columns_alone(spark):
+    df = spark.createDataFrame([(k, f"w{k} x y", "a" if k % 3 else None, "USER", k, -k, 0.5, "b") for k in range(40)], "doc_id long, text string, source string, _size string, _key int, _crc int, finish_time double, _b string")
+    got = mixing.mix(df)
+    assert got.columns == [*df.columns, "finish_time_"] and mixing.mix(df, None).columns == df.columns
+    rows = got.collect()
+    assert rows and all((r["_size"], r["_key"], r["_crc"], r["finish_time"], r["_b"]) == ("USER", r["doc_id"], -r["doc_id"], 0.5, "b") for r in rows)
+    assert [r["finish_time_"] for r in rows] == sorted(r["finish_time_"] for r in rows)
 
 
 # 4
@@ -429,15 +466,15 @@ def test_url_model_is_a_distribution():
 
 def test_warc_round_trip(spark):
     big = "<p>é</p>" * 400
-    rows = [(1, "http://a/\r\nX: y", big), (2, None, big), (3, "http://b", big), (3, "http://b", big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "", ""), (None, "n", big), (8, "r", "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n")]
+    rows = [(20, "http://long", "<p>long</p>" * 300_000), (21, "http://long", "<p>long</p>" * 300_000), (1, "http://a/\r\nX: y", big), (2, None, big), (3, "http://b", big), (3, "http://b", big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "", ""), (None, "n", big), (8, "r", "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string").repartition(2)
     archives = warc.write(warc.planned(pages))
-    normal = warc.normalise(archives)
-    got = sorted(map(tuple, warc.resolved(warc.read(normal)).collect()), key=str)
+    normal = common.materialize(warc.normalise(archives))
+    got = sorted(map(tuple, warc.resolved(warc.read(normal, warc.index(normal))).collect()), key=str)
     sha = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
-    kept = {1: 3, 2: 3}
+    kept = {1: 3, 2: 3, 20: 21}
     assert got == sorted(((i, len((h or "").encode()), sha(h), "revisit" if i in kept else "response", kept.get(i)) for i, _, h in rows), key=str)
-    assert {r["url"] for r in warc.read(normal).collect()} >= {"http://a/%0D%0AX:%20y", "http://b", None, ""}
+    assert {r["url"] for r in warc.read(normal, warc.index(normal)).collect()} >= {"http://a/%0D%0AX:%20y", "http://b", None, ""}
     assert warc.index(normal).count() == len(rows)
     import gzip
 
