@@ -20,8 +20,8 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, none to three times. Packing asks for no order, so the rows aren't sorted."""
-    return mixing.mix(docs, in_order=False).drop("finish_time")
+    """Documents as often as the mix takes them, none to three times, sorted by virtual finish time."""
+    return mixing.mix(docs, finish=None)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
