@@ -72,7 +72,7 @@ def normalize_trigger(text: Column) -> Column:
 
 def base_type(receiver: Column) -> Column:
     """A receiver's type name without pointer marks and type arguments."""
-    return F.regexp_replace(F.regexp_replace(F.trim(receiver), r"^[*&\s]+", ""), r"\[.*$", "")
+    return F.regexp_replace(F.regexp_replace(F.trim(receiver), r"^[*&\s]+", ""), r"(?s)[\[<].*$", "")
 
 
 def snake_case(name: Column) -> Column:
@@ -80,8 +80,17 @@ def snake_case(name: Column) -> Column:
 
 
 def code_shaped(token: Column) -> Column:
-    """An underscore, a dot between characters, or an upper-case letter after the first."""
-    return token.rlike(r"_|^.[^.]*\..|^.+\p{Lu}") & (F.length(token) > 0)
+    """An underscore, a first dot between characters, or an upper-case letter after the first character."""
+    dot = F.instr(token, ".")
+    return (F.instr(token, "_") > 0) | ((dot > 1) & (dot < F.length(token))) | F.substr(token, F.lit(2)).rlike(r"\p{Lu}")
+
+
+def identifiers(text: Column) -> Column:
+    """Name-like and path-like words of a task's text in order, each once: at least two characters, the first a letter
+    or an underscore, unless it is a path (with a slash and an extension)."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{Nd}_./-]+"), F.lit(0)), lambda w: F.regexp_replace(w, r"^[.\-/]+|[.\-/]+$", ""))
+    named = lambda w: w.rlike(r"^[\p{L}_]") | w.rlike(r"/.*\.[^./]+$|^[^/]+/.*\.[^./]+$")
+    return F.array_distinct(F.filter(found, lambda w: (F.length(w) >= 2) & named(w)))
 
 
 def token_estimate(text: Column) -> Column:
@@ -126,28 +135,51 @@ def join_path(prefix: Column, path: Column) -> Column:
     return F.when(prefix == "", path).when((path == "") | (path == "/"), prefix).otherwise(joined)
 
 
-def glob_regex(pattern: str) -> str:
-    """A glob as a regular expression: ``**`` crosses folders, ``*`` and ``?`` do not."""
+def _braces(pattern: str) -> list[str]:
+    """The alternatives of ``{a,b}`` groups; braces without a partner are literal."""
+    opened = pattern.find("{")
+    closed = pattern.find("}", opened)
+    if opened < 0 or closed < 0:
+        return [pattern]
+    return [x for alternative in pattern[opened + 1 : closed].split(",") for x in _braces(pattern[:opened] + alternative + pattern[closed + 1 :])]
+
+
+def _segment_regex(segment: str) -> str:
+    """One path segment: ``*``, ``?``, ``[a-z]``, ``[^a-z]`` and ``\\`` before a literal."""
     import re
 
-    out, k = [], 0
-    while k < len(pattern):
-        if pattern.startswith("**/", k):
-            out.append("(?:.*/)?")
-            k += 3
-        elif pattern.startswith("**", k):
-            out.append(".*")
-            k += 2
-        elif pattern[k] == "*":
+    token = re.compile(r"(?P<star>\*+)|(?P<one>\?)|(?P<kind>\[\^?(?:\\.|[^\\\]])+\])|\\(?P<literal>.)|(?P<bad>[\[\\])|(?P<plain>.)", re.S)
+    out = []
+    for m in token.finditer(segment):
+        if m["star"]:
             out.append("[^/]*")
-            k += 1
-        elif pattern[k] == "?":
+        elif m["one"]:
             out.append("[^/]")
-            k += 1
+        elif m["kind"]:
+            body = m["kind"][1:-1]
+            out.append("(?!/)[" + re.sub(r"(?<!\\)([\[&])", r"\\\1", body) + "]")
+        elif m["bad"]:
+            return r"(?!)"  # not a pattern: nothing matches
         else:
-            out.append(re.escape(pattern[k]))
-            k += 1
-    return "^" + "".join(out) + "$"
+            out.append(re.escape(m["literal"] or m["plain"]))
+    return "".join(out)
+
+
+def glob_regex(pattern: str) -> str:
+    """A glob as a regular expression: a segment ``**`` stands for any number of folders, ``{a,b}`` alternates."""
+    every = []
+    for one in _braces(pattern):
+        parts, out = one.split("/"), ""
+        for k, part in enumerate(parts):
+            last = k == len(parts) - 1
+            if part != "**":
+                out += _segment_regex(part) + ("" if last or parts[k + 1 :] == ["**"] else "/")
+            elif not last:
+                out += "(?:[^/]*/)*"
+            else:
+                out += "(?:/.*)?" if k else ".*"
+        every.append(out)
+    return "^(?:" + "|".join(every) + ")$"
 
 
 def glob_match(path: Column, pattern: str) -> Column:
@@ -251,13 +283,14 @@ def attention_threshold(base: Column, weight: Column) -> Column:
     return F.least(F.greatest(scaled, F.lit(50)), F.greatest(base * 2, F.lit(100)))
 
 
-def truncate_utf8(text: Column, limit: int) -> Column:
+def truncate_utf8(text: Column, limit: int | Column) -> Column:
     """The longest prefix of whole characters of at most ``limit`` bytes."""
-    cut = lambda n: F.substr(text, F.lit(1), n)
-    # a character has one to four bytes, so the prefix has between limit/4 and limit characters
-    lengths = F.sequence(F.lit(limit // 4), F.lit(limit))
-    best = F.array_max(F.filter(lengths, lambda n: F.octet_length(cut(n)) <= limit))
-    return F.when(F.octet_length(text) <= limit, text).otherwise(cut(best))
+    most = (F.lit(limit) if isinstance(limit, int) else limit).cast("int")
+    data = text.cast("binary")
+    # a cut before a continuation byte moves back to the start of that character, three bytes at most
+    continued = lambda n: F.hex(F.substr(data, n + 1, F.lit(1))).between("80", "BF")
+    cut = F.coalesce(*[F.when(~continued(most - k), most - k) for k in range(4)], F.lit(0))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.decode(F.substr(data, F.lit(1), cut), "UTF-8"))
 
 
 def canonical_json(text: Column) -> Column:
@@ -270,12 +303,33 @@ def fingerprint(value: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.to_json(value), 256))
 
 
+#: What a model id can carry beyond its name.
+VENDOR_PREFIX, VERSION_SUFFIX, DATE_SUFFIX = r"^(?:[a-z]+\.)+", r"-v\d+(?::\d+)?$", r"(?:[-@]\d{8}|-\d{4}-\d{2}-\d{2})$"
+
+
 def model_candidates(model: Column) -> Column:
-    """Spellings of a model id to look up, the id first: without provider, without date, with dots for dashes."""
-    bare = F.substring_index(model, "/", -1)
-    undated = F.regexp_replace(bare, r"-(\d{8}|\d{4}-\d{2}-\d{2}|latest)$", "")
-    dotted = F.regexp_replace(undated, r"(\d)-(\d)", "$1.$2")
-    return F.array_distinct(F.array(model, bare, undated, dotted))
+    """Spellings of a model id to look up, the most specific first, all in lower case: as it is, without its provider,
+    then without vendor, version and date, and that with dashes for dots."""
+    whole = F.lower(F.trim(model))
+    own = F.substring_index(whole, "/", -1)
+    base = F.regexp_replace(F.regexp_replace(F.regexp_replace(own, VERSION_SUFFIX, ""), VENDOR_PREFIX, ""), DATE_SUFFIX, "")
+    dashed = F.replace(base, F.lit("."), F.lit("-"))
+    return F.concat(F.array(whole), F.when(whole.contains("/"), F.array(own)).otherwise(F.array().cast("array<string>")), F.array(base), F.when(dashed != base, F.array(dashed)).otherwise(F.array().cast("array<string>")))
+
+
+def qualified(name: Column, receiver: Column) -> Column:
+    """``Type.name`` of a member, the name alone of anything else."""
+    return F.when(F.coalesce(receiver, F.lit("")) == "", name).otherwise(F.concat(base_type(receiver), F.lit("."), name))
+
+
+def exceeds_cap(spent: Column, reserved: Column, requested: Column, cap: Column) -> Column:
+    """Whether a request would pass the cap, with sums that cannot overflow."""
+    return (spent > cap - reserved) | (requested > cap - spent - reserved)
+
+
+def per_million_rate(usd: Column, most: float = 1e6) -> Column:
+    """Microdollars for a million tokens; null where a rate is negative, not finite or above ``most``."""
+    return F.when((usd >= 0) & (usd <= most), F.floor(usd * 1_000_000 + 0.5).cast("long"))
 
 
 def parse_time(value: Column) -> Column:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from graphlens.session import cut
 
 ALPHA, EPSILON, ROUNDS = 0.25, 5e-4, 40
-WEIGHTS = {"type_checked": 1.0, "import_resolved": 1.0, "type_hinted": 0.8, "name_matched": 0.5, "ambiguous": 0.3, "unresolved": 0.1}
+#: Weights by how a reference was resolved, and by what a document's mention names.
+WEIGHTS = {"type_checked": 1.0, "import_resolved": 1.0, "type_hinted": 0.8, "name_matched": 0.4, "ambiguous": 0.15}
+MENTION_WEIGHTS = {"symbol": 0.8, "route": 0.8, "path": 0.5, "ident": 0.4, "ticket": 0.3}
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int, expand: Column | None = None) -> DataFrame:
@@ -61,13 +63,25 @@ def subtypes(extends: DataFrame, roots: DataFrame, abstract: DataFrame, depth: i
     return found.join(abstract.select(F.col("type").alias("node")), "node", "left_anti").select(F.col("seed").alias("root"), F.col("node").alias("type"))
 
 
-def edge_weights(edges: DataFrame) -> DataFrame:
-    """(src, dst, w): both directions, a label's weight over the number of candidates, the way back at 0.8 of it."""
-    label = F.lit(0.1)
-    for name, weight in WEIGHTS.items():
-        label = F.when(F.col("label") == name, weight).otherwise(label)
-    w = label / F.col("candidates")
-    return edges.select(F.col("caller").alias("src"), F.col("callee").alias("dst"), w.alias("w")).union(edges.select("callee", "caller", (w * 0.8).alias("w"))).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+def _weight(column: str, weights: dict[str, float]) -> Column:
+    """The weight of a name; others weigh nothing."""
+    out = F.lit(0.0)
+    for name, weight in weights.items():
+        out = F.when(F.col(column) == name, weight).otherwise(out)
+    return out
+
+
+def edge_weights(edges: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
+    """(src, dst, w): both directions, a label's weight over the number of candidates, the way back at 0.8 of it; and from
+    document sections to what they mention. Labels without a weight give no edge.
+
+    ``edges``: caller, callee, label, candidates; ``mentions``: section, target, kind, label, candidates.
+    """
+    w = _weight("label", WEIGHTS) / F.col("candidates")
+    every = edges.select(F.col("caller").alias("src"), F.col("callee").alias("dst"), w.alias("w")).union(edges.select("callee", "caller", (w * 0.8).alias("w")))
+    if mentions is not None:
+        every = every.union(mentions.select("section", "target", (_weight("kind", MENTION_WEIGHTS) * w).alias("w")))
+    return every.where("w > 0").groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
 def personalized_pagerank(weights: DataFrame, seeds: DataFrame, alpha: float = ALPHA, epsilon: float = EPSILON, rounds: int = ROUNDS) -> DataFrame:
@@ -112,29 +126,27 @@ def diversify(rows: DataFrame, group: list[str], file: str, score: str, tie: str
     return rows.withColumn("adjusted", F.col(score) * F.pow(F.lit(decay), place))
 
 
-def pack_budget(items: DataFrame, budget: int, excerpts: int = 8) -> DataFrame:
-    """Greedy packing of at most 40 ranked rows of each query: an excerpt if it fits (at most ``excerpts``), else a
-    signature, else a handle, else nothing. The state runs over the rows, so each query is one small pandas group."""
-    kind = dict(items.dtypes)["query"]
-
-    def one(pdf):
-        pdf, left, used, zoom = pdf.sort_values(["rank"]).head(40), budget, 0, []
-        for r in pdf.itertuples():
-            if used < excerpts and r.excerpt_tokens <= left:
-                zoom.append(("excerpt", r.excerpt_tokens))
-                used += 1
-            elif r.signature_tokens <= left:
-                zoom.append(("signature", r.signature_tokens))
-            elif r.handle_tokens <= left:
-                zoom.append(("handle", r.handle_tokens))
-            else:
-                zoom.append(("omitted", 0))
-            left -= zoom[-1][1]
-        return pdf.assign(zoom=[z for z, _ in zoom], tokens=[t for _, t in zoom])[["query", "rank", "item", "zoom", "tokens"]]
-
-    # only the rows that can be packed are sent
-    top = items.withColumn("_k", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).where("_k <= 40").drop("_k")
-    return top.groupBy("query").applyInPandas(one, f"query {kind}, rank long, item string, zoom string, tokens long")
+def pack_budget(items: DataFrame, budget: int, excerpts: int = 8, most: int = 40) -> DataFrame:
+    """Greedy packing of at most ``most`` ranked rows of each query: an excerpt if it fits (at most ``excerpts``), else a
+    signature, else a handle, else nothing. The state is folded over a query's rows, a short array."""
+    top = items.withColumn("_k", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).where(F.col("_k") <= most)
+    rows = top.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "item", "excerpt_tokens", "signature_tokens", "handle_tokens"))).alias("_rows"))
+    said = lambda zoom, tokens: F.struct(F.lit(zoom).alias("zoom"), tokens.cast("long").alias("tokens"))
+
+    def packed(state: Column, x: Column) -> Column:
+        left = state["left"]
+        choice = (
+            F.when((state["used"] < excerpts) & (x["excerpt_tokens"] <= left), said("excerpt", x["excerpt_tokens"]))
+            .when(x["signature_tokens"] <= left, said("signature", x["signature_tokens"]))
+            .when(x["handle_tokens"] <= left, said("handle", x["handle_tokens"]))
+            .otherwise(said("omitted", F.lit(0)))
+        )
+        row = F.struct(x["rank"].cast("long").alias("rank"), x["item"].alias("item"), choice["zoom"].alias("zoom"), choice["tokens"].alias("tokens"))
+        return F.struct((left - choice["tokens"]).alias("left"), (state["used"] + (choice["zoom"] == "excerpt").cast("int")).alias("used"), F.concat(state["rows"], F.array(row)).alias("rows"))
+
+    start = F.struct(F.lit(budget).cast("long").alias("left"), F.lit(0).alias("used"), F.array().cast("array<struct<rank:bigint,item:string,zoom:string,tokens:bigint>>").alias("rows"))
+    folded = rows.select("query", F.aggregate("_rows", start, packed, lambda s: s["rows"]).alias("_out"))
+    return folded.select("query", F.explode("_out").alias("_o")).select("query", "_o.*")
 
 
 def co_change(changes: DataFrame, commit: str, file: str, target, k: int = 20) -> DataFrame:

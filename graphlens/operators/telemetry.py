@@ -188,10 +188,11 @@ def correlate(starts: DataFrame, ends: DataFrame, key: str) -> DataFrame:
     return distinct_calls(starts, [key], ["ts"]).alias("a").join(distinct_calls(ends, [key], ["ts"]).alias("b"), key).select(key, F.col("a.ts").alias("started"), F.col("b.ts").alias("ended"))
 
 
-def calibrated_scale(rows: DataFrame, key: str, order: list[str], weight: float = 0.3, low: float = 0.5, high: float = 2.0) -> DataFrame:
-    """Exponentially weighted ratio of actual to estimated tokens, each clamped, folded in order."""
+def calibrated_scale(rows: DataFrame, key: str, order: list[str], weight: float = 0.3, low: float = 1.0, high: float = 2.0, least: int = 4000) -> DataFrame:
+    """Exponentially weighted ratio of actual to estimated tokens, each clamped, folded in order from one. Estimates under
+    ``least`` and calls without an actual number teach nothing."""
     ratio = F.greatest(F.lit(low), F.least(F.lit(high), F.col("actual") / F.col("estimated")))
-    every = rows.where("estimated > 0").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, ratio.alias("r")))).alias("_a"))
+    every = rows.where((F.col("estimated") >= least) & (F.col("actual") > 0)).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, ratio.alias("r")))).alias("_a"))
     return every.select(key, F.aggregate("_a", F.lit(1.0), lambda acc, x: acc * (1 - weight) + x["r"] * weight).alias("scale"))
 
 
@@ -207,5 +208,6 @@ def check_roots(changed: DataFrame, manifests: DataFrame) -> DataFrame:
 
 def prometheus(samples: DataFrame, metric: str, labels: list[str], value: str) -> DataFrame:
     """Sorted lines ``name{labels} value``."""
-    text = F.concat_ws(",", *[F.concat(F.lit(f'{x}="'), F.coalesce(F.col(x).cast("string"), F.lit("")), F.lit('"')) for x in labels])
+    escaped = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n")
+    text = F.concat_ws(",", *[F.concat(F.lit(f'{x}="'), escaped(F.coalesce(F.col(x).cast("string"), F.lit(""))), F.lit('"')) for x in labels])
     return samples.select(F.concat(F.lit(metric + "{"), text, F.lit("} "), F.col(value).cast("string")).alias("line")).orderBy("line")

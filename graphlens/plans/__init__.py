@@ -1,6 +1,6 @@
 """Queries over the driver's tables; importing the package fills the registry."""
 
-from graphlens.plans import graph_queries, lookup_queries, search_queries, store_queries, telemetry_queries, text_queries  # noqa: F401
+from graphlens.plans import context_queries, graph_queries, lookup_queries, search_queries, store_queries, telemetry_queries, text_queries  # noqa: F401
 from graphlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -10,11 +10,12 @@ from graphlens.plans.store_queries import EDGE_SQL, call_edges
 
 #: Calls among declarations: every order is a call of its customer, and its status the label.
 LABEL = "CASE o_orderstatus WHEN 'F' THEN 'import_resolved' WHEN 'O' THEN 'name_matched' ELSE 'ambiguous' END"
-CALLS = f"SELECT o_custkey AS src, o_orderkey * 7 % 1499 + 1 AS dst, min({LABEL}) AS label FROM orders GROUP BY ALL"
+CALLS = f"SELECT o_custkey AS src, o_orderkey * 7 % (SELECT max(c_custkey) FROM customer) + 1 AS dst, min({LABEL}) AS label FROM orders GROUP BY ALL"
 
 
 def _calls(t):
-    return t.orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") * 7 % 1499 + 1).alias("dst"), F.expr(LABEL).alias("label")).groupBy("src", "dst").agg(F.min("label").alias("label"))
+    last = t.customer.agg(F.max("c_custkey")).first()[0]
+    return t.orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") * 7 % last + 1).alias("dst"), F.expr(LABEL).alias("label")).groupBy("src", "dst").agg(F.min("label").alias("label"))
 
 
 def _bfs_sql(edges: str, seeds: str, depth: int, go: str = "true") -> str:
@@ -51,14 +52,15 @@ def impact(t):
     return graph.impact(symbols, edges, symbols)
 
 
-TREE = "SELECT c_custkey AS src, CAST(c_custkey * 2 + k AS BIGINT) AS dst FROM customer, (SELECT unnest([0, 1]) AS k) WHERE c_custkey * 2 + k <= 1500"
+TREE = "SELECT c_custkey AS src, CAST(c_custkey * 2 + k AS BIGINT) AS dst FROM customer, (SELECT unnest([0, 1]) AS k) WHERE c_custkey * 2 + k IN (SELECT c_custkey FROM customer)"
 
 
 @query("subtypes_closure", f"""WITH RECURSIVE e AS ({TREE}), r AS (SELECT 3::BIGINT AS root, 3::BIGINT AS type, 0 AS d UNION SELECT root, dst, d + 1 FROM r JOIN e ON src = type WHERE d < 6)
   SELECT DISTINCT root, type FROM r WHERE d > 0 AND type NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0)""")
 def subtypes_closure(t):
     """Customers form a binary heap; every fifth is abstract."""
-    kids = t.customer.select(F.col("c_custkey").alias("base"), F.explode(F.array(F.col("c_custkey") * 2, F.col("c_custkey") * 2 + 1)).alias("type")).where("type <= 1500")
+    kids = t.customer.select(F.col("c_custkey").alias("base"), F.explode(F.array(F.col("c_custkey") * 2, F.col("c_custkey") * 2 + 1)).alias("type"))
+    kids = kids.join(t.customer.select(F.col("c_custkey").alias("type")), "type", "left_semi")
     abstract = t.customer.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("type"))
     return graph.subtypes(kids, t.spark.createDataFrame([(3,)], "id long"), abstract)
 
@@ -96,10 +98,24 @@ def diversify(t):
     return graph.diversify(t.orders, ["o_custkey"], "o_orderpriority", "o_totalprice", "o_orderkey").select("o_custkey", "o_orderkey", F.round("adjusted", 4).alias("adjusted"))
 
 
-@query("edge_weights", f"""WITH e AS ({EDGE_SQL}), w AS (SELECT *, CASE label WHEN 'import_resolved' THEN 1.0 WHEN 'name_matched' THEN 0.5 ELSE 0.3 END / candidates AS w FROM e)
-  SELECT src, dst, round(sum(w), 6) AS w FROM (SELECT caller AS src, callee AS dst, w FROM w UNION ALL SELECT callee, caller, 0.8 * w FROM w) GROUP BY ALL""")
+#: Sections are suppliers: each mentions the declarations of its number and the next, by a kind that its key gives.
+MENTION_KIND = "CASE s_suppkey % 5 WHEN 0 THEN 'symbol' WHEN 1 THEN 'route' WHEN 2 THEN 'path' WHEN 3 THEN 'ident' ELSE 'ticket' END"
+MENTION_SQL = f"SELECT -s_suppkey AS section, s_suppkey + k AS target, {MENTION_KIND} AS kind, CASE k WHEN 0 THEN 'name_matched' ELSE 'ambiguous' END AS label, 2 AS candidates FROM supplier, (SELECT unnest([0, 1]) AS k)"
+WEIGHT_SQL = f"""w AS (SELECT caller, callee, CASE label WHEN 'type_checked' THEN 1.0::DOUBLE WHEN 'import_resolved' THEN 1.0 WHEN 'type_hinted' THEN 0.8 WHEN 'name_matched' THEN 0.4 WHEN 'ambiguous' THEN 0.15 ELSE 0 END / candidates AS w FROM ({EDGE_SQL})),
+  m AS (SELECT section, target, CASE kind WHEN 'symbol' THEN 0.8::DOUBLE WHEN 'route' THEN 0.8 WHEN 'path' THEN 0.5 WHEN 'ident' THEN 0.4 WHEN 'ticket' THEN 0.3 END * CASE label WHEN 'name_matched' THEN 0.4 ELSE 0.15 END / candidates AS w FROM ({MENTION_SQL})),
+  e AS (SELECT src, dst, sum(w) AS w FROM (SELECT caller AS src, callee AS dst, w FROM w UNION ALL SELECT callee, caller, 0.8 * w FROM w UNION ALL SELECT section, target, w FROM m) WHERE w > 0 GROUP BY ALL)"""
+
+
+def _weights(t):
+    label = F.when(F.col("k") == 0, "name_matched").otherwise("ambiguous")
+    mentions = t.supplier.select((-F.col("s_suppkey")).alias("section"), "s_suppkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    mentions = mentions.select("section", (F.col("s_suppkey") + F.col("k")).alias("target"), F.expr(MENTION_KIND).alias("kind"), label.alias("label"), F.lit(2).alias("candidates"))
+    return graph.edge_weights(call_edges(t), mentions)
+
+
+@query("edge_weights", f"WITH {WEIGHT_SQL} SELECT src, dst, round(w, 6) AS w FROM e")
 def edge_weights(t):
-    return graph.edge_weights(call_edges(t)).select("src", "dst", F.round("w", 6).alias("w"))
+    return _weights(t).select("src", "dst", F.round("w", 6).alias("w"))
 
 
 @query("seed_mass", """WITH s AS (SELECT o_custkey AS query, o_orderkey AS node, CASE o_orderstatus WHEN 'F' THEN 'exact' WHEN 'O' THEN 'path' ELSE 'word' END AS kind FROM orders),
@@ -110,16 +126,27 @@ def seed_mass(t):
     return graph.seed_mass(t.orders.select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("node"), kind.alias("kind"))).select("query", "node", F.round("mass", 6).alias("mass"))
 
 
-@query("ppr_rank")
+@query("ppr_rank", f"""WITH RECURSIVE {WEIGHT_SQL}, p AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM e), have AS (SELECT DISTINCT src FROM e),
+  s AS (SELECT 0 AS k, 1::BIGINT AS node, 1.0::DOUBLE AS r, 0.0::DOUBLE AS score UNION ALL
+    SELECT k, node, sum(r) AS r, sum(score) AS score FROM (
+      SELECT k + 1 AS k, node, CASE WHEN r >= {graph.EPSILON} THEN 0 ELSE r END AS r, score + CASE WHEN r >= {graph.EPSILON} THEN r * CASE WHEN have.src IS NULL THEN 1 ELSE {graph.ALPHA} END ELSE 0 END AS score
+      FROM s LEFT JOIN have ON have.src = node WHERE k < {graph.ROUNDS} AND (SELECT max(r) FROM s) >= {graph.EPSILON}
+      UNION ALL SELECT k + 1, dst, r * (1 - {graph.ALPHA}) * p, 0 FROM s JOIN p ON src = node WHERE k < {graph.ROUNDS} AND r >= {graph.EPSILON}) GROUP BY k, node)
+  SELECT node, round(score, 5) AS score FROM s WHERE k = (SELECT max(k) FROM s) AND score > 0""")
 def ppr_rank(t):
-    """Personalised PageRank over the call graph from one declaration; checked by invariants and a sequential version."""
-    weights = graph.edge_weights(call_edges(t).withColumn("caller", F.col("caller") % 100).where("caller <> callee").groupBy("caller", "callee").agg(F.min("label").alias("label"), F.min("candidates").alias("candidates")))
-    return graph.personalized_pagerank(weights, t.spark.createDataFrame([(1, 1.0)], "node long, mass double"))
+    """Personalised PageRank over the whole call and mention graph from one declaration."""
+    ranked = graph.personalized_pagerank(_weights(t), t.spark.createDataFrame([(1, 1.0)], "node long, mass double"))
+    return ranked.select("node", F.round("score", 5).alias("score"))
 
 
-@query("pack_budget")
+@query("pack_budget", """WITH RECURSIVE i AS (SELECT o_custkey AS query, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, CAST(o_orderkey AS VARCHAR) AS item, o_orderkey % 700 AS e, o_orderkey % 60 AS s, 12 AS h FROM orders),
+  p AS (SELECT DISTINCT query, 0::BIGINT AS rank, '' AS item, '' AS zoom, 0::BIGINT AS tokens, 2000::BIGINT AS room, 0 AS used FROM i UNION ALL
+    SELECT query, rank, item, zoom, tokens, room - tokens, used + CASE zoom WHEN 'excerpt' THEN 1 ELSE 0 END FROM (
+      SELECT query, rank, item, zoom, room, used, CASE zoom WHEN 'excerpt' THEN e WHEN 'signature' THEN s WHEN 'handle' THEN h ELSE 0 END AS tokens FROM (
+        SELECT i.query, i.rank, i.item, e, s, h, room, used, CASE WHEN used < 8 AND e <= room THEN 'excerpt' WHEN s <= room THEN 'signature' WHEN h <= room THEN 'handle' ELSE 'omitted' END AS zoom FROM p JOIN i ON i.query = p.query AND i.rank = p.rank + 1 WHERE p.rank < 40)))
+  SELECT query, rank, item, zoom, tokens FROM p WHERE rank > 0""")
 def pack_budget(t):
-    """Each customer's orders packed into a budget of tokens; the state is sequential, so the tests hold a loop against it."""
+    """Each customer's orders packed into a budget of tokens."""
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long")

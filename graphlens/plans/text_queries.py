@@ -154,7 +154,7 @@ def ref_breadth(t):
     return t.pages.select("page_id", files.alias("files"), folders.alias("folders"))
 
 
-@query("code_shaped", rf"SELECT w AS word, regexp_matches(w, '_|^.[^.]*\..|^.+\p{{Lu}}') AS shaped FROM (SELECT DISTINCT unnest({WORDS.format('url')}) AS w FROM pages)")
+@query("code_shaped", rf"SELECT w AS word, contains(w, '_') OR (strpos(w, '.') > 1 AND strpos(w, '.') < length(w)) OR regexp_matches(substr(w, 2), '\p{{Lu}}') AS shaped FROM (SELECT DISTINCT unnest({WORDS.format('url')}) AS w FROM pages)")
 def code_shaped(t):
     return t.pages.select(F.explode(T.words(F.col("url"))).alias("word")).distinct().select("word", T.code_shaped(F.col("word")).alias("shaped"))
 

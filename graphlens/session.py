@@ -16,10 +16,13 @@ def session(name: str = "graphlens", shuffle_partitions: int | None = None) -> S
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder (``spark.checkpoint.dir``) and read again: iterations do not grow the plan."""
+    """``df`` written to the shared folder (``spark.checkpoint.dir``) and read again: iterations do not grow the plan. Where
+    the setting is unset, a local session gets a folder of its own; on a cluster that is an error."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = getattr(spark, "_graphlens_folder", None) or tempfile.mkdtemp(prefix="graphlens-")
         spark._graphlens_folder = folder
     path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"

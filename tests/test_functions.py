@@ -97,12 +97,28 @@ def test_globs(spark):
     paths = ["src/a.go", "src/x/a.go", "a.go", "src/a.got"]
     assert column(spark, lambda c: T.glob_match(c, "src/*.go"), paths) == [True, False, False, False]
     assert column(spark, lambda c: T.glob_match(c, "**/*.go"), paths) == [True, True, True, False]
+    cases = [("a/*.{go,py}", "a/b.py", True), ("a/*.{go,py}", "a/b.c", False), ("{a,b}/{c,d}.x", "b/d.x", True), ("a/{b", "a/{b", True), ("[a-c]?.go", "bz.go", True), ("[^a-c]x", "dx", True), ("[^a-c]x", "ax", False), ("a/**", "a", True), ("a/**", "a/b/c", True), ("a/**", "ab", False), ("a/**/z", "a/z", True), ("a/**/z", "a/b/c/z", True), ("**", "x/y", True), ("a**b", "axb", True), ("a**b", "a/b", False), (r"\*", "*", True), (r"\*", "x", False), ("[a", "[a", False), ("*[[]x", "q[x", True)]
+    for pattern, path, fits in cases:
+        assert column(spark, lambda c, p=pattern: T.glob_match(c, p), [path]) == [fits], (pattern, path)
+
+
+def test_names_in_tasks(spark):
+    got = column(spark, T.identifiers, ["Fix foo.Bar in src/a_b.go, and x (9z 1/2.go), foo.Bar -- née!", "", ". / -"])
+    assert got == [["Fix", "foo.Bar", "in", "src/a_b.go", "and", "1/2.go", "née"], [], []]
+    assert column(spark, lambda c: T.qualified(F.lit("m"), c), ["*T[K]", "", "Box<X>", None]) == ["T.m", "m", "Box.m", "m"]
+    assert column(spark, lambda c: T.per_million_rate(c.cast("double")), ["0.0000015", "-1", "NaN", "3"]) == [2, None, None, 3_000_000]
+    numbers = lambda *x: [F.lit(v).cast("long") for v in x]
+    assert column(spark, lambda c: F.array(T.exceeds_cap(*numbers(5, 3, 2, 10)), T.exceeds_cap(*numbers(5, 3, 3, 10)), T.exceeds_cap(*numbers(8, 3, 0, 10))), ["x"]) == [[False, True, True]]
 
 
 def test_normalize_and_shape(spark):
     assert column(spark, T.normalize_trigger, ["  Fix—the BUG!! ", "...", "Éa1"]) == ["fix the bug", "", "éa1"]
-    assert column(spark, T.code_shaped, ["a_b", "Abc", "aBc", "a.b", ".a", "a."]) == [True, False, True, True, False, False]
+    assert column(spark, T.code_shaped, ["a_b", "Abc", "aBc", "a.b", ".a", "a.", ".a.b", "a.b.", ""]) == [True, False, True, True, False, False, False, True, False]
     assert column(spark, T.canonical_json, ['{"b":"1","a":"2"}']) == ['{"a":"2","b":"1"}']
-    assert column(spark, T.model_candidates, ["p/claude-3-5-x-20240101"])[0][-1] == "claude-3.5-x"
+    ids = ["p/model-a-3.5-x-20240101", " Vendor/Model-A.5-20250101 ", "us.vendor.model-4-5-20250929-v1:0", "model-x@20250929", "model-y-2024-08-06", "Plain"]
+    assert column(spark, T.model_candidates, ids) == [
+        ["p/model-a-3.5-x-20240101", "model-a-3.5-x-20240101", "model-a-3.5-x", "model-a-3-5-x"], ["vendor/model-a.5-20250101", "model-a.5-20250101", "model-a.5", "model-a-5"],
+        ["us.vendor.model-4-5-20250929-v1:0", "model-4-5"], ["model-x@20250929", "model-x"], ["model-y-2024-08-06", "model-y"], ["plain", "plain"],
+    ]
     assert [x is not None for x in column(spark, T.parse_time, ["2024-01-02T03:04:05Z", "2024-01-02 03:04:05", "2024-01-02", "x"])] == [True, True, True, False]
     assert unicodedata.normalize("NFC", "é") == "é" and re.match("a", "a")
