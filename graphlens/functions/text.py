@@ -44,14 +44,23 @@ def is_stopword(word: Column) -> Column:
     return word.isin(STOPWORDS)
 
 
+#: Words with parts: an underscore, or a change of case or kind within.
+_PARTED = r"_|[\p{Ll}\p{Nd}]\p{Lu}|\p{Lu}\p{Lu}\p{Ll}"
+
+
 def weighted_terms(df: DataFrame, key: list[str], text: str, weight: float = 1.0) -> DataFrame:
-    """(key, term, tf): a word counts its weight, each of several parts half of it; stopwords are dropped, others stemmed."""
-    every = df.select(*key, F.explode(words(F.col(text))).alias("_w"))
-    whole = every.select(*key, F.lower("_w").alias("_t"), F.lit(weight).alias("_x"))
-    parts = every.withColumn("_p", subwords(F.col("_w"))).where(F.size("_p") > 1).select(*key, F.explode("_p").alias("_t"), F.lit(weight / 2).alias("_x")).withColumn("_t", F.lower("_t"))
-    # a part is dropped with its word: words that are stopwords have no parts of their own
-    kept = whole.where(~is_stopword(F.col("_t"))).union(parts.where(~is_stopword(F.col("_t"))))
-    return kept.groupBy(*key, stem(F.col("_t")).alias("term")).agg(F.sum("_x").alias("tf"))
+    """(key, term, tf): a word counts its weight, each of several parts half of it; stopwords are dropped, others stemmed.
+
+    Rows are dealt by the first column of ``key``, whole texts as they are; words are counted before they are split and
+    stemmed, so each text is read once and each distinct word of it handled once, without another shuffle.
+    """
+    counted = df.repartition(key[0]).select(*key, F.explode(words(F.col(text))).alias("_w")).groupBy(*key, "_w").agg(F.count("*").alias("_n"))
+    term = lambda w, x: F.struct(F.lower(w).alias("t"), F.lit(x).alias("x"))
+    parts = subwords(F.col("_w"))
+    whole = F.array(term(F.col("_w"), weight))
+    every = F.when(F.col("_w").rlike(_PARTED) & (F.size(parts) > 1), F.concat(whole, F.transform(parts, lambda p: term(p, weight / 2)))).otherwise(whole)
+    said = counted.select(*key, "_n", F.explode(every).alias("_t")).select(*key, "_n", "_t.t", "_t.x").where(~is_stopword(F.col("t")))
+    return said.groupBy(*key, stem(F.col("t")).alias("term")).agg(F.sum(F.col("x") * F.col("_n")).alias("tf"))
 
 
 def query_terms(df: DataFrame, key: list[str], text: str) -> DataFrame:

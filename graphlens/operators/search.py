@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlens.functions import text as T
+from graphlens.session import cut
 
 K1, B, NAME_WEIGHT, FUZZY_LIMIT, CLOSEST = 1.2, 0.75, 3.0, 25, 5
 
 
 def postings(docs: DataFrame, key: str, text: str, name: str | None = None, corpus: Column | None = None) -> DataFrame:
-    """(corpus, key, term, tf, dl): the name counts three times, its parts half of that; one shuffle by document."""
+    """(corpus, key, term, tf, dl): the name counts three times, its parts half of that; one shuffle, by document."""
     corpus = F.lit("all") if corpus is None else corpus
     base = docs.select(F.col(key), corpus.alias("corpus"), F.col(text).alias("_text"), *([F.col(name).alias("_name")] if name else []))
     found = T.weighted_terms(base, [key, "corpus"], "_text")
@@ -35,7 +36,7 @@ def bm25(posted: DataFrame, key: str, queries: DataFrame, names: DataFrame | Non
     asked = queries.select("query_id", F.explode("terms").alias("term"))
     stats = corpus_stats(posted, key)
     terms = asked.select("term").distinct()
-    hits = posted.join(terms, "term", "left_semi")
+    hits = cut(posted.join(terms, "term", "left_semi"))
     df = hits.groupBy("corpus", "term").agg(F.count("*").alias("df"))
     idf = df.join(stats, "corpus").withColumn("idf", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).select("corpus", "term", "idf", "avg_len")
     per_query = asked.join(idf, "term")
@@ -87,11 +88,14 @@ def recall(docs: DataFrame, key: str, text: str, queries: DataFrame, category: s
     """(query_id, key, score): shared words over the geometric mean of both lengths; a phrase match counts half more, a
     named category a tenth more."""
     counts = lambda df, k, t: df.select(k, F.explode(T.words(F.lower(F.col(t)))).alias("term")).groupBy(k, "term").agg(F.count("*").alias("c"))
-    d, q = counts(docs, key, text), counts(queries, "query_id", "query")
+    d, q = cut(counts(docs, key, text)), cut(counts(queries, "query_id", "query"))
     sizes = lambda df, k, n: df.groupBy(k).agg(F.sum("c").alias(n))
     shared = d.join(q.withColumnRenamed("c", "qc"), "term").groupBy("query_id", key).agg(F.sum(F.least("c", "qc")).alias("_o"))
-    out = shared.join(sizes(d, key, "_dl"), key).join(sizes(q, "query_id", "_ql"), "query_id").join(docs, key).join(queries, "query_id")
-    score = F.col("_o") / F.sqrt(F.col("_dl") * F.col("_ql")) * F.when(F.lower(F.col(text)).contains(F.lower("query")), 1.5).otherwise(1.0)
+    # texts go only to pairs that can reach the least score with a phrase and a category
+    sized = shared.join(sizes(d, key, "_dl"), key).join(sizes(q, "query_id", "_ql"), "query_id").withColumn("_base", F.col("_o") / F.sqrt(F.col("_dl") * F.col("_ql")))
+    able = sized.where(F.col("_base") * (1.5 * 1.1) >= least)
+    out = able.join(docs, key).join(queries, "query_id")
+    score = F.col("_base") * F.when(F.lower(F.col(text)).contains(F.lower("query")), 1.5).otherwise(1.0)
     if category:
         score = score * F.when(F.lower("query").contains(F.lower(F.col(category))), 1.1).otherwise(1.0)
     return out.withColumn("score", score).where(F.col("score") >= least).select("query_id", key, "score")
@@ -100,13 +104,15 @@ def recall(docs: DataFrame, key: str, text: str, queries: DataFrame, category: s
 def question_dedup(asked: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(id, match, similarity): for each question the earlier one of the highest word-set Jaccard similarity, if it
     reaches the threshold; of equals the first. Candidates share a word among each question's rarest."""
-    sets = asked.select("id", F.array_sort(F.array_distinct(T.words(F.lower("question")))).alias("w")).where(F.size("w") > 0)
+    sets = cut(asked.select("id", F.array_distinct(T.words(F.lower("question"))).alias("w")).where(F.size("w") > 0))
     freq = sets.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("f"))
     ranked = sets.select("id", F.size("w").alias("n"), F.explode("w").alias("t")).join(freq, "t")
     place = F.row_number().over(Window.partitionBy("id").orderBy("f", "t"))
-    prefix = ranked.withColumn("k", place).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "n", "t")
+    prefix = cut(ranked.withColumn("k", place).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "n", "t", "k"))
     a, b = prefix.alias("a"), prefix.alias("b")
-    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("b.id") < F.col("a.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold)).select(F.col("a.id").alias("id"), F.col("b.id").alias("match")).distinct()
+    # from the shared word on, both must still have what similarity asks them to share
+    left = F.least(F.col("a.n") - F.col("a.k"), F.col("b.n") - F.col("b.k")) + 1 >= (F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold)) - 1e-9
+    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("b.id") < F.col("a.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold) & left).select(F.col("a.id").alias("id"), F.col("b.id").alias("match")).distinct()
     full = pairs.join(sets.select("id", "w"), "id").join(sets.select(F.col("id").alias("match"), F.col("w").alias("v")), "match")
     sim = full.withColumn("similarity", F.size(F.array_intersect("w", "v")) / F.size(F.array_union("w", "v"))).where(F.col("similarity") >= threshold)
     return sim.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "match"))).where("_k = 1").select("id", "match", "similarity")

@@ -82,10 +82,10 @@ def _counts(k: str, text: str, table: str) -> str:
   o AS (SELECT item_id, doc_id, sum(least(d.c, q.c)) AS o FROM d JOIN q USING (term) GROUP BY ALL), dl AS (SELECT doc_id, sum(c) AS dl FROM d GROUP BY 1), ql AS (SELECT item_id, sum(c) AS ql FROM q GROUP BY 1),
   s AS (SELECT o.item_id, o.doc_id, o / sqrt(dl * ql) * CASE WHEN contains(lower(documents.text), lower(benchmark.text)) THEN 1.5 ELSE 1 END AS s
     FROM o JOIN dl USING (doc_id) JOIN ql USING (item_id) JOIN documents ON documents.doc_id = o.doc_id JOIN benchmark ON benchmark.item_id = o.item_id)
-  SELECT item_id, doc_id, round(s, 6) AS score FROM s WHERE round(s, 6) >= 0.2""")
+  SELECT item_id, doc_id, round(s, 6) AS score FROM s WHERE s >= 0.05""")
 def recall_score(t):
     found = search.recall(t.documents.select("doc_id", "text"), "doc_id", "text", t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
-    return found.select(F.col("query_id").alias("item_id"), "doc_id", F.round("score", 6).alias("score")).where("score >= 0.2")
+    return found.select(F.col("query_id").alias("item_id"), "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("jaccard_dedup", f"""WITH s AS (SELECT doc_id AS id, list_distinct({WORDS.format("lower(text)")}) AS w FROM documents),
