@@ -18,6 +18,7 @@ and meet the runs in an equi-join on the length.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import zlib
 from collections import Counter
@@ -34,11 +35,19 @@ CAPACITY, END_ID, GROUPS, LARGE_SHARE, CACHED_WORDS = 4096, 1, 12, 1 / 4, 600_00
 _held: dict = {}
 
 
+#: The settings of a tokenizer with which white space parts a text for good and letters have no case.
+_PARTING = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
+
+
 class _Encoder:
     """Ids of texts, a distinct chunk between white space encoded once.
 
-    The tokenizer drops white space and never joins what stands on its two sides, so the ids of a text are those of its
-    chunks in turn. Chunks are kept over batches and tasks of a worker, up to ``CACHED_WORDS``.
+    A tokenizer with the settings of ``_PARTING`` drops white space and never joins what stands on its two sides, so the
+    ids of a text are those of its chunks in turn. Chunks are kept over batches and tasks of a worker, up to
+    ``CACHED_WORDS``. With any other settings whole texts are encoded.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,6 +55,8 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        settings = json.loads(self.tokenizer.to_str())
+        self.parts = (settings["normalizer"], settings["pre_tokenizer"]) == _PARTING
         self.known: dict[str, int] = {}
         self.ids, self.ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
 
@@ -75,6 +86,9 @@ class _Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text ends among them."""
+        if not self.parts:
+            encoded = [x.ids for x in self.tokenizer.encode_batch_fast(common.strings(texts).to_pylist(), add_special_tokens=False)]
+            return np.fromiter((x for ids in encoded for x in ids), np.uint32), np.cumsum([0, *map(len, encoded)])
         offsets, codes, distinct = common.tokenize(texts, lower=False)
         pairs = [self.split(x) if x else ("", "") for x in distinct.to_pylist()]
         rows = np.array(self.rows([x for pair in pairs for x in pair]), np.int64).reshape(-1, 2)[codes].ravel()

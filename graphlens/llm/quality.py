@@ -331,7 +331,8 @@ def judge(docs: DataFrame, n: int = N, entries: int = ENTRIES, width: float = WI
     """Counts, ``base_failed``, ``bits``, ``kept`` and ``key`` (a hash of doc_id, text and lang) of every row of ``docs``.
 
     ``docs``: doc_id, text, lang; other columns are ignored. A null or empty text has no words and fails. Repeated rows
-    are judged each, alike. An empty table gives no rows.
+    are judged each, alike. A null language has the band of all documents. An empty table
+    gives no rows.
     """
     text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
     whole = docs.select(F.col("doc_id").alias("id"), text.alias("text"), lang.alias("lang"), F.xxhash64("doc_id", text, lang).alias("key"))
@@ -350,9 +351,10 @@ def judge(docs: DataFrame, n: int = N, entries: int = ENTRIES, width: float = WI
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
-    keys = judge(docs, **options).where("kept").select(F.col("key").alias("_key")).distinct()
+    name = common.unused(docs)("key")
+    keys = judge(docs, **options).where("kept").select(F.col("key").alias(name)).distinct()
     key = F.xxhash64("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
-    return docs.join(keys, key == F.col("_key"), "left_semi")
+    return docs.join(keys, key == F.col(name), "left_semi")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

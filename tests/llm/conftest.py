@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, rank int, g string, key long, count long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, rank int, g string, key long, count long, _key string, _size string, id string, finish_time string"
 
 
 @pytest.fixture(scope="session")
@@ -21,7 +21,7 @@ def documents(spark):
     rows += [(40 + k, say(rng.randint(5, 200)), rng.choice(["en", "de"]), rng.choice(["a", "b", "c", "é", None]), 1) for k in range(40)]
     rows += [(90, say(9000), "de", "c", 1), (91, "same words " * 60, "en", "a", 1), (92, "Tail ÉCOLE école\x0b\x0cx\x1cy\u00a0z", "fr", "a", 1)]
     rows += [rows[7], rows[20], rows[20]]
-    return spark.createDataFrame([(*r, 1, 2, "g", 3, 4) for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, 1, 2, "g", 3, 4, "K", "S", "I", "T") for r in rows], SCHEMA)
 
 
 @pytest.fixture(scope="session")

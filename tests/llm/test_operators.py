@@ -223,8 +223,8 @@ def test_mixing(documents, no_documents):
         taken[-1 if r["doc_id"] is None else r["doc_id"]] += r["taken"]
     assert +plain == +taken
     mixed = mixing.mix(documents)
-    assert mixed.columns == [*documents.columns, "finish_time"]
-    times = [r["finish_time"] for r in mixed.collect()]
+    assert mixed.columns == [*documents.columns, "finish_time_"]
+    times = [r["finish_time_"] for r in mixed.collect()]
     assert times == sorted(times) and sum(len(WORD.findall(r["text"])) for r in mixed.collect()) == sum(r["taken"] for r in got)
     assert mixing.allot(no_documents).count() == 0
     assert mixing.mix(no_documents).count() == 0
@@ -430,7 +430,8 @@ def test_urls(spark):
     assert len(got) == len(rows) - 1
     assert [(got[k]["host"], got[k]["path"]) for k in (1, 2, 3, 7, 9, 10, 11)] == [("", ""), ("", ""), ("www.example.org", "/es/1"), ("b.com", ""), ("y.net", "/"), ("", ""), ("q.com", "")]
     assert [got[k]["rule"] for k in (3, 4, 5, 6, 7, 8, 11)] == ["example.org/es/", "example.org/en/1", "org/", "com/fr/", None, None, None]
-    assert [got[k]["verdict"] for k in (3, 4, 5, 6, 1, 300, 301)] == ["block", "block", "allow", "allow", "block", "allow", "block"]
+    assert [got[k]["verdict"] for k in (3, 4, 5, 6, 300, 301)] == ["block", "block", "allow", "allow", "allow", "block"]
+    assert (got[1]["verdict"], got[1]["score"]) == (got[10]["verdict"], got[10]["score"])
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
@@ -438,7 +439,34 @@ def test_urls_without_a_host_are_judged_by_score(spark):
     rows = [(100 + k, f"https://good{k % 7}.site.org/page/{k}") for k in range(60)] + [(200 + k, f"http://spam-farm{k % 5}.com/de/{k}") for k in range(60)]
     rows += [(1, None), (2, "good3.site/page/9"), (3, "//good5.site.org/page/11"), (4, "spam-farm2.com/de/5")]
     got = {r["page_id"]: (r["host"], r["verdict"]) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
-    assert [got[k] for k in (1, 2, 3, 4)] == [("", "block"), ("", "allow"), ("", "allow"), ("", "block")]
+    assert [got[k] for k in (2, 3, 4)] == [("", "allow"), ("", "allow"), ("", "block")]
+
+
+def test_urls_of_unruled_pages_by_plain_arithmetic(spark):
+    """Every unruled verdict again: plain Markov counts, the calibrated threshold, the score by character."""
+    rows = [(100 + k, f"https://good{k % 7}.site.org/page/{k}") for k in range(60)] + [(200 + k, f"http://spam-farm{k % 5}.com/de/{k}") for k in range(60)]
+    rows += [(k, f"http://{'good' if k % 2 else 'spam-farm'}{k}.net/{'page' if k % 3 else 'de'}/{k}") for k in range(40)] + [(50, "x" * 20_000), (51, "x" * 20_000), (51, "x" * 20_000)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    order = {r["url"]: r["h"] for r in spark.createDataFrame(rows, "page_id long, url string").select("url", F.xxhash64("url").alias("h")).collect()}
+    model = urls.Ratio(*[sorted({u for _, u in rows if part in u}, key=lambda u: (order[u], u)) for part in (".org/", ".com/de")])
+
+    def plain(markov, text):
+        said, total = "\x02" * markov.order + text + "\x03", 0.0
+        for i in range(markov.order, len(said)):
+            p = markov.floor
+            for n in range(markov.order + 1):
+                own = markov.contexts.get(said[i - n : i])
+                p = p if own is None else own[0].get(said[i], 0.0) + own[1] * p
+            total += math.log(p)
+        return total
+
+    assert len(got) == len(rows)
+    for r in got:
+        if r["rule"] is None:
+            score = (plain(model.models[0], r["url"]) - plain(model.models[1], r["url"])) / (len(r["url"]) + 1)
+            assert abs(score - r["score"]) < 1e-9 and r["verdict"] == ("allow" if score >= model.threshold else "block")
+    alone = urls.judge(spark.createDataFrame(rows[60:100] + [(1, "http://other.net/"), (2, None)], "page_id long, url string")).collect()
+    assert all(r["verdict"] == "allow" for r in alone if r["rule"] is None)
 
 
 def test_url_model_is_a_distribution():
@@ -668,6 +696,18 @@ def test_packing_plan(seed):
     assert packing.plan({}) == []
 
 
+def test_other_tokenizers_encode_whole_texts():
+    public = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    texts = ["Hello  World\n\n x", "", None, " Ünïcode\t words. "]
+    ids, ends = packing._Encoder(path).encode(pa.array(texts))
+    whole = Tokenizer.from_file(path)
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_keeps_every_token(documents, no_documents):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
