@@ -381,3 +381,22 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(common.table(spark, sf_dir, "documents"), 3, 90, 100, links=True)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END AS g FROM d
+), h AS (SELECT doc_id, len(g) AS n, CASE WHEN len(g) > 0 THEN md5(array_to_string(list_sort(g), chr(10))) END AS c, g FROM s),
+k AS (SELECT c, min(doc_id) AS class_id, any_value(n) AS n, any_value(g) AS g FROM h WHERE c IS NOT NULL GROUP BY c),
+u AS (SELECT class_id, n, md5(unnest(g)) AS x FROM k),
+pairs AS (
+  SELECT a, b FROM (SELECT x.class_id AS a, y.class_id AS b, x.n AS n, y.n AS m, count(*) AS i FROM u x JOIN u y ON x.x = y.x AND x.class_id < y.class_id GROUP BY ALL)
+  WHERE 100 * i >= 90 * (n + m - i)
+), e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+r AS (SELECT class_id AS a, class_id AS root FROM k UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.a WHERE r.root < e.b),
+comp AS (SELECT a AS class_id, min(root) AS component_id FROM r GROUP BY a)
+SELECT h.doc_id, h.n AS n_shingles, coalesce(comp.component_id, h.doc_id) AS component_id, coalesce(k.class_id, h.doc_id) AS class_id, coalesce(l.n_links, 0) AS n_links
+FROM h LEFT JOIN k USING (c) LEFT JOIN comp ON comp.class_id = k.class_id LEFT JOIN (SELECT a, count(*) AS n_links FROM e GROUP BY a) l ON l.a = k.class_id
+"""

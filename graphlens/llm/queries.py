@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphlens.llm import chat, topk, warc
+from graphlens.llm import chat, jaccard, topk, warc
 from graphlens.llm.chat import op6_chat_formatting
 from graphlens.llm.jaccard import op2_jaccard_join
 from graphlens.llm.lm import op4_lm_scoring
@@ -29,6 +29,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_exact_topk": topk.ORACLE,
+    "op2_jaccard_join": jaccard.ORACLE,
     "op6_chat_formatting": chat.ORACLE,
     "op8_warc": warc.ORACLE,
 }
