@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from graphlens.llm import common
 
-CAPACITY, END_ID, GROUPS, LARGE_SHARE, CACHED_WORDS = 4096, 1, 12, 1 / 4, 600_000
+CAPACITY, END_ID, GROUPS, LARGE_SHARE, CACHED_WORDS = 4096, 1, 12, 1 / 4, 400_000
 
 _held: dict = {}
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from graphlens.llm import common
 
-N, ENTRIES, PRIOR_DOCS, WIDTH, HELD = 5, 1 << 19, 50, 6.0, 1 << 20
+N, ENTRIES, PRIOR_DOCS, WIDTH, HELD = 5, 1 << 19, 50, 6.0, 1 << 19
 START, STOP = "\x02", "\x03"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -40,7 +40,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(word, count) over all words of ``text``, A-Z in lower case."""
 
     def run(batches):
-        for batch in common.slices(batches, "text", 16 << 20):
+        for batch in common.slices(batches, "text", 8 << 20):
             _, codes, distinct = common.tokenize(batch.column("text"))
             if len(distinct):
                 counts = np.bincount(codes, minlength=len(distinct))
@@ -50,8 +50,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return common.mapped(texts, run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def units(distinct: pa.Array, codes: np.ndarray, first: np.ndarray, n: int) -> tuple[list[str], np.ndarray]:
-    """The units of a batch as strings, all of whose windows of ``n`` characters are n-grams: the distinct words with
+def units(distinct: pa.Array, codes: np.ndarray, first: np.ndarray, n: int) -> tuple[pa.Array, np.ndarray]:
+    """The units of a batch as an array of strings, all of whose windows of ``n`` characters are n-grams: the distinct words with
     their end mark, then the distinct borders. And the number of each token's border among the units. ``codes``: the
     words of all texts in a row; ``first``: whether one is its text's first."""
     import pyarrow.compute as pc
@@ -63,13 +63,13 @@ def units(distinct: pa.Array, codes: np.ndarray, first: np.ndarray, n: int) -> t
     ends = pc.utf8_slice_codeunits(pc.binary_join_element_wise(pa.scalar(START * (n - 2), kind), words, pa.scalar("", kind)), -(n - 2)) if n > 2 else pc.utf8_slice_codeunits(words, 0, 0)
     tails = pc.binary_join_element_wise(ends, pa.scalar(STOP, kind), pa.scalar("", kind)).dictionary_encode()
     if not len(codes):
-        return [], np.zeros(0, np.int64)
+        return said.slice(0, 0), np.zeros(0, np.int64)
     head, tail = np.asarray(heads.indices, np.int64)[codes], np.asarray(tails.indices, np.int64)[codes]
     before = np.where(first, len(tails.dictionary), np.concatenate([[0], tail[:-1]]))
     pairs, border = np.unique(before * len(heads.dictionary) + head, return_inverse=True)
     contexts = pa.concat_arrays([tails.dictionary, pa.array([START * (n - 1)], kind)])
     borders = pc.binary_join_element_wise(contexts.take(pa.array(pairs // len(heads.dictionary))), heads.dictionary.take(pa.array(pairs % len(heads.dictionary))), pa.scalar("", kind))
-    return said.to_pylist() + borders.to_pylist(), border + len(distinct)
+    return pa.concat_arrays([said, borders]), border + len(distinct)
 
 
 def _firsts(offsets: np.ndarray) -> np.ndarray:
@@ -79,10 +79,15 @@ def _firsts(offsets: np.ndarray) -> np.ndarray:
     return first[:-1]
 
 
-def _windows(said: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All code points in a row, the hash of the n-gram that ends at each, whether it lies within one string, and where
-    each string ends."""
-    codes, ends = _points(said)
+def _windows(said: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All code points of an array of large strings in a row, the hash of the n-gram that ends at each, whether it lies
+    within one string, and where each string ends."""
+    import pyarrow.compute as pc
+
+    offsets = np.frombuffer(said.buffers()[1], np.int64)[said.offset : said.offset + len(said) + 1] if len(said) else np.zeros(2, np.int64)
+    data = memoryview(said.buffers()[2])[offsets[0] : offsets[-1]] if len(said) else b""
+    codes = np.frombuffer(str(data, "utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    ends = np.cumsum(np.asarray(pc.utf8_length(said), np.int64))
     place = np.arange(len(codes)) - np.repeat(ends - np.diff(ends, prepend=0), np.diff(ends, prepend=0))
     return codes, gram_hashes(codes, n), place >= n - 1, ends
 
@@ -93,7 +98,7 @@ def gram_counts(texts: DataFrame, n: int = N) -> DataFrame:
     def counted(texts: pa.Array) -> pa.Table | None:
         offsets, codes, distinct = common.tokenize(texts)
         said, border = units(distinct, codes, _firsts(offsets), n)
-        if not said:
+        if not len(said):
             return None
         times = np.bincount(np.concatenate([codes, border]), minlength=len(said))
         points, hashes, real, ends = _windows(said, n)
@@ -106,7 +111,7 @@ def gram_counts(texts: DataFrame, n: int = N) -> DataFrame:
 
     def run(batches):
         held: list[pa.Table] = []
-        for batch in common.slices(batches, "text", 4 << 20):
+        for batch in common.slices(batches, "text", 2 << 20):
             if (found := counted(batch.column("text"))) is not None:
                 held.append(found)
             if sum(map(len, held)) > HELD:
@@ -187,23 +192,43 @@ def costs(top: DataFrame, n: int = N) -> DataFrame:
 
 
 class Frequent:
-    """Costs of the most frequent n-grams; what isn't among them is named, not guessed."""
+    """Costs of the most frequent n-grams in sorted hash arrays; what isn't among them is named, not guessed.
+
+    Hashes are spread evenly, so their first bits say where in the array to look: ``starts`` holds the place of each
+    prefix, and a handful of neighbours are compared.
+    """
 
     def __init__(self, n: int, keys: np.ndarray, bits: np.ndarray) -> None:
         at = np.argsort(keys)
         self.n, self.keys, self.costs = n, keys[at], bits[at]
-
-    def bits(self, said: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.shift = np.uint64(64 - max(1, int(len(keys)).bit_length()))
+        prefixes = np.arange(1 << (64 - int(self.shift)), dtype=np.uint64)
+        self.starts = np.append(np.searchsorted(self.keys >> self.shift, prefixes), len(keys)).astype(np.int32)
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where each hash stands; -1 where it doesn't."""
+        prefix = (hashes >> self.shift).astype(np.int64)
+        at, end = self.starts[prefix], self.starts[prefix + 1]
+        found, left = np.full(len(hashes), -1, np.int32), np.flatnonzero(at < end)
+        while left.size:
+            here = at[left]
+            hit = self.keys[here] == hashes[left]
+            found[left[hit]] = here[hit]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return found
+
+    def bits(self, said: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bits of each unit's frequent n-grams; then the hashes of its other ones, all units' in a row, and their ends."""
         _, hashes, real, ends = _windows(said, self.n)
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-            found = self.keys[at] == hashes
-            cost = np.where(found & real, self.costs[at], 0.0)
-        else:
-            found, cost = np.zeros(len(hashes), bool), np.zeros(len(hashes))
-        other = real & ~found
+        inside = np.flatnonzero(real)
+        at = self.places(hashes[inside])
+        cost = np.zeros(len(hashes))
+        cost[inside[at >= 0]] = self.costs[at[at >= 0]]
+        other = np.zeros(len(hashes), bool)
+        other[inside[at < 0]] = True
         sums = np.concatenate([[0], np.cumsum(cost)])
         return sums[ends] - sums[starts], hashes[other], np.concatenate([[0], np.cumsum(other)])[ends]
 
@@ -262,7 +287,7 @@ def _measured(docs: DataFrame, model, n: int) -> DataFrame:
         from pyspark import TaskContext
 
         own, row = model.value, TaskContext.get().partitionId() << 33
-        for batch in common.slices(batches, "text", 3 << 20):
+        for batch in common.slices(batches, "text", 2 << 20):
             texts = common.strings(batch.column("text"))
             offsets, codes, distinct = common.tokenize(texts, lower=False)
             a, b = offsets[:-1], offsets[1:]
@@ -276,7 +301,7 @@ def _measured(docs: DataFrame, model, n: int) -> DataFrame:
             rest = _others(np.concatenate([doc, doc]), np.concatenate([of[codes], border]), others, ends, len(a)).cast(kind)
             # each token's own n-grams: those at its border and those inside it
             spent = np.concatenate([[0], np.cumsum(bits[of[codes]] + bits[border])]) if len(codes) else np.zeros(1)
-            hashes = common.hash64(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
+            hashes = (codes.astype(np.uint64) + np.uint64(1)) * _MULT  # windows are compared within a text, so a word's code will do
             chars = summed(lengths)
             repeated = [repeated_words(hashes[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
             yield [batch.column("id"), batch.column("lang"), batch.column("key"), b - a, chars, np.asarray(pc.count_substring_regex(texts, r"[#*$%&|<>]"), np.int64), [duplicate_lines(x) for x in texts.to_pylist()], repeated, spent[b] - spent[a], row + np.arange(len(a)), rest]
