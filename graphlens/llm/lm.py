@@ -38,7 +38,7 @@ from graphlens.llm.quality import word_counts
 
 HIDDEN, WIDTH, LEAST_CLASSES, MEMBERS, GROUPS, KNOWN = 24, 16, 16, 32, 32, 1 << 17
 WINDOW, LANES, UPDATES, RATE, ROUNDS, SEED = 16, 256, 300, 0.012, ((0,), (1, 2), (3, 4, 5, 6, 7)), 7
-SHARD_BYTES, TRAIN_BYTES, SCORE_BYTES = 24 << 20, 32 << 20, 6 << 20
+SHARD_BYTES, TRAIN_BYTES, SCORE_TOKENS, SOFTMAX_TOKENS = 24 << 20, 32 << 20, 4 << 20, 1 << 14
 
 
 def head_classes(vocabulary: int) -> int:
@@ -131,7 +131,18 @@ class Vocabulary:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    return np.reciprocal(1 + np.exp(-x))
+
+
+def _tanh(x: np.ndarray) -> np.ndarray:
+    return 1 - 2 * np.reciprocal(1 + np.exp(2 * x))
+
+
+def _bounded(logits: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Logits of states within -1 and 1, made safe for exp: where the weights alone keep them small, they are as they are."""
+    if float(np.abs(w).sum(axis=0).max() + np.abs(b).max()) > 60:
+        logits -= logits.max(axis=1, keepdims=True)
+    return logits
 
 
 def train(flat: np.ndarray, heads: int, row: np.ndarray, cls: np.ndarray, mem: np.ndarray, start: np.ndarray) -> None:
@@ -160,7 +171,7 @@ def train(flat: np.ndarray, heads: int, row: np.ndarray, cls: np.ndarray, mem: n
             state = state * keep[t]
             hu = state @ m["u"]
             f = _sigmoid(x[t, :, :HIDDEN] + hu[:, :HIDDEN])
-            c = np.tanh(x[t, :, HIDDEN:] + f * hu[:, HIDDEN:])
+            c = _tanh(x[t, :, HIDDEN:] + f * hu[:, HIDDEN:])
             old[t], fs[t], cs[t], hus[t] = state, f, c, hu[:, HIDDEN:]
             state = state + f * (c - state)
             out[t] = state
@@ -170,16 +181,15 @@ def train(flat: np.ndarray, heads: int, row: np.ndarray, cls: np.ndarray, mem: n
         full = bool(teaches.all())
         scale = np.float32(1 / (len(flat_out) if full else max(teaches.sum(), 1)))
         # classes
-        logits = flat_out @ m["wc"] + m["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
+        logits = flat_out @ m["wc"]
+        logits += m["bc"]
+        np.exp(_bounded(logits, m["wc"], m["bc"]), out=logits)
+        logits *= scale / (logits @ np.ones((logits.shape[1], 1), np.float32))
         target, member = cls[at].ravel(), mem[at].ravel()
-        logits[np.arange(len(target)), target] -= 1
-        logits *= scale
+        logits[np.arange(len(target)), target] -= scale
         if not full:
             logits[~teaches] = 0
-        d["wc"][:], d["bc"][:] = flat_out.T @ logits, logits.sum(axis=0)
+        d["wc"][:], d["bc"][:] = flat_out.T @ logits, np.ones(len(logits), np.float32) @ logits
         d_out = logits @ m["wc"].T
         # members of the head's classes
         order = np.argsort(target, kind="stable")
@@ -190,11 +200,9 @@ def train(flat: np.ndarray, heads: int, row: np.ndarray, cls: np.ndarray, mem: n
             if len(own):
                 h = flat_out[own]
                 p = h @ m["wm"][c] + m["bm"][c]
-                p -= p.max(axis=1, keepdims=True)
-                np.exp(p, out=p)
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(own)), member[own]] -= 1
-                p *= scale
+                np.exp(_bounded(p, m["wm"][c], m["bm"][c]), out=p)
+                p *= scale / p.sum(axis=1, keepdims=True)
+                p[np.arange(len(own)), member[own]] -= scale
                 d["wm"][c], d["bm"][c] = h.T @ p, p.sum(axis=0)
                 d_out[own] += p @ m["wm"][c].T
         d_out = d_out.reshape(t_n, lanes, HIDDEN)
@@ -214,7 +222,7 @@ def train(flat: np.ndarray, heads: int, row: np.ndarray, cls: np.ndarray, mem: n
         d["u"][:] = old.reshape(-1, HIDDEN).T @ dhu
         d["wx"][:], d["bx"][:] = e.T @ dx, dx.sum(axis=0)
         de = dx @ m["wx"].T
-        sort = np.argsort(rows.ravel(), kind="stable")
+        sort = np.argsort(rows.ravel().astype(np.uint16) if len(m["e"]) <= 1 << 16 else rows.ravel(), kind="stable")  # 16 bits are sorted by radix
         sorted_rows = rows.ravel()[sort]
         runs = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
         d["e"][sorted_rows[runs]] = np.add.reduceat(de[sort], runs, axis=0)
@@ -253,21 +261,24 @@ def score(flat: np.ndarray, heads: int, ends: np.ndarray, columns: dict[str, np.
             n = int(np.searchsorted(-lengths[:active], -(at + t), side="left"))
             x, hu = table[rows[t, :n]], h[:n] @ m["u"]
             f = _sigmoid(x[:, :HIDDEN] + hu[:, :HIDDEN])
-            h[:n] += f * (np.tanh(x[:, HIDDEN:] + f * hu[:, HIDDEN:]) - h[:n])
+            h[:n] += f * (_tanh(x[:, HIDDEN:] + f * hu[:, HIDDEN:]) - h[:n])
             out[t, :n] = h[:n]
         token, lane = place[real], np.broadcast_to(np.arange(active), real.shape)[real]
         hidden = out[real]
         target, member = columns["cls"][token], columns["mem"][token]
-        logits = hidden @ m["wc"] + m["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        cost = logits[np.arange(len(target)), target] - np.log(np.exp(logits).sum(axis=1))
+        cost = np.empty(len(target))
+        for a in range(0, len(target), SOFTMAX_TOKENS):
+            part = slice(a, a + SOFTMAX_TOKENS)
+            logits = hidden[part] @ m["wc"]
+            logits += m["bc"]
+            logits = _bounded(logits, m["wc"], m["bc"])
+            cost[part] = logits[np.arange(len(logits)), target[part]] - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], np.float32))
         own_order = np.argsort(target, kind="stable")
         edges = np.searchsorted(target[own_order], np.arange(heads + 1))
         for c in range(heads):
             own = own_order[edges[c] : edges[c + 1]]
             if len(own):
-                p = hidden[own] @ m["wm"][c] + m["bm"][c]
-                p -= p.max(axis=1, keepdims=True)
+                p = _bounded(hidden[own] @ m["wm"][c] + m["bm"][c], m["wm"][c], m["bm"][c])
                 cost[own] += p[np.arange(len(own)), member[own]] - np.log(np.exp(p).sum(axis=1))
         total[:active] += np.bincount(lane, cost, active)
         at += width
@@ -337,7 +348,20 @@ def _scored(docs: DataFrame, vocabulary, model) -> DataFrame:
         from pyspark import TaskContext
 
         own, said, key = model.value, vocabulary.value, TaskContext.get().partitionId() << 33
-        for batch in common.slices(batches, "text", SCORE_BYTES):
+        # texts of many slices are scored together, so that few stand alone at their ends: eight bytes a token are held
+        held: list[list] = []
+
+        def scored():
+            streams = [{c: x[0][c] for c in ("row", "cls", "mem")} for x in held]
+            columns = {c: np.concatenate([x[c] for x in streams]) for c in ("row", "cls", "mem")}
+            starts = np.cumsum([0, *(len(x["row"]) for x in streams)])
+            part = score(own, said.heads, np.concatenate([x[1] + a for x, a in zip(held, starts, strict=False)]), columns)
+            at = 0
+            for _, ends, before, apart, after in held:
+                yield [*before, part[at : at + len(ends)] + apart, *after]
+                at += len(ends)
+
+        for batch in common.slices(batches, "text"):
             ends, columns, codes, distinct = said.stream(batch.column("text"))
             starts = np.concatenate([[0], ends[:-1]])
             summed = lambda v: (s := np.concatenate([[0], np.cumsum(v)]))[ends] - s[starts]
@@ -352,8 +376,14 @@ def _scored(docs: DataFrame, vocabulary, model) -> DataFrame:
             word = distinct.take(pa.array(pairs % max(len(distinct), 1))).cast(pa.string())
             bounds = np.searchsorted(pairs, np.arange(len(ends) + 1) * max(len(distinct), 1))
             rest = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([word, pa.array(times, pa.int64())], ["word", "n"])).cast(kind)
-            yield [key + np.arange(len(ends)), batch.column("doc_id"), batch.column("held_out"), ends - starts, summed(known.astype(np.int64)), summed(columns["log"]), score(own, said.heads, ends, columns) + summed(columns["own"]), rest]
+            before = [key + np.arange(len(ends)), batch.column("doc_id"), batch.column("held_out"), ends - starts, summed(known.astype(np.int64)), summed(columns["log"])]
+            held.append([{c: columns[c] for c in ("row", "cls", "mem")}, ends, before, summed(columns["own"]), [rest]])
             key += len(ends)
+            if sum(len(x[0]["row"]) for x in held) >= SCORE_TOKENS:
+                yield from scored()
+                held = []
+        if held:
+            yield from scored()
 
     schema = f"key long, doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, log_sum double, part double, rest array<struct<word:string,n:long>>"
     return common.mapped(docs, run, schema)
