@@ -14,6 +14,26 @@ HTTP_METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
 STEM_SUFFIXES = ("ation", "ion", "ing", "ed", "er")
 SECRET_PATTERNS = ("AKIA[0-9A-Z]{16}", "ghp_[a-zA-Z0-9]{36}", "sk-[a-zA-Z0-9]{48}", "-----BEGIN.*PRIVATE KEY-----")
 MAX_QUERY_TERMS = 32
+#: A path segment that is a parameter, a parameter within one, and a file named in a message.
+PARAMETER = r"^(?:\{[^/]*\}|\$\{[^/]*\}|:[A-Za-z_]\w*\??|<[^/>]*>|\[[^/\]]*\]|%[sdvq]|\*\w*|\d+|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12})$"
+PARAMETER_PART = r"\$\{[^}]*\}|\{[^}]*\}|<[^>]*>|%[sdvq]"
+FILE_REFERENCE = r"\b[A-Za-z0-9_./-]+\.[A-Za-z]{1,8}\b"
+#: Kinds of task by words in a message, the first that fits, and words that make a task a large one.
+TASK_WORDS = (
+    ("refactor", ("refactor", "extract", "rename", "move ")),
+    ("debug", ("fix", "bug", "error", "crash", "panic", "failing")),
+    ("explain", ("explain", "what is", "how does", "why does")),
+    ("architect", ("design", "architect", "plan ", "roadmap")),
+)
+LARGE_TASK_WORDS = ("across", "entire", "all ", "every", "multi", "multiple")
+#: Weights of what is shown, by category, and the tools of each category: by name or by the start of it.
+ATTENTION = (("edit_target", 1.0), ("plan", 0.95), ("test_output", 0.9), ("graph", 0.7), ("read", 0.3), ("other", 0.1))
+TOOLS = (
+    ("edit_target", ("file_write",), ()),
+    ("plan", ("update_plan", "create_plan"), ()),
+    ("graph", ("find_callers", "find_implementations", "resolve_symbol", "multi_resolution_view", "impact_analysis", "test_map", "co_change"), ("graph_", "codebase_")),
+    ("read", ("file_read", "file_list", "file_glob", "file_grep", "semantic_search", "workspace_info"), ()),
+)
 
 WORD = r"[\p{L}\p{Nd}_]+"
 
@@ -108,10 +128,6 @@ def token_estimate(text: Column) -> Column:
 
 # --- contract keys ---
 
-_PARAMETER = r"^(?:\{[^/]*\}|\$\{[^/]*\}|:[A-Za-z_]\w*\??|<[^/>]*>|\[[^/\]]*\]|%[sdvq]|\*\w*|\d+|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12})$"
-_PART = r"\$\{[^}]*\}|\{[^}]*\}|<[^>]*>|%[sdvq]"
-
-
 def route_key(method: Column, raw: Column) -> Column:
     """``METHOD /path`` with parameters as ``{}``; the empty string where there is no path. The method may lead the path."""
     raw = F.trim(raw)
@@ -124,7 +140,7 @@ def route_key(method: Column, raw: Column) -> Column:
     path = F.regexp_replace(path, r"(?s)[?#].*$", "")
     path = F.regexp_replace(path, r"^(?:\$?\{[^}]*\}|%[sv](?=.))", "")
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    keyed = F.transform(parts, lambda s: F.when(s.rlike(_PARAMETER), F.lit("{}")).otherwise(F.regexp_replace(s, _PART, "{}")))
+    keyed = F.transform(parts, lambda s: F.when(s.rlike(PARAMETER), F.lit("{}")).otherwise(F.regexp_replace(s, PARAMETER_PART, "{}")))
     return F.when(path.startswith("/"), F.concat(own, F.lit(" /"), F.array_join(keyed, "/"))).otherwise(F.lit(""))
 
 
@@ -220,9 +236,6 @@ def redact_map(values: Column, patterns=SECRET_PATTERNS) -> Column:
     return F.transform_values(values, lambda _, v: redact(v, patterns))
 
 
-FILE_REFERENCE = r"\b[A-Za-z0-9_./-]+\.[A-Za-z]{1,8}\b"
-
-
 def reference_breadth(message: Column) -> tuple[Column, Column]:
     """Distinct file references, and distinct folders among those that name one."""
     files = F.array_distinct(F.regexp_extract_all(message, F.lit(FILE_REFERENCE), F.lit(0)))
@@ -238,19 +251,15 @@ def _any(text: Column, *values: str) -> Column:
 
 
 def task_kind(message: Column) -> Column:
-    text = F.lower(F.trim(message))
-    return (
-        F.when(_any(text, "refactor", "extract", "rename", "move "), "refactor")
-        .when(_any(text, "fix", "bug", "error", "crash", "panic", "failing"), "debug")
-        .when(_any(text, "explain", "what is", "how does", "why does"), "explain")
-        .when(_any(text, "design", "architect", "plan ", "roadmap"), "architect")
-        .otherwise("edit")
-    )
+    text, out = F.lower(F.trim(message)), F.lit("edit")
+    for kind, words_of in reversed(TASK_WORDS):
+        out = F.when(_any(text, *words_of), kind).otherwise(out)
+    return out
 
 
 def task_complexity(message: Column) -> Column:
     text = F.lower(F.trim(message))
-    high = (F.octet_length(text) > 500) | (F.size(F.regexp_extract_all(text, F.lit(FILE_REFERENCE), F.lit(0))) >= 3) | _any(text, "across", "entire", "all ", "every", "multi", "multiple")
+    high = (F.octet_length(text) > 500) | (F.size(F.regexp_extract_all(text, F.lit(FILE_REFERENCE), F.lit(0))) >= 3) | _any(text, *LARGE_TASK_WORDS)
     return F.when(high, "high").when(task_kind(message) == "debug", "medium").otherwise("low")
 
 
@@ -265,19 +274,15 @@ def route_intent(message: Column, rules: list[tuple[str, list[str]]], default: s
     return out
 
 
-ATTENTION = (("edit_target", 1.0), ("plan", 0.95), ("test_output", 0.9), ("graph", 0.7), ("read", 0.3), ("other", 0.1))
-
-
 def attention_category(tool: Column, command: Column) -> Column:
-    graph = tool.startswith("graph_") | tool.startswith("codebase_") | tool.isin("find_callers", "find_implementations", "resolve_symbol", "multi_resolution_view", "impact_analysis", "test_map", "co_change")
-    return (
-        F.when(tool == "file_write", "edit_target")
-        .when(tool.isin("update_plan", "create_plan"), "plan")
-        .when(tool == "shell", F.when(command.contains("test") | command.contains("jest"), "test_output").otherwise("other"))
-        .when(graph, "graph")
-        .when(tool.isin("file_read", "file_list", "file_glob", "file_grep", "semantic_search", "workspace_info"), "read")
-        .otherwise("other")
-    )
+    """The category of a tool's output; a shell command's is that of tests if it names any."""
+    out = F.when((tool == "shell") & _any(command, "test", "jest"), "test_output").otherwise("other")
+    for category, names, starts in TOOLS:
+        fits = tool.isin(*names)
+        for start in starts:
+            fits = fits | tool.startswith(start)
+        out = F.when(fits, category).otherwise(out)
+    return out
 
 
 def attention_weight(category: Column) -> Column:

@@ -147,11 +147,22 @@ def test_python_facts(spark):
 
 def test_contract_files(spark):
     f = lambda p, t: spark.createDataFrame([(p, t)], "path string, text string")
-    ddl = 'CREATE TABLE IF NOT EXISTS public."Users" (id int); -- create table no\ncreate table orders (u int references users(id), x int REFERENCES "items"(id));\ncreate view v as select 1'
-    assert rows(extract.sql_tables(f("a.sql", ddl)).select("table", F.array_join("references", ","))) == [("orders", "items,users"), ("users", ""), ("v", "")]
+    ddl = 'CREATE TABLE IF NOT EXISTS public."Users" (id int); -- create table no\ncreate table orders (u int references users(id), x int REFERENCES "items"(id));\ncreate view v as select 1; create materialized view mv as select 2; create unlogged table ul (a int); create global temporary table gt (a int)'
+    assert rows(extract.sql_tables(f("a.sql", ddl)).select("table", F.array_join("references", ","))) == [("gt", ""), ("mv", ""), ("orders", "items,users"), ("ul", ""), ("users", ""), ("v", "")]
     proto = 'syntax="proto3"; package a.b;\nservice S { // rpc No(A) returns (B)\n rpc Get (Req) returns (stream Res) { option x = {y: 1}; }\n rpc Put(.a.Req) returns (Res); }'
     assert {(r["package"], r["service"], r["method"]) for r in extract.idl_services(f("a.proto", proto)).collect()} == {("a.b", "S", "Get"), ("a.b", "S", "Put")}
     assert rows(extract.graphql_fields(f("a.graphql", "type Query { user(id: ID!): User # c: x\n all: [User] }"))) == [("a.graphql", "Query", "all"), ("a.graphql", "Query", "user")]
+    more = 'extend type A @k(x: "y: z") { b(c: Int = 3): D @deprecated(reason: "no: 1") }\nunion U = | A | B\nenum E { X Y }'
+    assert rows(extract.graphql_fields(f("b.graphql", more)).select("type", "field")) == [("A", "b"), ("E", "X"), ("E", "Y"), ("U", "A"), ("U", "B")]
+    thrift = "service S extends T { // no(1)\n void put(1: i32 a) throws (1: E e),\n list<string> all()\n oneway void go() }"
+    assert rows(extract.thrift_services(f("a.thrift", thrift)).select("service", "method", "result")) == [("S", "all", "list<string>"), ("S", "go", "void"), ("S", "put", "void")]
+    texts = {
+        "Cargo.toml": '[package]\nname = "x"\n[dependencies]\nserde = "1.0"\nlog = { version = "0.4", features = ["a"] }\n[dev-dependencies]\nt = "2"\n', "pom.xml": "<project><artifactId>me</artifactId><dependencies><dependency><groupId>g</groupId><artifactId>a1</artifactId><version>1</version></dependency><dependency><artifactId>a2</artifactId></dependency></dependencies></project>",
+        "build.gradle": "implementation 'g:a:1.0'\ntestImplementation(\"g:b\")\n", "x.csproj": '<PackageReference Include="N.J" Version="13" />', "pubspec.yaml": "name: x\ndependencies:\n  http: ^1.0\n  path: any\ndev_dependencies:\n  test: 1\n", "Package.swift": '.package(url: "https://h/p.git", from: "1.2.0")',
+        "pyproject.toml": '[project]\ndependencies = [\n  "a[x]>=1",\n  "b",\n]\n', "composer.json": '{"require": {"v/p": "^1"}}',
+    }
+    many = spark.createDataFrame(list(texts.items()), "path string, text string")
+    assert rows(extract.manifest_dependencies(many).select("dependency", "version")) == [("N.J", "13"), ("a", ">=1"), ("a1", "1"), ("a2", ""), ("b", ""), ("g:a", "1.0"), ("g:b", ""), ("http", "^1.0"), ("https://h/p.git", "1.2.0"), ("log", "0.4"), ("path", "any"), ("serde", "1.0"), ("t", "2"), ("test", "1"), ("v/p", "^1")]
     assert rows(extract.openapi_routes(f("openapi.json", '{"paths":{"/u/{id}":{"get":{"operationId":"g"},"parameters":{}}}}')).select("route", "operation")) == [("GET /u/{}", "g")]
     deps = extract.manifest_dependencies(f("x/package.json", '{"dependencies":{"a":"1"},"devDependencies":{"b":"2"}}').union(f("requirements.txt", "c==3 # x\n# no\nd[z]>=1")).union(f("go.mod", "module m\nrequire (\n\texample.org/x v1.2.0\n)")))
     assert rows(deps.select("dependency", "version")) == [("a", "1"), ("b", "2"), ("c", "==3"), ("d", ">=1"), ("example.org/x", "v1.2.0")]
@@ -164,6 +175,13 @@ def test_markdown_and_blocks(spark):
     assert [(r["level"], r["title"].split(" ")[0], r["line"], r["parent_ord"]) for r in got] == [(1, "A", 5, None), (2, "B", 10, 0), (3, "C", 11, 1), (1, "D", 12, None)]
     said = {(r["kind"], r["text"]) for r in extract.mentions(extract.markdown_sections(files), ["path", "ord"]).collect()}
     assert {("symbol", "f.g"), ("path", "docs/a.md"), ("route", "GET /users/{}"), ("ticket", "ABC-12"), ("ident", "fooBar")} <= said
+    set_in = "Top\n===\ntext\n\nSub\n---\n- item\n---\n```\nNo\n===\n```\n"
+    got = extract.markdown_sections(spark.createDataFrame([("s.md", set_in)], "path string, text string")).orderBy("ord").collect()
+    assert [(r["level"], r["title"], r["line"], r["parent_ord"]) for r in got] == [(1, "Top", 1, None), (2, "Sub", 5, 0)]
+    said = "`a/b.go` `x::Y()` `GET /v1/u` [t](../q.md#h) see https://h.org/v1/x?y and dir/f.py, AB-1 max_tokens os.Exit README.md e.g. Word `a/b.go`\n```\n`no/no.go`\n```\n"
+    found = extract.mentions(spark.createDataFrame([(1, said)], "id int, text string"), ["id"])
+    assert rows(found.select("kind", "text")) == [("ident", "max_tokens"), ("ident", "os.Exit"), ("path", "../q.md"), ("path", "a/b.go"), ("path", "dir/f.py"), ("route", "ANY /v1/x"), ("route", "GET /v1/u"), ("symbol", "x.Y"), ("ticket", "AB-1")]
+    assert extract.mentions(spark.createDataFrame([(1, " ".join(f"`s{k}.x`" for k in range(100)))], "id int, text string"), ["id"]).count() == 64
     text = "\n".join("" if k == 70 else str(k) for k in range(150))
     assert rows(extract.text_blocks(spark.createDataFrame([("t", text)], "path string, text string"))) == [("t", 0, 1, 70), ("t", 1, 71, 130), ("t", 2, 131, 150)]
 
