@@ -92,6 +92,37 @@ def symbol_levels(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return symbols.select("symbol_id").join(into, "symbol_id", "left").join(out, "symbol_id", "left").select("symbol_id", zero("callers"), zero("callees"))
 
 
+def file_symbols(symbols: DataFrame) -> DataFrame:
+    """(path, place from 1, symbol_id): each file's symbols in line order."""
+    return symbols.select("path", F.row_number().over(Window.partitionBy("path").orderBy("line", "symbol_id")).alias("place"), "symbol_id")
+
+
+def outlines(symbols: DataFrame, files: DataFrame, least: int = 2000) -> DataFrame:
+    """(path, line, kind, name): the declarations of files (path, size) of more than ``least`` bytes."""
+    return symbols.join(files.where(F.col("size") > least).select("path"), "path", "left_semi").select("path", "line", "kind", "name")
+
+
+def in_states(deliveries: DataFrame, states: list[str]) -> DataFrame:
+    """Deliveries in some states by creation and id."""
+    return deliveries.where(F.col("state").isin(*states)).orderBy("created", "id")
+
+
+def capped_json(text: Column, limit: int, steps: int = 24) -> Column:
+    """A text as a JSON result of at most ``limit`` bytes: whole, or the largest prefix of whole characters that fits with
+    a mark that it was cut, found by halving."""
+    whole = F.to_json(F.struct(F.lit(False).alias("truncated"), text.alias("content")))
+    cut = lambda n: F.to_json(F.struct(F.lit(True).alias("truncated"), T.truncate_utf8(text, n).alias("content")))
+
+    def halved(state: Column, _: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"] + 1) / 2).cast("int")
+        fits = F.octet_length(cut(middle)) <= limit
+        return F.struct(F.when(fits, middle).otherwise(state["low"]).alias("low"), F.when(fits, state["high"]).otherwise(middle - 1).alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.least(F.octet_length(text), F.lit(limit)).alias("high"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halved, lambda s: s["low"])
+    return F.when(F.octet_length(whole) <= limit, whole).otherwise(cut(found))
+
+
 # --- mentions ---
 
 

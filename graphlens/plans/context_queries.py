@@ -269,3 +269,18 @@ def token_scale(t):
 
     rows = t.events.select("user_id", "event_id", (F.col("event_id") % 7000).alias("estimated"), (F.col("event_id") % 9000 + 3000).alias("actual"))
     return telemetry.calibrated_scale(rows, "user_id", ["event_id"]).select("user_id", F.round("scale", 6).alias("scale"))
+
+
+@query("file_symbols", f"SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY line, symbol_id) AS INTEGER) AS place, symbol_id FROM {SYMBOL_SQL}")
+def file_symbols(t):
+    return context.file_symbols(symbols(t))
+
+
+@query("outlines", f"SELECT path, line, kind, name FROM {SYMBOL_SQL} WHERE path IN (SELECT 'f' || s_suppkey FROM supplier WHERE s_acctbal > 2000)")
+def outlines(t):
+    return context.outlines(symbols(t), t.supplier.select(F.concat(F.lit("f"), "s_suppkey").alias("path"), F.col("s_acctbal").alias("size")))
+
+
+@query("in_states", "SELECT o_orderkey AS id, o_orderstatus AS state FROM orders WHERE o_orderstatus IN ('F', 'P') ORDER BY o_orderdate, o_orderkey")
+def in_states(t):
+    return context.in_states(t.orders.selectExpr("o_orderkey AS id", "o_orderstatus AS state", "o_orderdate AS created"), ["F", "P"]).select("id", "state")
