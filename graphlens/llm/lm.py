@@ -287,10 +287,8 @@ def score(flat: np.ndarray, heads: int, ends: np.ndarray, columns: dict[str, np.
     return result
 
 
-def _round(docs: DataFrame, vocabulary, model) -> np.ndarray:
+def _round(docs: DataFrame, shards: int, vocabulary, model) -> np.ndarray:
     """The model after a round: each shard's copy, averaged by tokens. ``docs``: text, and its place ``h``."""
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, math.ceil(total / SHARD_BYTES))
 
     def run(batches):
         own, said, seen = model.value.copy(), vocabulary.value, 0
@@ -335,9 +333,11 @@ def fit(training: DataFrame, counts: DataFrame, n_docs: int) -> tuple[Vocabulary
     sums[groups["g"].to_numpy(int)] = groups["n"].to_numpy()
     vocabulary = Vocabulary(top["word"].to_pylist(), top["count"].to_numpy(), sums, n_docs, heads)
     sent, flat = spark.sparkContext.broadcast(vocabulary), fresh(heads)
+    eighth = F.pmod(F.xxhash64("h", F.lit("round")), F.lit(8))
+    sizes = {r["e"]: r["n"] for r in training.groupBy(eighth.alias("e")).agg(F.sum(F.octet_length("text")).alias("n")).collect()}
     for part in ROUNDS:
-        eighth = F.pmod(F.xxhash64("h", F.lit("round")), F.lit(8))
-        flat = _round(training.where(eighth.isin(*part)), sent, spark.sparkContext.broadcast(flat))
+        shards = max(1, math.ceil(sum(sizes.get(e, 0) for e in part) / SHARD_BYTES))
+        flat = _round(training.where(eighth.isin(*part)), shards, sent, spark.sparkContext.broadcast(flat))
     return vocabulary, flat
 
 
