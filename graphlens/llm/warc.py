@@ -168,7 +168,8 @@ def read(archives: DataFrame, sidecar: DataFrame) -> DataFrame:
     """Every record, sought by the sidecar index (archive, offset, length): page_id, url, record_type, refers_to;
     payload_bytes and payload_digest, of a response computed from its payload, of a revisit null and as its head states."""
     places = sidecar.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("_at"))  # the records of one archive
-    sought = archives.select("archive", "content").join(places, "archive").select("content", F.col("_at.offset").alias("offsets"), F.col("_at.length").alias("lengths"))
+    # merged, whatever the sizes: contents are never sent to every task
+    sought = archives.select("archive", "content").hint("merge").join(places, "archive").select("content", F.col("_at.offset").alias("offsets"), F.col("_at.length").alias("lengths"))
 
     def run(batches):
         import hashlib
