@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from graphlens.llm import chat, jaccard, topk, warc
+from graphlens.llm import chat, fim, jaccard, lexical, topk, warc
 from graphlens.llm.chat import op6_chat_formatting
+from graphlens.llm.credentials import op11_secret_scans
+from graphlens.llm.fim import op12_fill_in_middle
 from graphlens.llm.jaccard import op2_jaccard_join
+from graphlens.llm.lexical import op13_ranked_lexical_search
 from graphlens.llm.lm import op4_lm_scoring
 from graphlens.llm.mixing import op3_mixing_sources
 from graphlens.llm.packing import op10_best_fit_packing
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_secret_scans": op11_secret_scans,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_ranked_lexical_search": op13_ranked_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -32,4 +38,6 @@ ORACLES: dict[str, str] = {
     "op2_jaccard_join": jaccard.ORACLE,
     "op6_chat_formatting": chat.ORACLE,
     "op8_warc": warc.ORACLE,
+    "op12_fill_in_middle": fim.ORACLE,
+    "op13_ranked_lexical_search": lexical.ORACLE,
 }
