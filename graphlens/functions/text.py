@@ -232,10 +232,6 @@ def redact(text: Column, patterns=SECRET_PATTERNS) -> Column:
     return text
 
 
-def redact_map(values: Column, patterns=SECRET_PATTERNS) -> Column:
-    return F.transform_values(values, lambda _, v: redact(v, patterns))
-
-
 def reference_breadth(message: Column) -> tuple[Column, Column]:
     """Distinct file references, and distinct folders among those that name one."""
     files = F.array_distinct(F.regexp_extract_all(message, F.lit(FILE_REFERENCE), F.lit(0)))
@@ -307,12 +303,6 @@ def truncate_utf8(text: Column, limit: int | Column) -> Column:
     return F.when(F.octet_length(text) <= most, text).otherwise(F.decode(F.substr(data, F.lit(1), cut), "UTF-8"))
 
 
-def canonical_json(text: Column) -> Column:
-    """A flat JSON object with its keys sorted; other JSON as it is."""
-    entries = F.array_sort(F.map_entries(F.from_json(text, "map<string,string>")))
-    return F.coalesce(F.to_json(F.map_from_entries(entries)), text)
-
-
 def fingerprint(value: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.to_json(value), 256))
 

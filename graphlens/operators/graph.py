@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,19 +15,20 @@ WEIGHTS = {"type_checked": 1.0, "import_resolved": 1.0, "type_hinted": 0.8, "nam
 MENTION_WEIGHTS = {"symbol": 0.8, "route": 0.8, "path": 0.5, "ident": 0.4, "ticket": 0.3}
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, depth: int, expand: Column | None = None) -> DataFrame:
-    """(seed, node, depth): what is reached from each seed along (src, dst) in at most ``depth`` steps, with the least.
+def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None = None, expand: Column | None = None) -> DataFrame:
+    """(seed, node, depth): what is reached from each seed along (src, dst) in at most ``depth`` steps, with the least; without
+    ``depth``, until a round finds nothing new.
 
     ``expand``: a condition on an edge; where it fails, its end is listed but not expanded. Seeds are not listed.
     """
     e = edges.select("src", "dst", (F.lit(True) if expand is None else expand).alias("_go"))
     seen = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.lit(True).alias("_go"))
     level = seen
-    for d in range(1, depth + 1):
+    for d in itertools.count(1) if depth is None else range(1, depth + 1):
         step = level.where("_go").select("seed", F.col("node").alias("src")).join(e, "src")
         step = step.groupBy("seed", F.col("dst").alias("node")).agg(F.max("_go").alias("_go")).withColumn("depth", F.lit(d))
         level = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", "depth", "_go")
-        if depth > 3:
+        if depth is None or depth > 3:
             level = cut(level)
             if level.isEmpty():
                 break
@@ -33,6 +36,46 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int, expand: Column | None =
     return seen.where("depth > 0").select("seed", "node", "depth")
 
 
+def reached(edges: DataFrame, sources: DataFrame, hops: int = 4) -> DataFrame:
+    """(id): all that can be reached from any of ``sources`` (id) in one step or more; sources only where they are. A round
+    takes ``hops`` steps in one plan and is then written, so long chains take few rounds."""
+    e = cut(edges.select("src", "dst").distinct())
+    frontier, found = sources.select("id").distinct(), None
+    while True:
+        steps, hop = None, frontier
+        for _ in range(hops):
+            hop = e.join(hop.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+            steps = hop if steps is None else steps.union(hop)
+        fresh = cut(steps.distinct() if found is None else steps.distinct().join(found, "id", "left_anti"))
+        if fresh.isEmpty():
+            return fresh if found is None else found
+        found = fresh if found is None else found.unionByName(fresh)
+        frontier = fresh
+
+
+def find_callers(edges: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
+    """(seed, depth, callee, label, caller, candidates): the callers of each seed (id), and of its callers, up to ``depth``
+    levels (three at most, as callers expect). Ambiguous callers are listed and not followed.
+
+    ``edges``: caller, callee, label, candidates. A declaration is followed from the level at which it is first reached by an
+    edge that is not ambiguous, so the levels are those of a walk over such edges, joined once more to all edges.
+    """
+    if not 1 <= depth <= 3:
+        raise ValueError("depth is 1 to 3")
+    sure = edges.where("label <> 'ambiguous'").select(F.col("callee").alias("src"), F.col("caller").alias("dst"))
+    ids = seeds.select("id").distinct()
+    followed = ids.select(F.col("id").alias("seed"), F.col("id").alias("callee"), F.lit(1).alias("depth"))
+    if depth > 1:
+        followed = followed.unionByName(bfs(sure, ids, depth - 1).select("seed", F.col("node").alias("callee"), (F.col("depth") + 1).alias("depth")))
+    return followed.join(edges, "callee").select("seed", "depth", "callee", "label", "caller", "candidates")
+
+
+def callers_by_depth(found: DataFrame) -> DataFrame:
+    """(seed, depth, callee, label, callers): the rows of ``find_callers`` by callee and label, callers in order."""
+    entry = F.concat(F.col("caller").cast("string"), F.when(F.col("candidates") > 1, F.concat(F.lit(" (1 of "), F.col("candidates").cast("string"), F.lit(" candidates)"))).otherwise(F.lit("")))
+    return found.groupBy("seed", "depth", "callee", "label").agg(F.array_sort(F.collect_list(entry)).alias("callers"))
+
+
 def tests_for(edges: DataFrame, symbols: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """(seed, test): tests that call a seed within ``depth`` steps; tests are not expanded. ``edges``: caller, callee."""
     tests = symbols.where("is_test").select(F.col("symbol_id").alias("dst"), F.lit(True).alias("_t"))
@@ -52,9 +95,9 @@ def impact(symbols: DataFrame, edges: DataFrame, touched: DataFrame) -> DataFram
     )
 
 
-def closure(edges: DataFrame, seeds: DataFrame, most: int = 512) -> DataFrame:
-    """Everything reachable, by rounds up to ``most`` steps; a round stops when nothing new is found."""
-    return bfs(edges, seeds, most)
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Everything reachable, by rounds until one finds nothing new."""
+    return bfs(edges, seeds)
 
 
 def subtypes(extends: DataFrame, roots: DataFrame, abstract: DataFrame, depth: int = 6) -> DataFrame:
@@ -156,15 +199,16 @@ def co_change(changes: DataFrame, commit: str, file: str, target, k: int = 20) -
     return others.groupBy(F.col(file).alias("file")).agg(F.count("*").alias("co_changes")).orderBy(F.desc("co_changes"), "file").limit(k)
 
 
-def claims_status(claims: DataFrame, changed: DataFrame, depth: int = 16) -> DataFrame:
-    """(id, status): stale if its own anchor changed, doubted if anything that it derives from is stale, else live.
+def claims_status(claims: DataFrame, changed: DataFrame) -> DataFrame:
+    """(id, status): stale if its own anchor changed, doubted if anything that it derives from is stale, by however many
+    steps, else live. What is stale is one source, so a claim enters the frontier once.
 
     ``claims``: id, derived_from (array of ids), path, hash; ``changed``: path, hash as it is now.
     """
     now = changed.select("path", F.col("hash").alias("_h"))
     own = claims.join(now, "path", "left").select("id", (F.col("_h").isNotNull() & (F.col("_h") != F.col("hash"))).alias("_stale"))
     derived = claims.select(F.col("id").alias("dst"), F.explode("derived_from").alias("src"))
-    doubted = bfs(derived, own.where("_stale").select("id"), depth).select(F.col("node").alias("id")).distinct().withColumn("_d", F.lit(True))
+    doubted = reached(derived, own.where("_stale").select("id")).withColumn("_d", F.lit(True))
     return own.join(doubted, "id", "left").select("id", F.when(F.col("_stale"), "stale").when(F.col("_d"), "doubted").otherwise("live").alias("status"))
 
 

@@ -38,12 +38,6 @@ def compaction_due(overlays: Column, overlay_bytes: Column, base_bytes: Column)
     return (overlays >= 16) | (overlay_bytes >= 16 << 20) | ((overlays >= 4) & (overlay_bytes * 4 > base_bytes))
 
 
-def touched_shards(base: DataFrame, overlay: DataFrame, key: str, shard: str) -> DataFrame:
-    """Base rows of the shards that an overlay touches, for a rewrite of these alone."""
-    hit = base.join(overlay.select(key), key, "left_semi").select(shard).distinct()
-    return base.join(hit, shard, "left_semi")
-
-
 def retention(items: DataFrame, scope: str, key: str, updated: str, size: str, older_than=None, most: int | None = None, most_bytes: int | None = None) -> DataFrame:
     """Items that a policy removes: too old, beyond the newest ``most``, or oldest beyond ``most_bytes`` in a scope."""
     newest = Window.partitionBy(scope).orderBy(F.desc(updated), key)

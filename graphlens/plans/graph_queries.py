@@ -10,12 +10,12 @@ from graphlens.plans.store_queries import EDGE_SQL, call_edges
 
 #: Calls among declarations: every order is a call of its customer, and its status the label.
 LABEL = "CASE o_orderstatus WHEN 'F' THEN 'import_resolved' WHEN 'O' THEN 'name_matched' ELSE 'ambiguous' END"
-CALLS = f"SELECT o_custkey AS src, o_orderkey * 7 % (SELECT max(c_custkey) FROM customer) + 1 AS dst, min({LABEL}) AS label FROM orders GROUP BY ALL"
+CALLS = f"SELECT o_custkey AS src, o_orderkey * 7 % (SELECT max(c_custkey) FROM customer) + 1 AS dst, min({LABEL}) AS label, count(*) AS candidates FROM orders GROUP BY ALL"
 
 
 def _calls(t):
     last = t.customer.agg(F.max("c_custkey")).first()[0]
-    return t.orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") * 7 % last + 1).alias("dst"), F.expr(LABEL).alias("label")).groupBy("src", "dst").agg(F.min("label").alias("label"))
+    return t.orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") * 7 % last + 1).alias("dst"), F.expr(LABEL).alias("label")).groupBy("src", "dst").agg(F.min("label").alias("label"), F.count("*").alias("candidates"))
 
 
 def _bfs_sql(edges: str, seeds: str, depth: int, go: str = "true") -> str:
@@ -24,11 +24,29 @@ def _bfs_sql(edges: str, seeds: str, depth: int, go: str = "true") -> str:
   SELECT seed, node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY seed, node HAVING min(depth) > 0"""
 
 
-@query("bfs_depth3", _bfs_sql(CALLS, "SELECT unnest([1::BIGINT, 5, 9]) AS id", 3))
+#: The callers of every supplier's number: levels over the sure edges, then all edges of what is followed.
+CALLERS = f"""WITH RECURSIVE e AS ({CALLS}), r AS (SELECT s_suppkey AS seed, s_suppkey AS node, 1 AS depth FROM supplier
+  UNION SELECT seed, e.src, depth + 1 FROM r JOIN e ON e.dst = r.node WHERE depth < 3 AND label <> 'ambiguous'),
+  f AS (SELECT seed, node AS callee, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY seed, node)
+  SELECT seed, depth, callee, label, e.src AS caller, candidates FROM f JOIN e ON e.dst = f.callee"""
+
+
+def _found(t):
+    edges = _calls(t).withColumnsRenamed({"src": "caller", "dst": "callee"})
+    return graph.find_callers(edges, t.supplier.select(F.col("s_suppkey").alias("id")), 3)
+
+
+@query("bfs_depth3", CALLERS)
 def bfs_depth3(t):
-    """find_callers to depth three, from three seeds."""
-    seeds = t.spark.createDataFrame([(1,), (5,), (9,)], "id long")
-    return graph.bfs(_calls(t), seeds, 3)
+    """find_callers to depth three, from every supplier's number; ambiguous callers are listed, not followed."""
+    return _found(t)
+
+
+@query("callers_by_depth", f"""SELECT seed, depth, callee, label, string_agg(entry, ',' ORDER BY entry) AS callers FROM (
+  SELECT *, caller::VARCHAR || CASE WHEN candidates > 1 THEN ' (1 of ' || candidates || ' candidates)' ELSE '' END AS entry FROM ({CALLERS})) GROUP BY ALL""")
+def callers_by_depth(t):
+    """The same as a caller's answer: by callee and by how the call was resolved."""
+    return graph.callers_by_depth(_found(t)).withColumn("callers", F.array_join("callers", ","))
 
 
 TESTS = "SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'"
@@ -81,14 +99,16 @@ def co_change_top20(t):
     return graph.co_change(t.lineitem, "l_orderkey", "l_partkey", 5)
 
 
-@query("claims_status", """WITH RECURSIVE c AS (SELECT c_custkey AS id, c_custkey // 2 AS parent, c_nationkey AS path, c_custkey % 11 = 3 AND c_custkey > 200 AS stale FROM customer),
+@query("claims_status", """WITH RECURSIVE c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 40 < 20 THEN c_custkey - 1 ELSE c_custkey // 2 END AS parent, c_custkey % 20 = 0 AND c_custkey % 3 = 1 AS stale FROM customer),
   d AS (SELECT id FROM c WHERE stale UNION SELECT c.id FROM c JOIN d ON c.parent = d.id)
   SELECT id, CASE WHEN stale THEN 'stale' WHEN id IN (SELECT id FROM d) THEN 'doubted' ELSE 'live' END AS status FROM c""")
 def claims_status(t):
-    """A claim derives from the one of half its number; every eleventh anchor has changed."""
-    changed = (F.col("c_custkey") % 11 == 3) & (F.col("c_custkey") > 200)
-    claims = t.customer.select(F.col("c_custkey").alias("id"), F.array((F.col("c_custkey") / 2).cast("long")).alias("derived_from"), F.col("c_custkey").alias("path"), F.lit("old").alias("hash"))
-    now = t.customer.select(F.col("c_custkey").alias("path"), F.when(changed, "new").otherwise("old").alias("hash"))
+    """Half of all claims stand in chains of twenty, the others derive from the one of half their number."""
+    key = F.col("c_custkey")
+    changed = (key % 20 == 0) & (key % 3 == 1)
+    parent = F.when(key % 40 < 20, key - 1).otherwise((key / 2).cast("long"))
+    claims = t.customer.select(key.alias("id"), F.array(parent).alias("derived_from"), key.alias("path"), F.lit("old").alias("hash"))
+    now = t.customer.select(key.alias("path"), F.when(changed, "new").otherwise("old").alias("hash"))
     return graph.claims_status(claims, now)
 
 

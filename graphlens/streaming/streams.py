@@ -1,4 +1,4 @@
-"""Structured Streaming versions of the stateful operators. Each has a batch twin that gives the same rows."""
+"""Structured Streaming versions of joins, limits and publishing; operators with timers and expiry are in ``timers``."""
 
 from __future__ import annotations
 
@@ -19,29 +19,6 @@ def correlate(starts: DataFrame, ends: DataFrame, delay: str = "10 minutes", lon
     return a.join(b, (F.col("a_id") == F.col("b_id")) & near).select(F.col("a_id").alias("call_id"), "started", "ended")
 
 
-def sequence_violations(events: DataFrame) -> DataFrame:
-    """(task_id, sequence, problem) of events (task_id, sequence, event_id) that repeat an id or a sequence, or come out of
-    order. State per task is its last sequence and the ids seen; out-of-order events are errors, not late data."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, ids = state.get if state.exists else (None, "")
-        seen = set(ids.split("\n")) if ids else set()
-        rows = []
-        for r in pd.concat(list(frames)).itertuples():
-            if r.event_id in seen:
-                rows.append((key[0], int(r.sequence), "duplicate"))
-                continue
-            if last is not None and r.sequence <= last:
-                rows.append((key[0], int(r.sequence), "order"))
-                continue
-            last = int(r.sequence)
-            seen.add(r.event_id)
-        state.update((last, "\n".join(sorted(seen))))
-        yield pd.DataFrame(rows, columns=["task_id", "sequence", "problem"])
-
-    return events.groupBy("task_id").applyInPandasWithState(step, "task_id string, sequence long, problem string", "last long, ids string", "append", GroupStateTimeout.NoTimeout)
-
-
 def allowed_in_window(times: list[float], limit: int, window: float) -> list[bool]:
     """Fixed windows that open at the first request after the last one closed (the batch twin's inner loop)."""
     out, start, used = [], None, 0
@@ -81,17 +58,12 @@ def rate_limited_stream(requests: DataFrame, limit: int, window_seconds: float)
     return requests.select("client", F.col("ts").cast("timestamp_ntz").alias("ts")).groupBy("client").applyInPandasWithState(step, "client string, ts timestamp_ntz, allowed boolean", "start double, used int", "append", GroupStateTimeout.NoTimeout)
 
 
-def debounced(changes: DataFrame, quiet: str = "50 milliseconds", delay: str = "2 seconds", most: int = 4096) -> DataFrame:
-    """Batches of changed paths (repo, path, ts): a batch closes after a quiet time; too many paths ask for a full listing."""
-    grouped = changes.withWatermark("ts", delay).groupBy("repo", F.session_window("ts", quiet)).agg(F.collect_set("path").alias("paths"))
-    return grouped.select("repo", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), F.array_sort("paths").alias("paths"), (F.size("paths") > most).alias("full"))
-
-
 def publish_batches(changes: DataFrame, store, checkpoint: str):
-    """Each micro-batch of changed rows becomes an overlay of the store; an empty batch none. Returns the query."""
+    """Each micro-batch of changed rows becomes an overlay of the store; an empty batch none, and one that comes again
+    after a failure none either: the manifest holds the number of the last one. Returns the query."""
 
-    def publish(batch: DataFrame, _: int) -> None:
-        store.publish(batch)
+    def publish(batch: DataFrame, number: int) -> None:
+        store.publish(batch, batch=(checkpoint, number))
         if store.due():
             store.compact()
 

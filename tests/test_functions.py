@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from graphlens.functions import json as J
 from graphlens.functions import text as T
 
 
@@ -114,7 +115,7 @@ def test_names_in_tasks(spark):
 def test_normalize_and_shape(spark):
     assert column(spark, T.normalize_trigger, ["  Fix—the BUG!! ", "...", "Éa1"]) == ["fix the bug", "", "éa1"]
     assert column(spark, T.code_shaped, ["a_b", "Abc", "aBc", "a.b", ".a", "a.", ".a.b", "a.b.", ""]) == [True, False, True, True, False, False, False, True, False]
-    assert column(spark, T.canonical_json, ['{"b":"1","a":"2"}']) == ['{"a":"2","b":"1"}']
+    assert column(spark, J.canonical_json, ['{"b":"1","a":"2"}', "no json", None]) == ['{"a":"2","b":"1"}', "no json", None]
     ids = ["p/model-a-3.5-x-20240101", " Vendor/Model-A.5-20250101 ", "us.vendor.model-4-5-20250929-v1:0", "model-x@20250929", "model-y-2024-08-06", "Plain"]
     assert column(spark, T.model_candidates, ids) == [
         ["p/model-a-3.5-x-20240101", "model-a-3.5-x-20240101", "model-a-3.5-x", "model-a-3-5-x"], ["vendor/model-a.5-20250101", "model-a.5-20250101", "model-a.5", "model-a-5"],
@@ -122,3 +123,18 @@ def test_normalize_and_shape(spark):
     ]
     assert [x is not None for x in column(spark, T.parse_time, ["2024-01-02T03:04:05Z", "2024-01-02 03:04:05", "2024-01-02", "x"])] == [True, True, True, False]
     assert unicodedata.normalize("NFC", "é") == "é" and re.match("a", "a")
+
+
+def test_json_of_any_depth(spark):
+    key = "AKIA" + "B" * 8 + "CDEFGHIJ"
+    rows = [
+        ('{"b": {"y": [1.50, "%s", {"z": "q\\"%s\\\\", "a": null}], "a": true}, "a": "x\\n<"}' % (key, key), '{"a":"x\\n<","b":{"a":true,"y":[1.5,"%s",{"a":null,"z":"q\\"%s\\\\"}]}}' % (key, key)),
+        ('{"%s":":","k:":"\\\\"}' % key, '{"%s":":","k:":"\\\\"}' % key), ("[]", "[]"), ('"s"', '"s"'), ("7", "7"), ('{"a":1,"a":2}', '{"a":1,"a":2}'), (f"no {key}", f"no {key}"), ("", ""), (None, None),
+    ]
+    assert column(spark, J.canonical_json, [r for r, _ in rows]) == [c for _, c in rows]
+    hidden = [c if c is None else c.replace(f'"{key}"', '"[REDACTED]"').replace(f'q\\"{key}', 'q\\"[REDACTED]').replace(f"no {key}", "no [REDACTED]") for _, c in rows]
+    hidden[1] = rows[1][1]  # a key is no value
+    assert column(spark, J.redact_json, [r for r, _ in rows]) == hidden
+    assert column(spark, J.string_leaves, [rows[0][0], "[]", "no"]) == [["x\n<", key, 'q"%s\\' % key], [], None]
+    deep = '{"a":' * 300 + f'"{key}"' + "}" * 300
+    assert column(spark, J.redact_json, [deep]) == [deep.replace(key, "[REDACTED]")]

@@ -29,16 +29,6 @@ def test_correlation(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, telemetry.correlate(a, b, "call_id").collect()))
 
 
-def test_sequences(spark, tmp_path):
-    schema = "task_id string, sequence long, event_id string"
-    folder = f"{tmp_path}/e"
-    for part in ([("t", 1, "a"), ("t", 2, "b"), ("u", 5, "a")], [("t", 2, "c"), ("t", 3, "b"), ("t", 4, "d"), ("u", 4, "z")]):
-        df = spark.createDataFrame(part, schema)
-        source = stream(spark, df, folder)
-    got = drained(streams.sequence_violations(source), "violations", spark, f"{tmp_path}/c")
-    assert sorted(map(tuple, got)) == [("t", 2, "order"), ("t", 3, "duplicate"), ("u", 4, "order")]
-
-
 def test_rate_limit(spark, tmp_path):
     df = spark.createDataFrame([("a", at(s)) for s in (0, 1, 2, 9, 10, 11)] + [("b", at(5))], "client string, ts timestamp")
     batch = sorted(map(tuple, streams.rate_limited(df, 2, 10).collect()))
@@ -47,12 +37,6 @@ def test_rate_limit(spark, tmp_path):
     assert sorted(map(tuple, got)) == batch
 
 
-def test_debounce(spark, tmp_path):
-    df = spark.createDataFrame([("r", "p", at(0)), ("r", "q", at(0.02)), ("r", "p", at(1)), ("s", "x", at(1)), ("r", "late", at(60))], "repo string, path string, ts timestamp")
-    got = drained(streams.debounced(stream(spark, df, f"{tmp_path}/d")), "batches", spark, f"{tmp_path}/c")
-    assert sorted((r["repo"], r["paths"]) for r in got) == [("r", ["p"]), ("r", ["p", "q"]), ("s", ["x"])]
-
-
 def test_batches_become_generations(spark, tmp_path):
     folder = f"{tmp_path}/s"
     for part in ([("a", 1, False), ("b", 2, False)], [("a", 3, False), ("b", None, True)]):
@@ -60,3 +44,6 @@ def test_batches_become_generations(spark, tmp_path):
     s = Store(spark, f"{tmp_path}/store", ["path"])
     streams.publish_batches(source, s, f"{tmp_path}/c").awaitTermination()
     assert [(r["path"], r["hash"]) for r in s.read().collect()] == [("a", 3)] and s.manifest()["generation"] >= 1
+    before = s.manifest()["generation"]
+    again = spark.createDataFrame([("c", 9, False)], "path string, hash int, deleted boolean")
+    assert s.publish(again, batch=(f"{tmp_path}/c", 0)) == before and s.publish(again, batch=(f"{tmp_path}/c", 99)) == before + 1
