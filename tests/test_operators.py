@@ -186,18 +186,6 @@ def test_markdown_and_blocks(spark):
     assert rows(extract.text_blocks(spark.createDataFrame([("t", text)], "path string, text string"))) == [("t", 0, 1, 70), ("t", 1, 71, 130), ("t", 2, 131, 150)]
 
 
-def test_position_index(spark):
-    def field(n, value):
-        body = value if isinstance(value, bytes) else None
-        return bytes([n << 3 | 2, len(body)]) + body
-
-    occurrence = lambda span, symbol, role: field(2, field(1, bytes(span)) + field(2, symbol) + bytes([3 << 3, role]))
-    a = field(2, field(1, b"a.go") + occurrence([3, 5, 9], b"sym", 1))
-    b = field(2, field(1, b"b.go") + occurrence([7, 1, 8, 2], b"sym", 0))
-    files = spark.createDataFrame([(bytearray(a + b),)], "content binary")
-    assert rows(extract.scip_sites(extract.scip_occurrences(files))) == [("b.go", 8, 2, "a.go", 4)]
-
-
 def test_docx(spark):
     import io
     import zipfile
