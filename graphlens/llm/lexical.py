@@ -1,14 +1,14 @@
 """Ranked lexical search: an inverted index as a DataFrame, and the documents of the highest integer scores for each item.
 
-The index is a table with one row for each document and term: the term's bucket (a hash), the term, how often it occurs,
-and the document's number of terms. Each task writes the postings of the documents that it has read, sorted by bucket, so
-building it shuffles nothing, makes one file a task, and a reader leaves out the row groups of buckets that no item asks for.
-One row more for each document, with a null term, holds its length alone; number and total length are sums over those.
+The index is a table of posting lists: a row holds a term's bucket (a hash), the term, and of some documents (those of
+one slice of a task's input) how often the term occurs and how many terms the document has. Each task writes the lists of the documents that it
+has read, sorted by bucket, so building it shuffles nothing, makes one file a task, and a reader leaves out the row groups of
+buckets that no item asks for. One list more a slice, of a null term, holds every document's length; number and total length are sums over those.
 
-Searching joins items' terms to postings on bucket and term, scores every match and sums by item and document. Where the
-items' terms are few enough to be broadcast (their number is checked), the postings that any item asks for are dealt by
+Searching joins items' terms to posting lists on bucket and term, scores every match and sums by item and document. Where the
+items' terms are few enough to be broadcast (their number is checked), the scored postings that any item asks for are dealt by
 document first: a term that half of all documents hold is spread with them, every sum is local, and only the best ``k`` of
-an item leave a task. Beyond that bound, both sides are shuffled by bucket, term and a salt of the document, as many
+an item leave a task. Beyond that bound, postings and terms are shuffled by term and a salt of the document, as many
 salts as the most frequent term needs, and the sums follow.
 """
 
@@ -42,25 +42,27 @@ def _bucket(term: str | F.Column, buckets: int):
 
 
 def postings(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """bucket, term, doc_id, row (a number of the row in ``docs``), tf and n for each row of ``docs`` (doc_id, text) and
-    term in it, and one row with a null term for each row of ``docs`` that has terms. Rows that repeat an id are
-    documents each. A null text has no terms. Other columns are left out, whatever their names."""
+    """bucket, term, and four arrays in step: ids, rows (a number of the row in ``docs``), tfs and lengths, of ``docs``
+    (doc_id, text) by slices; for a null term, of all documents that have terms. Rows that repeat an id are documents each. A
+    null text has no terms. Other columns are left out, whatever their names."""
 
     def run(batches):
-        for batch in common.slices(batches, "text", 2 << 20):
+        for batch in common.slices(batches, "text", 8 << 20):
             offsets, codes, distinct = terms(batch.column("text"))
             lengths = np.diff(offsets)
-            pairs, tf = np.unique(np.repeat(np.arange(len(lengths)), lengths) * max(len(distinct), 1) + codes, return_counts=True)
-            doc, code = pairs // max(len(distinct), 1), pairs % max(len(distinct), 1)
+            n_docs = len(lengths)
+            pairs, tfs = np.unique(codes.astype(np.int64) * n_docs + np.repeat(np.arange(n_docs), lengths), return_counts=True)
+            code, doc = pairs // n_docs, pairs % n_docs
             full = np.flatnonzero(lengths)
-            doc, tf = np.concatenate([doc, full]), np.concatenate([tf, np.zeros(len(full), np.int64)])
-            term = pa.concat_arrays([distinct.take(pa.array(code)), pa.nulls(len(full), distinct.type)]).cast(pa.string())
-            at = pa.array(doc)
-            yield [term, batch.column("doc_id").take(at), batch.column("row").take(at), tf, lengths[doc].astype(np.int64)]
+            starts = np.concatenate([np.flatnonzero(np.diff(code, prepend=-1)), [len(code), len(code) + len(full)]])
+            doc = np.concatenate([doc, full])
+            term = pa.concat_arrays([distinct.take(pa.array(code[starts[:-2]])), pa.nulls(1, distinct.type)]).cast(pa.string())
+            lists = (batch.column("doc_id").take(pa.array(doc)), batch.column("row").take(pa.array(doc)), np.concatenate([tfs, lengths[full]]), lengths[doc])
+            yield [term, *(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, pa.int64())) for x in lists)]
 
     kept = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    found = common.mapped(kept, run, f"term string, doc_id {dict(docs.dtypes)['doc_id']}, row long, tf long, n long")
-    return found.select(_bucket("term", buckets).alias("bucket"), "*").sortWithinPartitions("bucket", "term")
+    found = common.mapped(kept, run, f"term string, ids array<{dict(docs.dtypes)['doc_id']}>, rows array<long>, tfs array<long>, lengths array<long>")
+    return found.select(_bucket("term", buckets).alias("bucket"), "*").sortWithinPartitions("bucket")
 
 
 class Index:
@@ -69,7 +71,8 @@ class Index:
     def __init__(self, docs: DataFrame, buckets: int = BUCKETS) -> None:
         self.buckets = buckets
         self.table = common.materialize(postings(docs, buckets))
-        self.n_docs, self.n_terms = self.table.where("term is null").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        lengths = self.table.where("term is null").select(F.explode("lengths").alias("n"))
+        self.n_docs, self.n_terms = lengths.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
 
     def asked(self, items: DataFrame) -> DataFrame:
         """bucket, term and item_id of each distinct term of each item; rows that share an item_id are one item."""
@@ -99,25 +102,25 @@ class Index:
         held = self.table.where("term is not null")
         if small and n_terms < self.buckets:
             held = held.where(F.col("bucket").isin([r[0] for r in asked.select("bucket").distinct().collect()]))
-        counted = common.materialize(held.join(wanted, ["bucket", "term"], "left_semi").groupBy("bucket", "term").agg(F.count("*").alias("df")))
+        counted = held.join(wanted, ["bucket", "term"], "left_semi").groupBy("bucket", "term").agg(F.sum(F.size("rows")).alias("df"))
         weight = F.floor(1000 * F.log((2.0 * F.lit(self.n_docs) + 2) / (2.0 * F.col("df") + 1))).cast("long")
-        weighted = asked.join(counted, ["bucket", "term"]).select("bucket", "term", "item_id", "df", weight.alias("w")).where("w > 0")
-        matches, most = weighted.agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.max("df"), F.lit(0))).first()
+        weighed = common.materialize(counted.withColumn("w", weight).where("w > 0").withColumn("t", F.monotonically_increasing_id()))
+        items_of = common.materialize(asked.join(weighed, ["bucket", "term"]).select("t", "item_id", "df"))
+        matches, most = items_of.agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.max("df"), F.lit(0))).first()
         parts = max(int(matches // TASK_ROWS) + 1, int(self.table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        m = F.expr(f"50 + (50 * n * {self.n_docs}L) div {max(self.n_terms, 1)}L")
-        narrow = held.select("bucket", "term", "doc_id", "row", "tf", m.alias("m"))
-        value = F.expr("w * ((1000000000 * tf) div (1000 * tf + 20 * m))")
+        lists = held.join(F.broadcast(weighed) if small else weighed, ["bucket", "term"])
+        entries = lists.select("t", "w", F.inline(F.arrays_zip("ids", "rows", "tfs", "lengths")))
+        m = f"50 + (50 * lengths * {self.n_docs}L) div {max(self.n_terms, 1)}L"
+        scored = entries.select("t", F.col("ids").alias("doc_id"), F.col("rows").alias("row"), F.expr(f"w * ((1000000000 * tfs) div (1000 * tfs + 20 * ({m})))").alias("v"))
         if small:
-            dealt = narrow.join(F.broadcast(weighted.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi").repartition(parts, "row")
-            matched = dealt.join(F.broadcast(weighted.drop("df")), ["bucket", "term"])
+            matched = scored.repartition(parts, "row").join(F.broadcast(items_of.drop("df")), "t")
         else:
             salts = int(most // TASK_ROWS) + 1
-            salt = F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")
-            spread = weighted.drop("df").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-            matched = narrow.withColumn("salt", salt).join(spread, ["bucket", "term", "salt"])
-        scored = matched.groupBy("item_id", "doc_id", "row").agg(F.sum(value).alias("score")).where("score > 0")
+            spread = items_of.drop("df").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            matched = scored.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")).join(spread, ["t", "salt"])
+        summed = matched.groupBy("item_id", "doc_id", "row").agg(F.sum("v").alias("score")).where("score > 0")
         best = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row")
-        return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+        return summed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 
 
 ORACLE = r"""
