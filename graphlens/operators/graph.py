@@ -144,6 +144,65 @@ def personalized_pagerank(weights: DataFrame, seeds: DataFrame, alpha: float = A
     return state.where("score > 0").select("node", "score")
 
 
+def neighbours(edges: DataFrame, mentions: DataFrame | None = None, most: int = 48) -> DataFrame:
+    """(src, dst, w, kind, label): whom a declaration ``calls`` and whom it is ``called_by`` (at 0.8 of the weight), and what a section ``mentions``; at
+    most ``most`` of each, the first by line and number, so that no hub is joined to more. Labels without a weight give none.
+
+    ``edges``: caller, callee, line, label, candidates; ``mentions``: section, target, kind, label, candidates.
+    """
+    w = _weight("label", WEIGHTS) / F.col("candidates")
+    own = edges.where("caller <> callee")
+    sides = [
+        own.select(F.col("caller").alias("src"), F.col("callee").alias("dst"), w.alias("w"), F.lit("calls").alias("kind"), "label", "line"),
+        own.select(F.col("callee").alias("src"), F.col("caller").alias("dst"), (w * 0.8).alias("w"), F.lit("called_by").alias("kind"), "label", "line"),
+    ]
+    if mentions is not None:
+        sides.append(mentions.select(F.col("section").alias("src"), F.col("target").alias("dst"), (_weight("kind", MENTION_WEIGHTS) * w).alias("w"), F.lit("mentions").alias("kind"), "label", F.lit(0).alias("line")))
+    every = sides[0]
+    for side in sides[1:]:
+        every = every.unionByName(side)
+    nth = F.row_number().over(Window.partitionBy("src", "kind").orderBy("line", "dst", "label", "w"))
+    return every.where("w > 0").withColumn("_n", nth).where(F.col("_n") <= most).drop("_n", "line")
+
+
+def push(adjacent: DataFrame, seeds: DataFrame, alpha: float = ALPHA, epsilon: float = EPSILON, rounds: int = ROUNDS) -> DataFrame:
+    """(query, node, score, pred, kind, label): personalised PageRank of many queries in one run, by synchronous forward push.
+
+    ``adjacent``: the rows of ``neighbours``; ``seeds``: query, node, mass. Residuals are keyed by query and node; those of at least ``epsilon``
+    are pushed, and each push carries where it comes from, so the aggregate that sums residuals also keeps the predecessor of the largest one
+    (ties: the smallest). Seeds have none. A query's scores never exceed its mass.
+    """
+    out = cut(adjacent.withColumn("_p", F.col("w") / F.sum("w").over(Window.partitionBy("src"))).select("src", "dst", "_p", "kind", "label"))
+    have = out.select(F.col("src").alias("node"), F.lit(True).alias("_has")).distinct()
+    # the least of (-mass, ...) is the largest mass; rounded, so that equal sums in another order stay equal
+    best = lambda m, pred, kind, label: F.struct((-F.round(m, 12)).alias("m"), pred.alias("pred"), kind.alias("kind"), label.alias("label"))
+    node = dict(seeds.dtypes)["node"]
+    none = F.lit(None).cast(f"struct<m: double, pred: {node}, kind: string, label: string>")
+    state = cut(seeds.groupBy("query", "node").agg(F.sum("mass").alias("r")).select("query", "node", "r", F.lit(0.0).alias("score"), none.alias("best"), F.lit(True).alias("seed")))
+    for _ in range(rounds):
+        live = state.where(F.col("r") >= epsilon)
+        if live.isEmpty():
+            break
+        taken = F.when(F.col("r") >= epsilon, F.col("r") * F.when(F.col("_has").isNull(), 1.0).otherwise(alpha)).otherwise(0.0)
+        kept = state.join(have, "node", "left").select("query", "node", F.when(F.col("r") >= epsilon, 0.0).otherwise(F.col("r")).alias("r"), (F.col("score") + taken).alias("score"), "best", "seed")
+        mass = F.col("r") * (1 - alpha) * F.col("_p")
+        sent = live.select("query", F.col("node").alias("src"), "r").join(out, "src").select("query", F.col("dst").alias("node"), mass.alias("r"), F.lit(0.0).alias("score"), best(mass, F.col("src"), F.col("kind"), F.col("label")).alias("best"), F.lit(False).alias("seed"))
+        state = cut(kept.union(sent).groupBy("query", "node").agg(F.sum("r").alias("r"), F.sum("score").alias("score"), F.min("best").alias("best"), F.bool_or("seed").alias("seed")))
+    said = lambda c: F.when(~F.col("seed"), F.col(f"best.{c}")).alias(c)
+    return state.where("score > 0").select("query", "node", "score", said("pred"), said("kind"), said("label"))
+
+
+def ways_back(found: DataFrame, most: int = 8) -> DataFrame:
+    """(query, node, way): from each node of ``push`` back over predecessors to a seed, nodes in that order; a way that comes to a node again, or to one
+    without a score, ends there. Predecessors are looked up ``most`` times at most: a push loses a quarter at each step, so ways are short."""
+    step = found.select("query", F.col("node").alias("_at"), F.col("pred").alias("_next"))
+    ways = found.select("query", "node", F.array("node").alias("way"), F.col("pred").alias("_at"))
+    for _ in range(most):
+        going = F.col("_at").isNotNull() & ~F.array_contains("way", F.col("_at"))
+        ways = ways.join(step, ["query", "_at"], "left").select("query", "node", F.when(going, F.concat("way", F.array("_at"))).otherwise(F.col("way")).alias("way"), F.when(going, F.col("_next")).alias("_at"))
+    return ways.select("query", "node", "way")
+
+
 def seed_mass(seeds: DataFrame) -> DataFrame:
     """(query, node, mass): seeds of a kind share its weight; each query's masses add up to one."""
     kinds = {"exact": 1.0, "range": 1.0, "path": 0.5, "word": 0.3, "search": 0.4}

@@ -47,9 +47,9 @@ def bm25(posted: DataFrame, key: str, queries: DataFrame, names: DataFrame | Non
     score = F.col("_s") * (covered * covered if coverage else F.lit(1.0))
     out = scored.join(totals, ["query_id", "corpus"]).withColumn("score", score)
     if names is not None:
-        own = per_query.select("query_id", "corpus", F.col("term").alias("_term"), F.col("idf").alias("_own"))
+        own = per_query.select(F.col("query_id").alias("_oq"), F.col("corpus").alias("_oc"), F.col("term").alias("_term"), F.col("idf").alias("_own"))
         out = out.join(names.select(key, F.col("name").alias("_name")), key).withColumn("_stem", T.stem(F.lower("_name")))
-        out = out.join(own, (out.query_id == own.query_id) & (out.corpus == own.corpus) & (F.col("_stem") == F.col("_term")), "left").drop(own.query_id).drop(own.corpus)
+        out = out.join(own, (F.col("query_id") == F.col("_oq")) & (F.col("corpus") == F.col("_oc")) & (F.col("_stem") == F.col("_term")), "left")
         out = out.join(queries.select(F.col("query_id").alias("_q"), F.lower(F.trim("query")).alias("_query")), F.col("query_id") == F.col("_q"))
         out = out.withColumn("score", F.col("score") + F.coalesce("_own", F.lit(0.0)) + F.when(F.lower("_name") == F.col("_query"), 1000.0).otherwise(0.0))
     return out.select("query_id", "corpus", key, "score", "matched")

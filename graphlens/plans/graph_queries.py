@@ -172,3 +172,76 @@ def pack_budget(t):
     rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long")
     items = t.orders.select(F.col("o_custkey").alias("query"), rank.alias("rank"), F.col("o_orderkey").cast("string").alias("item"), (F.col("o_orderkey") % 700).alias("excerpt_tokens"), (F.col("o_orderkey") % 60).alias("signature_tokens"), F.lit(12).cast("long").alias("handle_tokens"))
     return graph.pack_budget(items, 2000)
+
+
+#: Seeds of each benchmark item: a supplier by its name, a part by its path, a section of the same number by a search.
+ITEM_SEEDS = """SELECT item_id AS query, item_id * 3 % (SELECT max(s_suppkey) FROM supplier) + 1 AS node, 'exact' AS kind FROM benchmark
+  UNION ALL SELECT item_id, item_id % 100, 'path' FROM benchmark UNION ALL SELECT item_id, -(item_id % (SELECT max(s_suppkey) FROM supplier) + 1), 'search' FROM benchmark"""
+NEIGHBOURS = f"""c AS (SELECT caller, callee, line, label, CASE label WHEN 'import_resolved' THEN 1.0::DOUBLE WHEN 'name_matched' THEN 0.4 ELSE 0.15 END / candidates AS w FROM ({EDGE_SQL}) WHERE caller <> callee),
+  n AS (SELECT src, dst, w, kind, label FROM (SELECT *, row_number() OVER (PARTITION BY src, kind ORDER BY line, dst, label, w) AS k FROM (
+    SELECT caller AS src, callee AS dst, w, 'calls' AS kind, label, line FROM c UNION ALL SELECT callee, caller, 0.8 * w, 'called_by', label, line FROM c
+    UNION ALL SELECT section, target, CASE kind WHEN 'symbol' THEN 0.8::DOUBLE WHEN 'route' THEN 0.8 WHEN 'path' THEN 0.5 WHEN 'ident' THEN 0.4 ELSE 0.3 END * CASE label WHEN 'name_matched' THEN 0.4 ELSE 0.15 END / candidates, 'mentions', label, 0 FROM ({MENTION_SQL})) WHERE w > 0) WHERE k <= 48)"""
+PUSH = f"""{NEIGHBOURS}, seeds AS ({ITEM_SEEDS}),
+  sw AS (SELECT query, node, sum(w / n) AS w FROM (SELECT *, CASE kind WHEN 'exact' THEN 1.0::DOUBLE WHEN 'path' THEN 0.5 ELSE 0.4 END AS w, count(*) OVER (PARTITION BY query, kind) AS n FROM seeds) GROUP BY ALL),
+  mass AS (SELECT query, node, w / sum(w) OVER (PARTITION BY query) AS mass FROM sw),
+  p AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p, kind, label FROM n), have AS (SELECT DISTINCT src FROM n),
+  s AS (SELECT 0 AS k, query, node, mass AS r, 0.0::DOUBLE AS score, NULL::STRUCT(m DOUBLE, pred BIGINT, kind VARCHAR, label VARCHAR) AS best, true AS seed FROM mass UNION ALL
+    SELECT k, query, node, sum(r), sum(score), min(best), bool_or(seed) FROM (
+      SELECT k + 1 AS k, query, node, CASE WHEN r >= {graph.EPSILON} THEN 0 ELSE r END AS r, score + CASE WHEN r >= {graph.EPSILON} THEN r * CASE WHEN have.src IS NULL THEN 1 ELSE {graph.ALPHA} END ELSE 0 END AS score, best, seed
+      FROM s LEFT JOIN have ON have.src = node WHERE k < {graph.ROUNDS} AND (SELECT max(r) FROM s) >= {graph.EPSILON}
+      UNION ALL SELECT k + 1, query, dst, r * {1 - graph.ALPHA} * p, 0, {{'m': -round(r * {1 - graph.ALPHA} * p, 12), 'pred': src, 'kind': kind, 'label': label}}, false FROM s JOIN p ON src = node WHERE k < {graph.ROUNDS} AND r >= {graph.EPSILON}) GROUP BY k, query, node),
+  f AS (SELECT query, node, score, CASE WHEN NOT seed THEN best.pred END AS pred, CASE WHEN NOT seed THEN best.kind END AS kind, CASE WHEN NOT seed THEN best.label END AS label FROM s WHERE k = (SELECT max(k) FROM s) AND score > 0)"""
+
+
+def _seeds(t):
+    last = t.supplier.agg(F.max("s_suppkey")).first()[0]
+    item = F.col("item_id")
+    kinds = F.array(*[F.struct(node.cast("long").alias("node"), F.lit(kind).alias("kind")) for node, kind in ((item * 3 % last + 1, "exact"), (item % 100, "path"), (-(item % last + 1), "search"))])
+    return t.benchmark.select(item.alias("query"), F.explode(kinds).alias("s")).select("query", "s.*")
+
+
+def _pushed(t):
+    label = F.when(F.col("k") == 0, "name_matched").otherwise("ambiguous")
+    mentions = t.supplier.select((-F.col("s_suppkey")).alias("section"), "s_suppkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    mentions = mentions.select("section", (F.col("s_suppkey") + F.col("k")).alias("target"), F.expr(MENTION_KIND).alias("kind"), label.alias("label"), F.lit(2).alias("candidates"))
+    return graph.push(graph.neighbours(call_edges(t), mentions), graph.seed_mass(_seeds(t)))
+
+
+@query("context_push", f"WITH RECURSIVE {PUSH} SELECT query, node, round(score, 5) AS score, pred, kind, label FROM f")
+def context_push(t):
+    """What each benchmark item reaches from its seeds, with the strongest step that leads there."""
+    return _pushed(t).withColumn("score", F.round("score", 5))
+
+
+#: Ranks: reached from elsewhere than a seed counts 0.4, tests and sections half; then files alternate, and all is packed into 4096 tokens.
+RANKED = f"""{PUSH}, g AS (SELECT f.*, 0.2 * CASE WHEN f.node < 0 AND x.node IS NOT NULL THEN query % 10 / 10.0::DOUBLE ELSE 0 END AS bm25, x.node IS NOT NULL AND f.node >= 0 AND x.exact AS exact, pred IS NOT NULL AND y.node IS NULL AS far
+    FROM f LEFT JOIN (SELECT query, node, bool_or(kind = 'exact') AS exact FROM seeds GROUP BY ALL) x USING (query, node) LEFT JOIN (SELECT DISTINCT query, node FROM seeds) y ON y.query = f.query AND y.node = f.pred),
+  h AS (SELECT query, node, round((score + bm25 + CASE WHEN exact THEN 1 ELSE 0 END) * CASE WHEN node % 5 = 0 THEN 0.5 ELSE 1 END * CASE WHEN node < 0 THEN 0.5 ELSE 1 END * CASE WHEN far THEN 0.4 ELSE 1 END, 9) AS score FROM g),
+  d AS (SELECT query, node, round(score * pow(0.6, row_number() OVER (PARTITION BY query, abs(node) % 7 ORDER BY score DESC, node) - 1), 9) AS adjusted FROM h),
+  i AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY adjusted DESC, node) AS rank, node::VARCHAR AS item, 50 + abs(node) * 37 % 600 AS e, 10 + abs(node) % 40 AS s, 8 AS h FROM d)"""
+
+
+@query("context_retrieval", f"""WITH RECURSIVE {RANKED},
+  q AS (SELECT DISTINCT query, 0::BIGINT AS rank, '' AS item, '' AS zoom, 0::BIGINT AS tokens, 4096::BIGINT AS room, 0 AS used FROM i UNION ALL
+    SELECT query, rank, item, zoom, tokens, room - tokens, used + CASE zoom WHEN 'excerpt' THEN 1 ELSE 0 END FROM (
+      SELECT query, rank, item, zoom, room, used, CASE zoom WHEN 'excerpt' THEN e WHEN 'signature' THEN s WHEN 'handle' THEN h ELSE 0 END AS tokens FROM (
+        SELECT i.query, i.rank, i.item, e, s, h, room, used, CASE WHEN used < 8 AND e <= room THEN 'excerpt' WHEN s <= room THEN 'signature' WHEN h <= room THEN 'handle' ELSE 'omitted' END AS zoom FROM q JOIN i ON i.query = q.query AND i.rank = q.rank + 1 WHERE q.rank < 40)))
+  SELECT query, rank, item, zoom, tokens FROM q WHERE rank > 0""")
+def context_retrieval(t):
+    """One context query for every benchmark item: seeds, push, score, diversify, pack."""
+    from pyspark.sql import Window
+
+    seeds = _seeds(t)
+    own = seeds.groupBy("query", "node").agg(F.bool_or(F.col("kind") == "exact").alias("exact"), F.lit(True).alias("is_seed"))
+    near = seeds.select("query", F.col("node").alias("pred"), F.lit(True).alias("near")).distinct()
+    no = F.lit(False)
+    rows = _pushed(t).join(own, ["query", "node"], "left").join(near, ["query", "pred"], "left")
+    section = F.col("node") < 0
+    bm25 = F.when(section & F.col("is_seed"), F.col("query") % 10 / 10.0).otherwise(0.0)
+    score = graph.final_score(F.col("score"), bm25, F.coalesce("exact", no) & ~section, F.col("node") % 5 == 0, section, F.col("pred").isNotNull() & F.col("near").isNull())
+    rows = rows.select("query", "node", F.round(score, 9).alias("score"), (F.abs("node") % 7).alias("file"))
+    rows = graph.diversify(rows, ["query"], "file", "score", "node").withColumn("adjusted", F.round("adjusted", 9))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("adjusted"), "node")).cast("long")
+    number = F.abs("node")
+    items = rows.select("query", rank.alias("rank"), F.col("node").cast("string").alias("item"), (50 + number * 37 % 600).alias("excerpt_tokens"), (10 + number % 40).alias("signature_tokens"), F.lit(8).cast("long").alias("handle_tokens"))
+    return graph.pack_budget(items, 4096)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphlens.functions import text as T
 from graphlens.operators import search
 from graphlens.plans.registry import query
-from graphlens.plans.text_queries import WORDS, sql_terms
+from graphlens.plans.text_queries import WORDS, sql_stem, sql_terms
 from graphlens.session import cut
 
 
@@ -52,6 +52,35 @@ def bm25_two_corpora(t):
     return _bm25(t, F.col("lang"), True)
 
 
+#: Parts are declarations with a name in camel case; queries are the words of names and whole names.
+NAMED = "(SELECT p_partkey, p_type AS text, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), '') AS name FROM part)"
+NAMES_SQL = f"""
+WITH d AS {NAMED}, qs AS (SELECT unnest(string_split(p_name, ' ')) AS query FROM part UNION SELECT name FROM d),
+post AS (SELECT p_partkey, term, sum(tf) AS tf FROM (FROM {sql_terms("p_partkey", "text", "d")} UNION ALL FROM {sql_terms("p_partkey", "name", "d", 3.0)}) GROUP BY ALL),
+len AS (SELECT p_partkey, sum(tf) AS dl FROM post GROUP BY ALL), stats AS (SELECT count(*) AS n, sum(dl) / count(*) AS avg_len FROM len),
+q AS (SELECT query, unnest(list_sort(list(DISTINCT term))[1:32]) AS term FROM {sql_terms("query", "query", "qs")} GROUP BY query),
+idf AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf, any_value(avg_len) AS avg_len FROM post, stats GROUP BY term, n),
+tot AS (SELECT query, sum(idf) AS total FROM q JOIN idf USING (term) GROUP BY ALL),
+s AS (SELECT query, p_partkey, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_len))) AS s, count(*) AS matched, sum(idf) AS mass FROM q JOIN idf USING (term) JOIN post USING (term) JOIN len USING (p_partkey) GROUP BY ALL),
+own AS (SELECT query, p_partkey, idf FROM d JOIN q ON {sql_stem("lower(d.name)")} = q.term JOIN idf ON idf.term = q.term),
+r AS (SELECT s.query, s.p_partkey, matched, round(s * least(1, mass / total) * least(1, mass / total) + coalesce(own.idf, 0) + CASE WHEN lower(d.name) = lower(s.query) THEN 1000 ELSE 0 END, 6) AS score
+  FROM s JOIN tot USING (query) JOIN d USING (p_partkey) LEFT JOIN own ON own.query = s.query AND own.p_partkey = s.p_partkey)
+SELECT query, CAST(rank AS INTEGER) AS rank, p_partkey, score, matched FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, p_partkey) AS rank FROM r) WHERE rank <= 10
+"""
+
+
+@query("bm25_names", NAMES_SQL)
+def bm25_names(t):
+    """Names count three times; a query word that is a whole name adds its idf, a query that is one adds 1000."""
+    name = F.array_join(F.transform(F.split("p_name", " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), "")
+    docs = t.part.select("p_partkey", F.col("p_type").alias("text"), name.alias("name"))
+    posted = cut(search.postings(docs, "p_partkey", "text", "name"))
+    texts = t.part.select(F.explode(F.split("p_name", " ")).alias("query")).union(docs.select("name")).distinct().withColumn("query_id", F.col("query"))
+    asked = T.query_terms(texts, ["query_id"], "query").withColumn("query", F.col("query_id"))
+    scored = search.bm25(posted, "p_partkey", cut(asked), docs).withColumn("score", F.round("score", 6))
+    return search.top_with_ties(scored, ["query_id"], "score", ["p_partkey"], 10).select(F.col("query_id").alias("query"), "rank", "p_partkey", "score", "matched")
+
+
 FUZZY_Q = "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS query FROM part"
 NEAR_Q = "SELECT DISTINCT substr(p_name, 1, 3) || 'zq' || substr(p_name, 5) AS query FROM part"
 GRAMS = "list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3))"
