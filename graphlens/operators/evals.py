@@ -50,3 +50,32 @@ def recall(found: DataFrame, gold: DataFrame, key: list[str], item: str) -> Data
     """(key, gold, hit, recall) of each task."""
     hits = gold.select(*key, item).distinct().join(found.select(*key, item).distinct().withColumn("_h", F.lit(1)), [*key, item], "left")
     return hits.groupBy(*key).agg(F.count("*").alias("gold"), F.count("_h").alias("hit"), (F.count("_h") / F.count("*")).alias("recall"))
+
+
+def gold_match(refs: DataFrame, gold: DataFrame) -> DataFrame:
+    """References with the gold reference that stands for each: of those on its line that spell its name, one whose columns hold its own, else
+    the first; references without any are left out. Several may meet one gold reference.
+
+    ``refs``: ref_id, path, line, col (from 1), name and any other columns; ``gold``: gold_id, path, line, start, end (from 0, end exclusive), text, def_path,
+    def_line, callable, errata.
+    """
+    sides = gold.select("path", "line", F.col("text").alias("name"), F.struct("start", "gold_id", "end", "def_path", "def_line", "callable", "errata").alias("_g"))
+    joined = refs.join(sides, ["path", "line", "name"])
+    outside = ~((F.col("col") - 1 >= F.col("_g.start")) & (F.col("col") - 1 < F.col("_g.end")))
+    best = joined.groupBy("ref_id").agg(F.min(F.struct(outside.alias("outside"), "_g")).alias("_b"))
+    return refs.join(best, "ref_id").select(*[refs[c] for c in refs.columns], "_b._g.gold_id", "_b._g.def_path", "_b._g.def_line", "_b._g.callable", "_b._g.errata", (~F.col("_b.outside")).alias("same_column"))
+
+
+def gold_precision(matched: DataFrame) -> DataFrame:
+    """(label, matched, top1, any) per label: how often the first, or any, of a reference's targets (path, line, end_line, in order) holds the
+    gold definition. Gold references that are in error do not count; a reference without label is ``unresolved``."""
+    holds = lambda t: (t["path"] == F.col("def_path")) & F.col("def_line").between(t["line"], F.greatest(t["line"], t["end_line"]))
+    rows = matched.where("not errata").withColumns({"_1": F.coalesce(holds(F.get("targets", F.lit(0))), F.lit(False)), "_any": F.exists("targets", holds)})
+    return rows.groupBy(F.coalesce(F.when(F.col("label") != "", F.col("label")), F.lit("unresolved")).alias("label")).agg(F.count("*").alias("matched"), F.count_if("_1").alias("top1"), F.count_if("_any").alias("any"))
+
+
+def gold_coverage(matched: DataFrame, gold: DataFrame, callable_: bool) -> DataFrame:
+    """(gold, covered, coverage) of the gold references of calls or of types that are not in error."""
+    own = (F.col("callable") == callable_) & ~F.col("errata")
+    met = matched.where(own).select("gold_id").distinct().withColumn("_met", F.lit(1))
+    return gold.where(own).select("gold_id").join(met, "gold_id", "left").agg(F.count("*").alias("gold"), F.count("_met").alias("covered")).withColumn("coverage", F.when(F.col("gold") > 0, F.round(F.col("covered") / F.col("gold"), 4)).otherwise(0.0))

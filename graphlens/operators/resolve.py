@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphlens.functions import text as T
+
 #: Strongest first.
 LABELS = ("type_checked", "import_resolved", "type_hinted", "name_matched", "ambiguous", "unresolved")
 
@@ -166,3 +168,27 @@ def implementations(methods: DataFrame, required: DataFrame) -> DataFrame:
     able = rare.join(have, "method").select("iface", "type")
     hits = able.join(sized.select("iface", "method", "_n"), "iface").join(have, ["type", "method"])
     return hits.groupBy("iface", "type", "_n").agg(F.count("*").alias("_c")).where("_c = _n").select("iface", "type")
+
+
+def external_by_name(refs: DataFrame, owners: DataFrame, symbols: DataFrame, reexports: DataFrame | None = None) -> DataFrame:
+    """(ref_id, symbol_id, candidates): declarations of this index that references of another one mean. An import spec counts if a unit here is owned by
+    that name; the first spec, in order, under which anything is found decides, and within it members of the type that the spec ends with come before free declarations, own
+    ones before those that the unit only passes on. Go resolves to exported declarations only.
+
+    ``refs``: ref_id, lang, specs (in order), name, n_args; ``owners``: lang, spec, unit; ``symbols``: symbol_id, lang, name, unit, receiver, kind,
+    exported, min_args, max_args; ``reexports``: lang, unit, name, from_unit. Methods of other types, embeds, and kinds that cannot be called (but in Go) are passed over.
+    """
+    asked = refs.select("ref_id", "lang", "name", "n_args", F.posexplode("specs").alias("_k", "spec"))
+    owned = asked.join(owners.select("lang", "spec", "unit").distinct(), ["lang", "spec"])
+    ways = owned.withColumn("_rx", F.lit(0))
+    if reexports is not None:
+        passed = owned.where("lang <> 'go'").join(reexports.select("lang", "unit", "name", "from_unit").distinct(), ["lang", "unit", "name"])
+        ways = ways.unionByName(passed.select(*[F.col("from_unit").alias(c) if c == "unit" else c for c in owned.columns], F.lit(2).alias("_rx")))
+    found = ways.join(symbols, ["lang", "unit", "name"]).where((F.col("kind") != "embed") & ((F.col("lang") != "go") | F.col("exported")))
+    last = F.element_at(F.split("spec", r"[./:\\\\]+"), -1)
+    member = (F.col("receiver") != "") & (T.base_type(F.col("receiver")) == last)
+    free = (F.col("kind") != "method") & (F.col("kind").isin("function", "class", "struct", "type", "interface", "constructor", "enum") | (F.col("lang") == "go"))
+    step = F.col("_k") * 4 + F.col("_rx") + F.when(member, 0).when(free, 1)
+    won = first_nonempty(found.withColumn("step", step).where("step is not null"), ["ref_id"])
+    won = by_arity(won.dropDuplicates(["ref_id", "symbol_id"]), ["ref_id"])
+    return won.select("ref_id", "symbol_id", F.count("*").over(Window.partitionBy("ref_id")).alias("candidates"))
