@@ -168,6 +168,28 @@ def failure_streaks(events: DataFrame, session: str, order: list[str], command:
     return runs.groupBy(session, command).agg(F.max("n").alias("streak")).where(F.col("streak") >= threshold)
 
 
+def futility_notices(events: DataFrame, calls: int = 3, checks: int = 2, failures: int = 3) -> DataFrame:
+    """(session, round, seq, kind, what, n): what a session is told of its futile steps, each once for a state. A ``call`` is the third identical one since anything was
+    written, a ``check`` the second one of a command with the same exit, a ``failure`` each failed check from the third in a row of its command
+    on (whatever was written), once for its number. A round's writes come before its calls and checks.
+
+    ``events``: session, round, seq (in order within and over rounds), kind (write, call, check), what (a call with its canonical arguments, a command), exit, passed.
+    """
+    first = F.row_number().over(Window.partitionBy("session", "round", "kind").orderBy("seq")) == 1
+    epoch = F.sum(F.when((F.col("kind") == "write") & F.col("_first"), 1).otherwise(0)).over(Window.partitionBy("session").orderBy("round").rangeBetween(Window.unboundedPreceding, 0))
+    every = events.withColumn("_first", first).withColumn("_epoch", epoch).where("kind <> 'write'")
+    exit_ = F.when(F.col("kind") == "check", F.coalesce(F.col("exit").cast("string"), F.lit("?"))).otherwise("")
+    same = F.row_number().over(Window.partitionBy("session", "_epoch", "kind", "what", exit_).orderBy("seq"))
+    repeated = every.withColumn("n", same).where(F.col("n") == F.when(F.col("kind") == "call", calls).otherwise(checks)).select("session", "round", "seq", "kind", "what", "n")
+    # a run of failures ends at a check that passes
+    by_command = Window.partitionBy("session", "what").orderBy("seq")
+    runs = every.where("kind = 'check'").withColumn("_run", F.sum(F.when(F.col("passed"), 1).otherwise(0)).over(by_command)).where("not passed")
+    runs = runs.withColumn("n", F.row_number().over(Window.partitionBy("session", "what", "_run").orderBy("seq"))).where(F.col("n") >= failures)
+    once = F.row_number().over(Window.partitionBy("session", "_epoch", "what", "n").orderBy("seq")) == 1
+    failed = runs.withColumn("_once", once).where("_once").select("session", "round", "seq", F.lit("failure").alias("kind"), "what", "n")
+    return repeated.unionByName(failed)
+
+
 def kept_turns(turns: DataFrame, session: str, order: list[str], tokens: str, limit: int) -> DataFrame:
     """Whole user turns from the newest back while they fit; the latest is always kept."""
     seg = segments(turns, session, order)

@@ -167,6 +167,26 @@ def failure_streaks(t):
     return tm.failure_streaks(t.events.withColumn("command", F.col("event_id") % 2), "user_id", ["ts", "event_id"], "command", F.col("event_type").isin("error", "view"))
 
 
+#: Four events are a round; purchases write, clicks and views call, the others check their user's event types, with an exit of their own.
+STEPS = """SELECT user_id AS session, event_id // 40 AS round, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'write' WHEN 'click' THEN 'call' WHEN 'view' THEN 'call' ELSE 'check' END AS kind, event_type || event_id % 2 AS what, CASE WHEN event_id % 3 > 0 THEN event_id % 2 END AS exit, event_id % 4 = 0 AS passed FROM events"""
+
+
+@query("futility_notices", f"""WITH RECURSIVE s AS ({STEPS}), o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY round, kind <> 'write', seq) AS k FROM s),
+  r AS (SELECT DISTINCT session, 0::BIGINT AS k, MAP {{}}::MAP(VARCHAR, BIGINT) AS seen, MAP {{}}::MAP(VARCHAR, BIGINT) AS failed, []::VARCHAR[] AS told, []::STRUCT(round BIGINT, seq BIGINT, kind VARCHAR, what VARCHAR, n BIGINT)[] AS said FROM o
+    UNION ALL SELECT session, k, CASE WHEN kind = 'write' THEN MAP {{}} ELSE map_concat(seen, MAP {{key: n}}) END, CASE WHEN kind = 'check' THEN map_concat(failed, MAP {{what: f}}) ELSE failed END,
+      CASE WHEN kind = 'write' THEN [] ELSE told || list_transform(new, lambda x: x.kind || ':' || x.what || ':' || CASE x.kind WHEN 'failure' THEN x.n::VARCHAR ELSE key END) END, new
+    FROM (SELECT *, list_filter(CASE WHEN (kind = 'call' AND n >= 3) OR (kind = 'check' AND n >= 2) THEN [{{'round': round, 'seq': seq, 'kind': kind, 'what': what, 'n': n}}] ELSE [] END
+          || CASE WHEN kind = 'check' AND f >= 3 THEN [{{'round': round, 'seq': seq, 'kind': 'failure', 'what': what, 'n': f}}] ELSE [] END,
+          lambda x: NOT list_contains(told, x.kind || ':' || x.what || ':' || CASE x.kind WHEN 'failure' THEN x.n::VARCHAR ELSE key END)) AS new
+      FROM (SELECT o.*, r.seen, r.failed, r.told, o.kind || o.what || coalesce(CASE o.kind WHEN 'check' THEN o.exit::VARCHAR ELSE '' END, '?') AS key,
+          coalesce(r.seen[o.kind || o.what || coalesce(CASE o.kind WHEN 'check' THEN o.exit::VARCHAR ELSE '' END, '?')], 0) + 1 AS n, CASE WHEN o.passed THEN 0 ELSE coalesce(r.failed[o.what], 0) + 1 END AS f FROM r JOIN o ON o.session = r.session AND o.k = r.k + 1)))
+  SELECT session, x.round, x.seq, x.kind, x.what, CAST(x.n AS INTEGER) AS n FROM (SELECT session, unnest(said) AS x FROM r)""")
+def futility_notices(t):
+    """What each session is told, step by step."""
+    rows = t.spark.sql(STEPS.replace("FROM events", "FROM {events}").replace("//", "DIV"), events=t.events)
+    return tm.futility_notices(rows)
+
+
 @query("turn_trim", """WITH s AS (SELECT conv_id, segment, sum((strlen(text) + 2) // 3) AS tokens FROM (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS segment FROM conversations) WHERE segment > 0 GROUP BY ALL)
   SELECT conv_id, CAST(segment AS BIGINT) AS segment, CAST(tokens AS BIGINT) AS tokens FROM (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY segment DESC ROWS UNBOUNDED PRECEDING) AS run, row_number() OVER (PARTITION BY conv_id ORDER BY segment DESC) AS k FROM s) WHERE run <= 400 OR k = 1""")
 def turn_trim(t):

@@ -101,22 +101,24 @@ def _exported(rule: str, name: str, mods: str) -> bool:
     return not name.startswith("_") and not words & {"private", "fileprivate"}
 
 
-def _arguments(text: str, at: int, most: int = 4000) -> int | None:
-    """Number of arguments of the call whose parenthesis opens before ``at``; None where it does not close in time."""
-    depth, commas, some = 0, 0, False
-    for k in range(at, min(len(text), at + most)):
-        c = text[k]
+def _arguments(text: str) -> dict[int, int]:
+    """Number of arguments between each bracket that closes and the one that it closes, by the place behind the opening one. One walk
+    over the text, so a call of any length is counted."""
+    found, waiting = {}, []
+    for k, c in enumerate(text):
+        if c in ")]}":
+            if waiting:
+                at, commas, some = waiting.pop()
+                found[at] = commas + 1 if some else 0
+        elif c == "," and waiting:
+            waiting[-1][1] += 1
+        elif waiting and not c.isspace():
+            waiting[-1][2] = True
         if c in "([{":
-            depth += 1
-        elif c in ")]}":
-            if depth == 0:
-                return commas + 1 if some else 0
-            depth -= 1
-        elif c == "," and depth == 0:
-            commas += 1
-            continue
-        some = some or not c.isspace()
-    return None
+            waiting.append([k + 1, 0, False])
+        elif c in ")]}" and waiting:
+            waiting[-1][2] = True
+    return found
 
 
 def facts(path: str, name: str, text: str) -> tuple[list[tuple], list[tuple], list[tuple]]:
@@ -173,13 +175,13 @@ def facts(path: str, name: str, text: str) -> tuple[list[tuple], list[tuple], li
     for at, part in pieces:
         for pattern in imports:
             found += [(path, name, m["spec"], m.groupdict().get("alias") or "", text.count("\n", 0, at + m.start("spec")) + 1) for m in pattern.finditer(part)]
-    refs, starts = [], [0]
+    refs, starts, counts = [], [0], _arguments(clean)
     for line in plain:
         starts.append(starts[-1] + len(line) + 1)
     for k, line in enumerate(plain):
         for m in _CALL.finditer(line):
             if (m["qualifier"] or m["name"] not in _KEYWORDS) and (k + 1, m["name"]) not in heads:
-                refs.append((path, name, "call", enclosing[k], m["name"], m["qualifier"] or "", k + 1, m.start("name") + 1, _arguments(clean, starts[k] + m.end())))
+                refs.append((path, name, "call", enclosing[k], m["name"], m["qualifier"] or "", k + 1, m.start("name") + 1, counts.get(starts[k] + m.end())))
     return [tuple(s) for s in symbols], sorted(set(found), key=lambda r: (r[4], r[2])), refs
 
 

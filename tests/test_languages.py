@@ -47,3 +47,10 @@ def test_import_units(spark):
         ("src/app/a.ts", "./util"): "src/app/util", ("src/app/a.ts", "../lib/x.js"): "src/lib/x", ("src/app/a.ts", "./deep"): "src/app/deep/index", ("m/M.java", "org.x.Y"): "src/main/org/x/Y", ("m/M.java", "org.x.*"): "src/main/org/x",
         ("s/l.rs", "crate::a::b"): "a/b", ("c/f.c", "inc/h.h"): "c/inc/h", ("q.php", "A\\B"): "lib/A/B", ("g/a.go", "m.org/p/q"): "p/q",
     }
+
+
+def test_calls_of_any_length():
+    text = "def f():\n    g(" + ", ".join(f"h({k}, [{k}, 1])" for k in range(3000)) + ")\n    k()\n    m(,)\n    open(1, 2\n"
+    found = L._arguments(text)
+    at = {name: text.index(name) + len(name) for name in ("g(", "h(0", "k(", "m(", "open(")}
+    assert found[at["g("]] == 3000 and found[at["h(0"] - 1] == 2 and found[at["k("]] == 0 and found[at["m("]] == 0 and at["open("] not in found

@@ -1,6 +1,8 @@
 """Operators on small literal tables, and against plain Python models on random ones."""
 
+import io
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,11 +189,27 @@ def test_markdown_and_blocks(spark):
 
 
 def test_docx(spark):
-    import io
-    import zipfile
-
     b = io.BytesIO()
     with zipfile.ZipFile(b, "w") as z:
         z.writestr("word/document.xml", "<w:p><w:r><w:t>One</w:t></w:r><w:r><w:t xml:space='preserve'> two</w:t></w:r></w:p><w:p><w:t>Three</w:t></w:p>")
     files = spark.createDataFrame([("a.docx", bytearray(b.getvalue())), ("b.docx", bytearray(b"no"))], "path string, content binary")
     assert rows(extract.docx_text(files)) == [("a.docx", "One two\nThree"), ("b.docx", None)]
+
+
+def test_openapi_in_yaml_and_under_a_prefix(spark):
+    f = lambda *files: spark.createDataFrame(files, "path string, text string")
+    swagger = '{"swagger":"2.0","basePath":"/v1/","info":{"title":"T"},"paths":{"/u/{id}":{"get":{"operationId":"g"},"parameters":[],"x-note":{}}},"definitions":{"User":{"type":"object"}}}'
+    yaml = "openapi: 3.0.0\nservers:\n  - url: https://h.org/api/v2\n  - url: /other\npaths:\n  /p:\n    post:\n      operationId: make\n    patch: {}\ncomponents:\n  schemas:\n    Box: {type: object}\n    Lid: {}\n"
+    files = f(("a.json", swagger), ("b.yaml", yaml), ("c.yaml", "a: [1"), ("d.json", "{}"), ("e.yaml", ""), ("f.yaml", None))
+    assert rows(extract.openapi_routes(files)) == sorted([("a.json", "GET /v1/u/{}", "g"), ("b.yaml", "POST /api/v2/p", "make"), ("b.yaml", "PATCH /api/v2/p", None)], key=str)
+    assert rows(extract.openapi_schemas(files)) == [("a.json", "T", "User"), ("b.yaml", "", "Box"), ("b.yaml", "", "Lid")]
+
+
+def test_long_docx(spark):
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        z.writestr("word/document.xml", "<w:p><w:t>é word</w:t></w:p>" * 100_000)
+    files = spark.createDataFrame([("a.docx", bytearray(b.getvalue()))], "path string, content binary")
+    text = extract.docx_text(files).first()["text"]
+    assert text == "\n".join(["é word"] * 100_000)
+    assert extract.docx_text(files, most_bytes=9).first()["text"] == "é word\n" and extract.docx_text(files, most_source=10).first()["text"] is None
