@@ -76,10 +76,10 @@ def prefer_folder(queries: DataFrame, symbols: DataFrame) -> DataFrame:
     return marked.where("not _any or _k = 1").select("query", F.col("_f").alias("folder"), "symbol_id", (~F.col("_any") & (F.col("_n") > 1)).alias("ambiguous"))
 
 
-def call_sites(refs: DataFrame, symbols: DataFrame, names: list[str]) -> DataFrame:
-    """(path, line, col, name, caller): calls of names with the symbol around them, if any. ``refs``: path, line, col,
+def call_sites(refs: DataFrame, symbols: DataFrame, names: DataFrame) -> DataFrame:
+    """(path, line, col, name, caller): calls of the asked names (name) with the symbol around them, if any. ``refs``: path, line, col,
     name, kind, enclosing (a symbol_id or null)."""
-    calls = refs.where((F.col("kind") == "call") & F.col("name").isin(*names))
+    calls = refs.where("kind = 'call'").join(names.select("name").distinct(), "name", "left_semi")
     around = symbols.select(F.col("symbol_id").alias("enclosing"), F.col("name").alias("caller"))
     return calls.join(around, "enclosing", "left").select("path", "line", "col", "name", "caller")
 

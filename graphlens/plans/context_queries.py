@@ -49,10 +49,10 @@ def mentioned_by(t):
 
 
 @query("call_sites", f"""SELECT 'd' || (o_custkey % 20) AS path, o_orderkey AS line, o_custkey % 80 AS col, 'n' || (o_orderkey % 97) AS name, s.name AS caller
-  FROM orders LEFT JOIN {SYMBOL_SQL} s ON s.symbol_id = CASE WHEN o_orderstatus <> 'P' THEN o_custkey END WHERE o_orderpriority <> '5-LOW' AND o_orderkey % 97 IN (3, 5, 8)""")
+  FROM orders LEFT JOIN {SYMBOL_SQL} s ON s.symbol_id = CASE WHEN o_orderstatus <> 'P' THEN o_custkey END WHERE o_orderpriority <> '5-LOW' AND o_orderkey % 97 IN (SELECT n_nationkey FROM nation)""")
 def call_sites(t):
     refs = t.orders.select(F.concat(F.lit("d"), F.col("o_custkey") % 20).alias("path"), F.col("o_orderkey").alias("line"), (F.col("o_custkey") % 80).alias("col"), F.concat(F.lit("n"), F.col("o_orderkey") % 97).alias("name"), F.when(F.col("o_orderpriority") == "5-LOW", "use").otherwise("call").alias("kind"), F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("enclosing"))
-    return context.call_sites(refs, symbols(t), ["n3", "n5", "n8"])
+    return context.call_sites(refs, symbols(t), t.nation.select(F.concat(F.lit("n"), "n_nationkey").alias("name")))
 
 
 @query("canonical_first", f"SELECT symbol_id, package FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY path, line, name) AS k FROM {SYMBOL_SQL}) WHERE k <= 8")
@@ -153,25 +153,25 @@ def precise_implementations(t):
     return resolve.implementations(have, need)
 
 
-@query("poll_diff", "SELECT coalesce(a.o_custkey, b.o_custkey) AS path, b.o_custkey IS NULL AS left FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 0) a FULL JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 3 = 0) b USING (o_custkey)")
+@query("poll_diff", "SELECT coalesce(a.o_custkey, b.o_custkey) AS path, b.o_custkey IS NULL AS left FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F') a FULL JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O') b USING (o_custkey)")
 def poll_diff(t):
-    dirty = lambda s: t.orders.where((F.col("o_orderstatus") == s) & (F.col("o_orderkey") % 3 == 0)).select(F.col("o_custkey").alias("path"))
+    dirty = lambda s: t.orders.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("path"))
     return context.poll_diff(dirty("F"), dirty("O"))
 
 
-@query("change_set", """WITH p AS (SELECT o_custkey AS path FROM orders WHERE o_orderkey % 5 = 0 UNION SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT s_suppkey * 3 FROM supplier), c AS (SELECT path, CASE WHEN c_custkey IS NULL THEN 'deleted' ELSE 'candidate' END AS action FROM p LEFT JOIN customer ON c_custkey = path AND c_custkey % 4 <> 0)
+@query("change_set", """WITH p AS (SELECT o_custkey AS path FROM orders WHERE o_orderstatus = 'P' UNION SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT s_suppkey * 3 FROM supplier), c AS (SELECT path, CASE WHEN c_custkey IS NULL THEN 'deleted' ELSE 'candidate' END AS action FROM p LEFT JOIN customer ON c_custkey = path AND c_acctbal > 0)
   SELECT path, action, (SELECT count(*) > 50000 OR bool_or(path = -1) FROM c) AS fallback FROM c""")
 def change_set(t):
     key = F.col("o_custkey").alias("path")
-    changes, due = context.change_set(t.orders.where("o_orderkey % 5 = 0").select(key), t.orders.where("o_orderpriority = '1-URGENT'").select(key), t.supplier.select((F.col("s_suppkey") * 3).alias("path")), t.customer.where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("path")), moved=F.col("path") == -1)
+    changes, due = context.change_set(t.orders.where("o_orderstatus = 'P'").select(key), t.orders.where("o_orderpriority = '1-URGENT'").select(key), t.supplier.select((F.col("s_suppkey") * 3).alias("path")), t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("path")), moved=F.col("path") == -1)
     return changes.join(F.broadcast(due), F.lit(True))
 
 
-@query("obligations", """WITH p AS (SELECT DISTINCT o_custkey AS path FROM orders WHERE o_orderpriority = '2-HIGH' AND o_orderkey % 50 = 0), t AS (SELECT DISTINCT 'run ' || (c_custkey % 37) AS command FROM customer JOIN p ON path = c_custkey WHERE c_custkey % 2 = 0)
+@query("obligations", """WITH p AS (SELECT DISTINCT o_custkey AS path FROM orders WHERE o_orderstatus = 'P'), t AS (SELECT DISTINCT 'run ' || (c_custkey % 37) AS command FROM customer JOIN p ON path = c_custkey WHERE c_mktsegment = 'BUILDING')
   SELECT 'build:make' AS id, 'build' AS kind, 'make' AS command WHERE EXISTS (SELECT 1 FROM p) UNION ALL SELECT 'test:' || command, 'test', command FROM t UNION ALL SELECT 'test', 'test', '' WHERE EXISTS (SELECT 1 FROM p) AND NOT EXISTS (SELECT 1 FROM t)""")
 def obligations(t):
-    changed = t.orders.where("o_orderpriority = '2-HIGH' and o_orderkey % 50 = 0").select(F.col("o_custkey").alias("path"))
-    tests = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("path"), F.concat(F.lit("run "), F.col("c_custkey") % 37).alias("command"))
+    changed = t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("path"))
+    tests = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("path"), F.concat(F.lit("run "), F.col("c_custkey") % 37).alias("command"))
     return context.obligations(changed, tests, [("build", "make")])
 
 
@@ -226,10 +226,10 @@ def lease_finalize(t):
     return context.finalize(t.customer.selectExpr(*QUEUE.split(", ")), outcomes, 1000)
 
 
-@query("calls_by_turn", """SELECT o_orderkey AS turn_id, list(name ORDER BY ts, call_id, name) AS calls FROM (SELECT l_orderkey, l_returnflag || l_linenumber AS name, l_shipdate AS ts, l_partkey AS call_id FROM lineitem) JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE c_nationkey < 5 GROUP BY 1""")
+@query("calls_by_turn", """SELECT o_orderkey AS turn_id, list(name ORDER BY ts, call_id, name) AS calls FROM (SELECT l_orderkey, l_returnflag || l_linenumber AS name, l_shipdate AS ts, l_partkey AS call_id FROM lineitem) JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1""")
 def calls_by_turn(t):
     calls = t.lineitem.select(F.col("l_orderkey").alias("turn_id"), F.concat("l_returnflag", "l_linenumber").alias("name"), F.col("l_shipdate").alias("ts"), F.col("l_partkey").alias("call_id"))
-    return context.calls_by_turn(calls, t.orders.select(F.col("o_orderkey").alias("turn_id"), F.col("o_custkey").alias("session_id")), t.customer.where("c_nationkey < 5").select(F.col("c_custkey").alias("session_id")))
+    return context.calls_by_turn(calls, t.orders.select(F.col("o_orderkey").alias("turn_id"), F.col("o_custkey").alias("session_id")), t.customer.select(F.col("c_custkey").alias("session_id")))
 
 
 @query("latest_session", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")

@@ -73,14 +73,14 @@ def impact(t):
 TREE = "SELECT c_custkey AS src, CAST(c_custkey * 2 + k AS BIGINT) AS dst FROM customer, (SELECT unnest([0, 1]) AS k) WHERE c_custkey * 2 + k IN (SELECT c_custkey FROM customer)"
 
 
-@query("subtypes_closure", f"""WITH RECURSIVE e AS ({TREE}), r AS (SELECT 3::BIGINT AS root, 3::BIGINT AS type, 0 AS d UNION SELECT root, dst, d + 1 FROM r JOIN e ON src = type WHERE d < 6)
+@query("subtypes_closure", f"""WITH RECURSIVE e AS ({TREE}), r AS (SELECT s_suppkey AS root, s_suppkey AS type, 0 AS d FROM supplier UNION SELECT root, dst, d + 1 FROM r JOIN e ON src = type WHERE d < 6)
   SELECT DISTINCT root, type FROM r WHERE d > 0 AND type NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0)""")
 def subtypes_closure(t):
     """Customers form a binary heap; every fifth is abstract."""
     kids = t.customer.select(F.col("c_custkey").alias("base"), F.explode(F.array(F.col("c_custkey") * 2, F.col("c_custkey") * 2 + 1)).alias("type"))
     kids = kids.join(t.customer.select(F.col("c_custkey").alias("type")), "type", "left_semi")
     abstract = t.customer.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("type"))
-    return graph.subtypes(kids, t.spark.createDataFrame([(3,)], "id long"), abstract)
+    return graph.subtypes(kids, t.supplier.select(F.col("s_suppkey").alias("id")), abstract)
 
 
 UP = "SELECT c_custkey AS src, c_custkey // 2 AS dst FROM customer WHERE c_custkey > 1"

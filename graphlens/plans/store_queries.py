@@ -187,14 +187,14 @@ def all_edges(t):
     return call_edges(t)
 
 
-@query("incoming_edges", f"SELECT * FROM ({EDGE_SQL}) WHERE callee IN (7, 42)")
+@query("incoming_edges", f"SELECT * FROM ({EDGE_SQL}) WHERE callee IN (SELECT n_nationkey FROM nation)")
 def incoming_edges(t):
-    return call_edges(t).where(F.col("callee").isin(7, 42))
+    return call_edges(t).join(t.nation.select(F.col("n_nationkey").cast("long").alias("callee")), "callee", "left_semi").select("caller", "callee", "line", "label", "candidates")
 
 
-@query("outgoing_edges", f"SELECT * FROM ({EDGE_SQL}) WHERE caller IN (1, 2, 3)")
+@query("outgoing_edges", f"SELECT * FROM ({EDGE_SQL}) WHERE caller IN (SELECT n_nationkey FROM nation)")
 def outgoing_edges(t):
-    return call_edges(t).where(F.col("caller").isin(1, 2, 3))
+    return call_edges(t).join(t.nation.select(F.col("n_nationkey").cast("long").alias("caller")), "caller", "left_semi").select("caller", "callee", "line", "label", "candidates")
 
 
 @query("federated_union", f"SELECT caller, callee, line, label, candidates FROM (SELECT *, {EDGE_ROW} AS k FROM (SELECT * FROM ({EDGES}) WHERE line <= 3 UNION ALL SELECT caller, callee, line, 'ambiguous', candidates FROM ({EDGES}) WHERE line > 2) WHERE caller <> callee) WHERE k = 1")
