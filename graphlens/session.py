@@ -21,7 +21,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = getattr(spark, "_graphlens_folder", None) or tempfile.mkdtemp(prefix="graphlens-")
         spark._graphlens_folder = folder
