@@ -59,6 +59,9 @@ def gold_match(refs: DataFrame, gold: DataFrame) -> DataFrame:
     ``refs``: ref_id, path, line, col (from 1), name and any other columns; ``gold``: gold_id, path, line, start, end (from 0, end exclusive), text, def_path,
     def_line, callable, errata.
     """
+    # of gold references over the same columns the first is enough
+    spans = gold.groupBy("path", "line", "text", "start", "end").agg(F.min(F.struct("gold_id", "def_path", "def_line", "callable", "errata")).alias("_f"))
+    gold = spans.select("path", "line", "text", "start", "end", "_f.*")
     sides = gold.select("path", "line", F.col("text").alias("name"), F.struct("start", "gold_id", "end", "def_path", "def_line", "callable", "errata").alias("_g"))
     joined = refs.join(sides, ["path", "line", "name"])
     outside = ~((F.col("col") - 1 >= F.col("_g.start")) & (F.col("col") - 1 < F.col("_g.end")))
