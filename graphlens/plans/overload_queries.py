@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphlens.operators import overloads
+from graphlens.operators import overloads, resolve
 from graphlens.plans.registry import query
 from graphlens.sources.signatures import parameter_list
 
@@ -35,8 +35,8 @@ HINT = "CASE event_type WHEN 'view' THEN '#s' WHEN 'click' THEN '#n' WHEN 'purch
 def overloads_by_type(t):
     """T1 and T2 extend T0, T0 extends Base, T4 is an enumeration."""
     lang = F.when(F.col("event_id") % 2 == 0, "java").otherwise("cpp")
-    calls = t.events.select("event_id", lang.alias("lang"), F.array(F.expr(HINT)).alias("hints"), F.posexplode(F.array(*map(F.lit, CANDIDATES))).alias("n", "signature"))
-    calls = calls.withColumns({"symbol_id": F.col("n").cast("long"), "params": parameter_list("signature", F.lit("f"), "lang"), "type_params": F.array().cast("array<string>"), "accepted": F.lit(True), "own": F.lit(True), "extra": F.lit(0)})
+    calls = t.events.select("event_id", lang.alias("lang"), F.array(F.expr(HINT)).alias("hints"))
+    candidates = lambda rows: rows.select("*", F.posexplode(F.array(*map(F.lit, CANDIDATES))).alias("n", "signature")).withColumns({"symbol_id": F.col("n").cast("long"), "params": parameter_list("signature", F.lit("f"), "lang"), "type_params": F.array().cast("array<string>"), "accepted": F.lit(True), "own": F.lit(True), "extra": F.lit(0)})
     extends = t.spark.createDataFrame([("T1", "T0"), ("T2", "T1"), ("T0", "Base")], "type string, base string")
     types = t.spark.createDataFrame([(f"T{k}", "enum" if k == 4 else "class") for k in range(5)], "name string, kind string")
-    return overloads.by_argument_types(calls, ["event_id"], extends, types).select("event_id", "symbol_id")
+    return resolve.once_for_alike(calls, lambda rows: overloads.by_argument_types(candidates(rows), ["event_id"], extends, types).select("event_id", "symbol_id"), "event_id")
