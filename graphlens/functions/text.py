@@ -71,10 +71,10 @@ _PARTED = r"_|[\p{Ll}\p{Nd}]\p{Lu}|\p{Lu}\p{Lu}\p{Ll}"
 def weighted_terms(df: DataFrame, key: list[str], text: str, weight: float = 1.0) -> DataFrame:
     """(key, term, tf): a word counts its weight, each of several parts half of it; stopwords are dropped, others stemmed.
 
-    Rows are dealt by the first column of ``key``, whole texts as they are; words are counted before they are split and
-    stemmed, so each text is read once and each distinct word of it handled once, without another shuffle.
+    Words are counted where the texts are read, before they are split and stemmed, so each distinct word is handled once. Callers whose ``key`` is a
+    document's deal the texts by it first, so that no other shuffle follows; a key of few values would deal them to as many tasks.
     """
-    counted = df.repartition(key[0]).select(*key, F.explode(words(F.col(text))).alias("_w")).groupBy(*key, "_w").agg(F.count("*").alias("_n"))
+    counted = df.select(*key, F.explode(words(F.col(text))).alias("_w")).groupBy(*key, "_w").agg(F.count("*").alias("_n"))
     term = lambda w, x: F.struct(F.lower(w).alias("t"), F.lit(x).alias("x"))
     parts = subwords(F.col("_w"))
     whole = F.array(term(F.col("_w"), weight))
