@@ -22,6 +22,7 @@ import json
 import os
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from graphlens.llm import common
 
-CAPACITY, END_ID, GROUPS, LARGE_SHARE, CACHED_WORDS = 4096, 1, 12, 1 / 4, 600_000
+CAPACITY, END_ID, GROUPS, LARGE_SHARE, CACHED_WORDS, BLOCK = 4096, 1, 12, 1 / 4, 600_000, 16384
 
 _held: dict = {}
 
@@ -76,11 +77,14 @@ class _Encoder:
             self.known, self.ids, self.ends = {}, [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
             fresh = list(dict.fromkeys(chunks))
         if fresh:
-            encoded = [x.ids for x in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            flat = np.fromiter((x for ids in encoded for x in ids), np.uint32, int(lengths.sum()))
-            self.ids = [np.concatenate([*self.ids, flat])]
-            self.ends = [np.concatenate([self.ends[0], self.ends[0][-1] + np.cumsum(lengths)])]
+            blocks, sizes = [], []
+            # the tokenizer's own results take far more memory than the ids, so a block of them is held at a time
+            for at in range(0, len(fresh), BLOCK):
+                encoded = [x.ids for x in self.tokenizer.encode_batch_fast(fresh[at : at + BLOCK], add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, encoded), np.int64, len(encoded)))
+                blocks.append(np.fromiter(chain.from_iterable(encoded), np.uint32, int(sizes[-1].sum())))
+            self.ids = [np.concatenate([*self.ids, *blocks])]
+            self.ends = [np.concatenate([self.ends[0], self.ends[0][-1] + np.cumsum(np.concatenate(sizes))])]
             self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
         return [self.known[x] for x in chunks]
 
