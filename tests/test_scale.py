@@ -1,10 +1,12 @@
 """What is shuffled for many references and many declarations of one name: it grows with both, not with their product."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from graphlens.functions import text as T
-from graphlens.operators import context, evals, ladder, lookup, resolve, search
+from graphlens.operators import context, evals, graph, ladder, lookup, resolve, search
 from graphlens.plans import QUERIES
 
 REFS, SYMBOLS = 2000, 400
@@ -140,3 +142,28 @@ def test_equal_questions_meet_once(spark):
     found = {r["id"]: (r["match"], round(r["similarity"], 3)) for r in search.question_dedup(asked).collect()}
     assert found == {1: (0, 0.923), **{k: (k % 2, 1.0) for k in range(2, 400)}}
     assert shuffled(spark, lambda: search.question_dedup(asked))[1] < 400 * 399 / 2 / 4
+
+
+def test_what_derives_from_stale_claims_is_found_in_few_rounds_without_the_driver(spark, monkeypatch):
+    """A chain of 300 claims takes as many rounds as its length has doublings, and no round's table is broadcast."""
+    plans, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    claims = ids(spark, 300, "id", "array(id - 1) AS derived_from", "id AS path", "'old' AS hash")
+    found = graph.claims_status(claims, ids(spark, 300, "path", "IF(id = 100, 'new', 'old') AS hash"))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert {r["id"]: r["status"] for r in found.collect()} == {k: "live" if k < 100 else "stale" if k == 100 else "doubted" for k in range(300)}
+    assert len(plans) < 20 and not any("BroadcastExchange" in p for p in plans)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_below_is_what_is_reached(spark, seed):
+    """Chains, rings, nodes with several ways in, sources that are reached or no node at all, nulls and repeated edges."""
+    rng = random.Random(seed)
+    edges = [(rng.randrange(40), k) for k in range(40)] + [(rng.randrange(40), rng.randrange(40)) for _ in range(3 * seed)] + [(50, 51), (51, 52), (52, 50), (52, 53), (60, 61), (61, 60), (61, 62), (None, 5), (7, None)]
+    sources = {rng.randrange(40) for _ in range(3)} | {52, 99}
+    want, frontier = set(), sources
+    while frontier:
+        frontier = {b for a, b in edges if a in frontier and b is not None} - want
+        want |= frontier
+    got = graph.below(spark.createDataFrame(edges * 2, "src int, dst int"), spark.createDataFrame([(x,) for x in sources], "id int"))
+    assert sorted(r["id"] for r in got.collect()) == sorted(want)
