@@ -167,3 +167,21 @@ def test_below_is_what_is_reached(spark, seed):
         want |= frontier
     got = graph.below(spark.createDataFrame(edges * 2, "src int, dst int"), spark.createDataFrame([(x,) for x in sources], "id int"))
     assert sorted(r["id"] for r in got.collect()) == sorted(want)
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    """Partitions grow with the pairs, for a hub of callers too; tests that call each other, a seed that is a test, a seed that calls itself, repeated and null edges."""
+    monkeypatch.setattr(graph, "DEALT", 10, raising=False)
+    rng = random.Random(5)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(150)] + [(k, 0) for k in range(60)] + [(0, 1), (1, 1), (None, 2), (2, None)]
+    tests, seeds = {k for k in range(60) if k % 4 == 0}, range(0, 60, 3)
+    want = set()
+    for seed in seeds:
+        level, seen = {seed}, {seed}
+        for _ in range(3):
+            level = {a for a, b in edges if b in level and a is not None and (b == seed or b not in tests)} - seen
+            seen |= level
+        want |= {(seed, x) for x in seen & tests if x != seed}
+    found = graph.tests_for(spark.createDataFrame(edges * 2, "caller int, callee int"), ids(spark, 60, "symbol_id", "id % 4 = 0 AS is_test"), spark.createDataFrame([(x,) for x in seeds], "id int"))
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert found.rdd.getNumPartitions() > 4  # the setting
