@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from graphlens.llm import common
 
-CAPACITY, END_ID, GROUPS, LARGE_SHARE, CACHED_WORDS, BLOCK = 4096, 1, 12, 1 / 4, 600_000, 16384
+CAPACITY, END_ID, GROUPS, LARGE_SHARE, CACHED_WORDS, BLOCK, JOINED, SIGNS = 4096, 1, 12, 1 / 4, 600_000, 16384, 512, ".,;:!?"
 
 _held: dict = {}
 
@@ -49,6 +49,9 @@ class _Encoder:
     A tokenizer with the settings of ``_PARTING`` drops white space and never joins what stands on its two sides, so the
     ids of a text are those of its chunks in turn. Chunks are kept over batches and tasks of a worker, up to
     ``CACHED_WORDS``. With any other settings whole texts are encoded.
+
+    Where the model marks the ends of words, new words of plain letters are encoded ``JOINED`` to a text, as a text of its own
+    costs more than its word; the marks part their ids again.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,15 +61,24 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         settings = json.loads(self.tokenizer.to_str())
         self.parts = (settings["normalizer"], settings["pre_tokenizer"]) == _PARTING
+        self.closing = None
+        if suffix := settings["model"].get("end_of_word_suffix"):
+            vocabulary = self.tokenizer.get_vocab()
+            self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.closing[[k for x, k in vocabulary.items() if x.endswith(suffix)]] = True
         self.known: dict[str, int] = {}
         self.ids, self.ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
 
+    @staticmethod
+    def plain(chunk: str) -> bool:
+        return chunk.isalpha() and (chunk.isascii() or max(chunk) < "İ")
+
     @staticmethod
     def split(chunk: str) -> tuple[str, str]:
         """A chunk of plain letters and its closing sign are encoded apart, and plain letters in lower case, as the
         tokenizer does: fewer distinct chunks. Others stay whole."""
-        body, sign = (chunk[:-1], chunk[-1]) if chunk[-1] in ".,;:!?" else (chunk, "")
-        if body.isalpha() and max(body) < "İ":
+        body, sign = (chunk[:-1], chunk[-1]) if chunk[-1] in SIGNS else (chunk, "")
+        if _Encoder.plain(body):
             return body.lower(), sign
         return chunk, ""
 
@@ -77,10 +89,25 @@ class _Encoder:
             self.known, self.ids, self.ends = {}, [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
             fresh = list(dict.fromkeys(chunks))
         if fresh:
-            blocks, sizes = [], []
+            blocks, sizes, done, others = [], [], [], fresh
             # the tokenizer's own results take far more memory than the ids, so a block of them is held at a time
-            for at in range(0, len(fresh), BLOCK):
-                encoded = [x.ids for x in self.tokenizer.encode_batch_fast(fresh[at : at + BLOCK], add_special_tokens=False)]
+            if self.closing is not None:
+                words = [x for x in fresh if self.plain(x)]
+                others = [x for x in fresh if not self.plain(x)]
+                for at in range(0, len(words), BLOCK):
+                    block = words[at : at + BLOCK]
+                    texts = [" ".join(block[k : k + JOINED]) for k in range(0, len(block), JOINED)]
+                    ids = np.fromiter(chain.from_iterable(x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.uint32)
+                    stops = np.flatnonzero(self.closing[ids]) + 1
+                    if len(stops) != len(block):  # a word without its mark: each on its own
+                        others += block
+                        continue
+                    sizes.append(np.diff(stops, prepend=0))
+                    blocks.append(ids)
+                    done += block
+            fresh = done + others
+            for at in range(0, len(others), BLOCK):
+                encoded = [x.ids for x in self.tokenizer.encode_batch_fast(others[at : at + BLOCK], add_special_tokens=False)]
                 sizes.append(np.fromiter(map(len, encoded), np.int64, len(encoded)))
                 blocks.append(np.fromiter(chain.from_iterable(encoded), np.uint32, int(sizes[-1].sum())))
             self.ids = [np.concatenate([*self.ids, *blocks])]
@@ -88,14 +115,31 @@ class _Encoder:
             self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
         return [self.known[x] for x in chunks]
 
+    def places(self, chunks: pa.Array) -> np.ndarray:
+        """Places of the two parts of distinct chunks. ASCII words are split as by ``split`` and told apart in Arrow, so those that
+        differ by case or sign are looked up once."""
+        import pyarrow.compute as pc
+
+        easy = pc.match_substring_regex(chunks, f"^[A-Za-z]+[{SIGNS}]?$")
+        lower = pc.ascii_lower(chunks.filter(easy))
+        bodies = pc.ascii_rtrim(lower, characters=SIGNS).dictionary_encode()
+        signs = pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(lower, -1), value_set=pa.array(list(SIGNS), lower.type)), len(SIGNS))
+        names = [*bodies.dictionary.to_pylist(), *SIGNS, ""]
+        others = [self.split(x) if x else ("", "") for x in chunks.filter(pc.invert(easy)).to_pylist()]
+        rows = np.array(self.rows([*names, *(x for pair in others for x in pair)]), np.int64)
+        found, is_easy = np.empty((len(chunks), 2), np.int64), easy.to_numpy(zero_copy_only=False)
+        found[is_easy, 0] = rows[np.asarray(bodies.indices)]
+        found[is_easy, 1] = rows[len(bodies.dictionary) + np.asarray(signs)]
+        found[~is_easy] = rows[len(names) :].reshape(-1, 2)
+        return found
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text ends among them."""
         if not self.parts:
             encoded = [x.ids for x in self.tokenizer.encode_batch_fast(common.strings(texts).to_pylist(), add_special_tokens=False)]
             return np.fromiter((x for ids in encoded for x in ids), np.uint32), np.cumsum([0, *map(len, encoded)])
         offsets, codes, distinct = common.tokenize(texts, lower=False)
-        pairs = [self.split(x) if x else ("", "") for x in distinct.to_pylist()]
-        rows = np.array(self.rows([x for pair in pairs for x in pair]), np.int64).reshape(-1, 2)[codes].ravel()
+        rows = self.places(distinct)[codes].ravel()
         begins = self.ends[0][:-1][rows]
         lengths = self.ends[0][1:][rows] - begins
         ends = np.concatenate([[0], np.cumsum(lengths)])

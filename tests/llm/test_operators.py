@@ -741,3 +741,30 @@ def test_chunks_have_the_ids_of_the_whole(spark):
     whole = Tokenizer.from_file(path)
     for k, t in enumerate(texts):
         assert ids[ends[k] : ends[k + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
+def test_new_words_are_encoded_together(monkeypatch):
+    """Plain words go to the tokenizer many to a text, and have the ids that each has alone; other chunks stay apart."""
+    public = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    encoder, sent = packing._Encoder(public.path("word_bpe_49k.json")), []
+    whole = encoder.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, texts, **settings):
+            sent.extend(texts)
+            return whole.encode_batch_fast(texts, **settings)
+
+    encoder.tokenizer = Counting()
+    monkeypatch.setattr(packing, "BLOCK", 700)
+    words = [f"{a}{b}{c}" for a in ("Straße", "naïve", "x", "ÆØ", "µª") for b in "abcdefghijklmnopqrst" for c in "uvwxyzäöÿĀij"]
+    texts = [" ".join(words), "it's 42 a-b. " + ", ".join(words[:9]) + " new!", "", None]
+    ids, ends = encoder.encode(pa.array(texts))
+    assert len(sent) < 20
+    for k, t in enumerate(texts):
+        assert ids[ends[k] : ends[k + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids
+    encoder.closing[:] = False  # no marks: each on its own
+    more = ["entirely other words", "here, too"]
+    ids, ends = encoder.encode(pa.array(more))
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [whole.encode(t, add_special_tokens=False).ids for t in more]
