@@ -83,10 +83,10 @@ def weighted_terms(df: DataFrame, key: list[str], text: str, weight: float = 1.0
     return said.groupBy(*key, stem(F.col("t")).alias("term")).agg(F.sum(F.col("x") * F.col("_n")).alias("tf"))
 
 
-def query_terms(df: DataFrame, key: list[str], text: str) -> DataFrame:
-    """(key, terms): the sorted distinct terms of a query, 32 at most."""
-    found = weighted_terms(df, key, text)
-    return found.groupBy(*key).agg(F.slice(F.array_sort(F.collect_set("term")), 1, MAX_QUERY_TERMS).alias("terms"))
+def query_terms(df: DataFrame, key: list[str], text: str, most: int | None = MAX_QUERY_TERMS) -> DataFrame:
+    """(key, terms): the sorted distinct terms of a query, 32 at most; without ``most`` all of them."""
+    terms = F.array_sort(F.collect_set("term"))
+    return weighted_terms(df, key, text).groupBy(*key).agg((terms if most is None else F.slice(terms, 1, most)).alias("terms"))
 
 
 def trigrams(text: Column) -> Column:

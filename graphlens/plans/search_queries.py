@@ -17,7 +17,7 @@ def _bm25_sql(corpus: str, coverage: bool) -> str:
 WITH post AS (SELECT doc_id, {corpus} AS corpus, term, tf FROM {sql_terms("doc_id", "text", "documents")} JOIN (SELECT doc_id AS d, lang FROM documents) ON doc_id = d),
 len AS (SELECT doc_id, corpus, sum(tf) AS dl FROM post GROUP BY ALL),
 stats AS (SELECT corpus, count(*) AS n, sum(dl) / count(*) AS avg_len FROM len GROUP BY corpus),
-q AS (SELECT item_id, unnest(list_sort(list(DISTINCT term))[1:32]) AS term FROM {sql_terms("item_id", "text", "benchmark")} GROUP BY item_id),
+q AS (SELECT DISTINCT item_id, term FROM {sql_terms("item_id", "text", "benchmark")}),
 idf AS (SELECT corpus, term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf, any_value(avg_len) AS avg_len FROM post JOIN stats USING (corpus) GROUP BY corpus, term, n),
 tot AS (SELECT item_id, corpus, sum(idf) AS total FROM q JOIN idf USING (term) GROUP BY ALL),
 s AS (SELECT item_id, corpus, doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_len))) AS s, count(*) AS matched, sum(idf) AS mass
@@ -32,7 +32,7 @@ def _bm25(t, corpus, coverage: bool):
     docs = t.documents.select("doc_id", "text", "lang")
     # the postings are an index: built once, as a table, and read by statistics and scores alike
     posted = cut(search.postings(docs, "doc_id", "text", corpus=corpus))
-    asked = cut(T.query_terms(t.benchmark, ["item_id"], "text").withColumnRenamed("item_id", "query_id"))
+    asked = cut(T.query_terms(t.benchmark, ["item_id"], "text", None).withColumnRenamed("item_id", "query_id"))
     scored = search.bm25(posted, "doc_id", asked, coverage=coverage).withColumn("score", F.round("score", 6))
     return search.top_with_ties(scored, ["query_id"], "score", ["doc_id"], 10).select(F.col("query_id").alias("item_id"), "rank", "doc_id", "score", "matched")
 

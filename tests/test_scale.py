@@ -185,3 +185,13 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     found = graph.tests_for(spark.createDataFrame(edges * 2, "caller int, callee int"), ids(spark, 60, "symbol_id", "id % 4 = 0 AS is_test"), spark.createDataFrame([(x,) for x in seeds], "id int"))
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert found.rdd.getNumPartitions() > 4  # the setting
+
+
+@pytest.mark.parametrize("name", ["bm25_topk"])
+def test_every_term_of_a_long_query_counts(spark, tmp_path, name):
+    """The 33rd and later terms of an item find documents too."""
+    terms = [f"w{k:02d}" for k in range(40)]
+    spark.createDataFrame([(1, "w00 x", "en"), (2, "w39 x", "en"), (3, "x", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(terms))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted((r["item_id"], r["rank"], r["doc_id"], r["matched"]) for r in found) == [(7, 1, 1, 1), (7, 2, 2, 1)]
