@@ -187,7 +187,7 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     assert found.rdd.getNumPartitions() > 4  # the setting
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "bm25_coverage"])
+@pytest.mark.parametrize("name", ["bm25_topk", "bm25_coverage", "bm25_two_corpora"])
 def test_every_term_of_a_long_query_counts(spark, tmp_path, name):
     """The 33rd and later terms of an item find documents too."""
     terms = [f"w{k:02d}" for k in range(40)]
