@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphlens.functions import text as T
@@ -195,3 +196,36 @@ def test_every_term_of_a_long_query_counts(spark, tmp_path, name):
     spark.createDataFrame([(7, " ".join(terms))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     found = QUERIES[name](spark, str(tmp_path)).collect()
     assert sorted((r["item_id"], r["rank"], r["doc_id"], r["matched"]) for r in found) == [(7, 1, 1, 1), (7, 2, 2, 1)]
+
+
+MANY = 20_000
+
+
+def _in_build_deps(spark):
+    symbols = ids(spark, SYMBOLS, "symbol_id", "'n' AS name", "1L AS target")
+    deps = spark.createDataFrame([(1, 2)], "unit long, dep long")
+    return resolve.once_for_alike(ids(spark, MANY, "ref_id", "1L AS unit", "'n' AS name"), lambda r, s: context.in_build_deps(r.join(s, "name"), deps, "_many"), symbols=symbols)
+
+
+@pytest.mark.parametrize("run", [_constructors])
+def test_references_are_dealt_twice_and_symbols_by_kinds(spark, monkeypatch, run):
+    """A reference is dealt to be paired, before that its key to find repeated ones where it isn't dealt yet; copies of what its kind means are few."""
+    monkeypatch.setitem(globals(), "REFS", MANY)
+    rows, records = shuffled(spark, lambda: run(spark))
+    assert rows == MANY * SYMBOLS // (2 if run is _import_qualified else 1) and records < MANY * (2.2 if run is _import_qualified else 1.2)
+
+
+def test_symbols_that_are_alike_are_resolved_once(spark):
+    """Ids may have several rows, equal ones too, be null, and stand for others in counts; each reference gets every id."""
+    refs = spark.createDataFrame([(k, "a" if k < 5 else "b") for k in range(8)], "ref_id int, name string")
+    data = [(k, "a") for k in range(3000)] + [(4000, "a"), (4000, "b"), (5000, "b"), (5000, "b"), (None, "b"), (6000, None)]
+    seen = []
+
+    def of(rows, symbols):
+        seen.append((rows.count(), symbols.count()))
+        return rows.join(symbols, "name").select("ref_id", "symbol_id", F.sum("_many").over(Window.partitionBy("ref_id")).alias("n"))
+
+    found = resolve.once_for_alike(refs, of, symbols=spark.createDataFrame(data, "symbol_id int, name string"))
+    want = [(r, s, 3001) for r in range(5) for s in [*range(3000), 4000]] + [(r, s, 4) for r in range(5, 8) for s in (4000, 5000, 5000, None)]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    assert seen == [(2, 1 + 2 + 2 + 1 + 1)]
