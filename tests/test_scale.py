@@ -207,7 +207,7 @@ def _in_build_deps(spark):
     return resolve.once_for_alike(ids(spark, MANY, "ref_id", "1L AS unit", "'n' AS name"), lambda r, s: context.in_build_deps(r.join(s, "name"), deps, "_many"), symbols=symbols)
 
 
-@pytest.mark.parametrize("run", [_constructors, _external, _in_build_deps, _import_qualified])
+@pytest.mark.parametrize("run", [_constructors, _external, _in_build_deps, _import_qualified, _ladder])
 def test_references_are_dealt_twice_and_symbols_by_kinds(spark, monkeypatch, run):
     """A reference is dealt to be paired, before that its key to find repeated ones where it isn't dealt yet; copies of what its kind means are few."""
     monkeypatch.setitem(globals(), "REFS", MANY)
